@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of one Arrow batch sent to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path goes to Spark's reader unchanged, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,9 +56,6 @@ def small_or_shuffled(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if n <= BROADCAST_ROWS else side.hint("merge")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores in front until no column of df is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get by bytes, for texts of one to a million characters."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import materialize, small_or_shuffled
 
 #: Keys that a pre-aggregating index holds before it emits what it has and starts anew.
 LOCAL_KEYS = 200_000
@@ -228,11 +228,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, all columns kept."""
+    """docs without the rows that exact_dedup drops, all columns kept.
+
+    The dropped rows, ids and digests, are anti-joined: by broadcast up to BROADCAST_ROWS of them, so that
+    text is exchanged beyond that number only. The id is part of the key, so a large group of copies spreads
+    over the tasks.
+    """
+
     def id_of(column: str):
         return F.coalesce(F.col(column).cast("bigint"), F.lit(-(2**63)))
 
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("text_sha256").alias("_sha"), id_of("doc_id").alias("_id"))
+    key = ["_sha", "_id"]
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept")
+    lost = materialize(dropped.select(F.col("text_sha256").alias("_sha"), id_of("doc_id").alias("_id"), id_of("keep_id").alias("_keep")))
     tagged = docs.withColumns({"_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), "_id": id_of(id_col)})
-    # The id is part of the key, so a large group of copies spreads over the tasks.
-    return tagged.join(stays, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).drop("_sha", "_id")
+    kept = tagged.join(small_or_shuffled(lost.where("_id <> _keep").select(key)), key, "left_anti")
+    twins = lost.where("_id = _keep").select(key).distinct()
+    n = twins.count()
+    if n:  # rows equal in id and text, of which one stays
+        twins = small_or_shuffled(materialize(twins), n)
+        kept = kept.join(twins, key, "left_anti").unionByName(kept.join(twins, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)

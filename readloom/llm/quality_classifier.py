@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import ordinal
+from readloom.llm.common import small_batches
 from readloom.llm.ordinal import CumulativeLink, bucket
 
 #: Labelled documents of each quality value that the fit reads at most.
@@ -115,6 +116,7 @@ def collect_features(sample: DataFrame, extract) -> list:
                 names=["doc_id", "quality", "toxic", "buckets", "vals"],
             )
 
+    small_batches(sample.sparkSession)
     rows = sample.mapInArrow(run, "doc_id bigint, quality bigint, toxic bigint, buckets array<int>, vals array<double>").collect()
     return sorted(rows, key=lambda r: r["doc_id"])
 

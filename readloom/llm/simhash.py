@@ -297,10 +297,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that with the least id (of rows with the same id, any one)."""
+    """docs with one row of each component: that with the least id (of rows with the same id, any one).
+
+    The ids that go are anti-joined, by broadcast up to BROADCAST_ROWS of them, so that text is exchanged
+    beyond that number only.
+    """
+
     # A component that stays under a null id has null ids only.
     def id_of(column: str):
-        return F.coalesce(F.col(column).cast("bigint"), F.lit(-(2**63))).alias("_id")
-
-    stays = near_dedup(docs, id_col, text_col, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_of("doc_id")).distinct()
-    return docs.withColumn("_id", id_of(id_col)).join(stays, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+        return F.coalesce(F.col(column).cast("bigint"), F.lit(-(2**63)))
+
+    rows = materialize(near_dedup(docs, id_col, text_col, radius).select(id_of("doc_id").alias("_id"), id_of("component_id").alias("_stays")))
+    tagged = docs.withColumn("_id", id_of(id_col))
+    # An id may stay for one component and go with another if it is repeated: it then stays.
+    repeated = materialize(rows.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") == F.col("_stays")).alias("stays")).where("n > 1"))
+    lost = rows.where("_id <> _stays").select("_id").distinct().join(repeated.where("stays").select("_id"), "_id", "left_anti")
+    kept = tagged.join(small_or_shuffled(materialize(lost)), "_id", "left_anti")
+    n = repeated.count()
+    if n:
+        twins = small_or_shuffled(repeated.select("_id"), n)
+        kept = kept.join(twins, "_id", "left_anti").unionByName(kept.join(twins, "_id", "left_semi").dropDuplicates(["_id"]))
+    return kept.drop("_id")
