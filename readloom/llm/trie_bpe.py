@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import json
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from readloom.llm.common import small_batches
 
 #: Distinct chunks between white space that a worker remembers.
 MEMO_CHUNKS = 400_000
@@ -192,6 +194,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
+        whole = Tokenizer.from_file(path)
+        self._normal, self._split = whole.normalizer, whole.pre_tokenizer
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         added = sorted(self.vocabulary.added, key=len, reverse=True)
@@ -200,9 +204,14 @@ class Encoder:
         self._names = [names.get(i, "") for i in range(max(names) + 1)]
 
     def _pieces(self, chunk: str) -> list[str]:
-        # Each letter is lowered alone: a final sigma is no special case.
-        lowered = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        found = _SPLIT.findall(lowered.lower())
+        """The words of a chunk, lower-cased, their bytes shown as letters.
+
+        Up to U+024F every version of Unicode agrees; beyond it the library that the file is made for says
+        what is composed, what lower case is and which characters are letters or numbers.
+        """
+        if max(chunk) >= "\u0250":
+            return [piece for piece, _ in self._split.pre_tokenize_str(self._normal.normalize_str(chunk))]
+        found = _SPLIT.findall(chunk.lower())
         if chunk.isascii() and chunk.isprintable():
             return found  # these bytes are shown as themselves
         letters = self.vocabulary.letters
@@ -290,6 +299,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ids are little-endian unsigned 32-bit integers in a binary, or with arrays an array<int>.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(
         lambda batches: _run(batches, path, arrays), f"doc_id bigint, ids {'array<int>' if arrays else 'binary'}, decoded string"
     )
