@@ -316,10 +316,12 @@ class BamDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Registers all formats of the library and lets Spark offer them filters."""
+    from readloom.sources.cram import CramDataSource
     from readloom.sources.fasta import FastaDataSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
+    spark.dataSource.register(CramDataSource)
     spark.dataSource.register(FastaDataSource)
 
 
