@@ -37,11 +37,13 @@ from readloom.llm.common import small_batches
 #: Distinct chunks between white space that a worker remembers.
 MEMO_CHUNKS = 400_000
 #: Characters of text that are encoded at a time.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 6_000_000
 
 # Fixed values of the tokenizer file's normalizer and pre-tokenizer.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
+#: Symbols that often end a word; a run of them is one piece.
+_STOPS = ".,;:!?"
 _SPACES = regex.compile(f"[{_WHITE}]+")
 #: Characters that Python's str.split() takes for white space and the tokenizer does not.
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
@@ -145,8 +147,10 @@ class Vocabulary:
                 depth += 1
             del last[depth:], size[depth:], path[depth + 1 :]
             state = path[depth]
-            for n in range(depth + 1, inner + 2):
-                text = state + word[n - 1] if n <= inner else state + word[inner] + end
+            n = depth
+            while n <= inner:
+                text = state + word[n] if n < inner else state + word[inner] + end
+                n += 1
                 step = steps.get(text)
                 if step is None:
                     step = self._step(text)
@@ -195,6 +199,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         whole = Tokenizer.from_file(path)
+        self._hidden = {b: shown for b, shown in self.vocabulary.letters.items() if chr(b) != shown}
         self._normal, self._split = whole.normalizer, whole.pre_tokenizer
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -209,13 +214,20 @@ class Encoder:
         Up to U+024F every version of Unicode agrees; beyond it the library that the file is made for says
         what is composed, what lower case is and which characters are letters or numbers.
         """
-        if max(chunk) >= "\u0250":
-            return [piece for piece, _ in self._split.pre_tokenize_str(self._normal.normalize_str(chunk))]
-        found = _SPLIT.findall(chunk.lower())
+        if not chunk.isascii():
+            if max(chunk) >= "\u0250":
+                return [piece for piece, _ in self._split.pre_tokenize_str(self._normal.normalize_str(chunk))]
+        elif chunk.isalpha():
+            return [chunk.lower()]
+        lowered = chunk.lower()
+        word = lowered.rstrip(_STOPS)
+        if word.isalpha():  # the common case, without the pattern
+            found = [word, lowered[len(word) :]] if len(word) < len(lowered) else [word]
+        else:
+            found = _SPLIT.findall(lowered)
         if chunk.isascii() and chunk.isprintable():
             return found  # these bytes are shown as themselves
-        letters = self.vocabulary.letters
-        return ["".join([letters[b] for b in piece.encode()]) for piece in found]
+        return [piece.encode().decode("latin-1").translate(self._hidden) for piece in found]
 
     def learn(self, chunks: set[str]) -> None:
         """Puts chunks (runs without white space) into the memo, by one trie of their new words."""
@@ -234,22 +246,30 @@ class Encoder:
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACES.split(text) if c] if _ODD_SPACES.search(text) else text.split()
 
+    def _segments(self, text: str) -> list[str]:
+        """Text and added tokens in turn."""
+        return self._added.split(text) if self._added and "<|" in text else [text]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [(self._added.split(t) if self._added and "<|" in t else [t]) for t in texts]
-        split = [[self._chunks(s) if i % 2 == 0 else s for i, s in enumerate(segments)] for segments in plain]
-        wanted = set().union(*(set(s) for segments in split for s in segments if isinstance(s, list)))
+        wanted: set[str] = set()
+        for text in texts:
+            for segment in self._segments(text)[::2]:
+                wanted.update(self._chunks(segment))
         new = wanted.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_CHUNKS:
             self.memo.clear()
             new = wanted
         if new:
             self.learn(new)
-        get, added = self.memo.__getitem__, self.vocabulary.added
-        return [
-            b"".join(b"".join(map(get, s)) if isinstance(s, list) else np.uint32(added[s]).tobytes() for s in segments)
-            for segments in split
-        ]
+        get, added, out = self.memo.__getitem__, self.vocabulary.added, []
+        for text in texts:
+            parts = self._segments(text)
+            if len(parts) == 1:
+                out.append(b"".join(map(get, self._chunks(text))))
+            else:
+                out.append(b"".join(np.uint32(added[s]).tobytes() if i % 2 else b"".join(map(get, self._chunks(s))) for i, s in enumerate(parts)))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self._names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
