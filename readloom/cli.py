@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import os
 import shutil
 import sys
@@ -18,6 +19,7 @@ from readloom.header import PROGRAM, Header
 from readloom.operators import depth as depth_ops
 from readloom.operators import lossless, region, sample, sort, zmw
 from readloom.sources import bam, bgzf, cram, indexes, sam
+from readloom.sources.fasta import Fasta
 from readloom.streaming.status import StatusLines
 
 
@@ -102,11 +104,24 @@ def convert(args) -> None:
         options = {"slice_records": args.records_per_slice, "slice_bases": args.bases_per_slice or 2**62, "crai": str(args.write_crai).lower()}
         if args.reference:
             options["reference"] = args.reference
+            add_checksums(header, args.reference)
         cram.write_cram(reads, args.output, header, **options)
     else:
         write(reads, args.output, header)
 
 
+def add_checksums(header: Header, reference: str) -> None:
+    """M5 of each reference: the MD5 of its bases in upper case."""
+    fasta = Fasta(reference)
+    if not fasta.sequences:
+        raise ValueError(f"no sequences in {reference}")
+    for r in header.references:
+        digest = hashlib.md5()
+        for at in range(0, r.length, 1 << 20):
+            digest.update(fasta.fetch(r.key, at, at + (1 << 20)).encode())
+        r.tags["M5"] = digest.hexdigest()
+
+
 def write(reads: DataFrame, path: str, header: Header, compression: int = 6) -> None:
     if kind(path) == "sam":
         sam.write_sam(reads, path, header)
@@ -142,6 +157,8 @@ def merge(args) -> None:
     out = H.merge_union(headers)
     if mode != "concat" and args.order:
         sort.check_merge_order(orders, mode)
+    if args.bai and (args.concat or mode != "coordinate"):
+        raise ValueError("--bai needs a merge by coordinate")
     inputs = [load(spark, p) for p in args.inputs]
     if mode == "concat" or args.concat:
         rows = sort.concat(inputs).orderBy("file_ord", "rec_no")
@@ -242,8 +259,10 @@ def chunk(args) -> None:
     spark, header = session(), header_of(args.input)
     number, _, total = args.chunk.partition("/")
     index = indexes.zmw_index(spark, args.input)
+    if args.mode != "scatter" and (args.tile is not None or args.seed is not None):
+        raise ValueError("--tile and --seed need --mode scatter")
     if args.mode == "scatter":
-        places = zmw.scatter_chunk(index, int(number), int(total), args.tile, args.seed)
+        places = zmw.scatter_chunk(index, int(number), int(total), args.tile or 1, args.seed or 0)
     else:
         places = zmw.contiguous_chunk(index, int(number), int(total))
     reads = bam.read_bam(spark, args.input).join(places.select("voffset"), "voffset", "left_semi")
@@ -326,8 +345,8 @@ def parser() -> argparse.ArgumentParser:
     tool("zmi-query", zmi_query, "input").add_argument("zmw", type=int)
     t = tool("chunk", chunk, "input", "chunk")
     t.add_argument("--mode", choices=("contiguous", "scatter"), default="contiguous")
-    t.add_argument("--tile", type=int, default=1)
-    t.add_argument("--seed", type=int, default=0)
+    t.add_argument("--tile", type=int)
+    t.add_argument("--seed", type=int)
     tool("bench", bench, "input")
     return p
 
