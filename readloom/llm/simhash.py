@@ -290,9 +290,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     stars = components(near_edges(distinct.select("fp"), radius))
-    hung = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = hung.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = hung.join(lowest, "root").select("fp", "component_id")
+    # Only fingerprints with a link go through their component; its least id is folded before any exchange.
+    linked = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    linked = materialize(linked.join(distinct, "fp"))
+    lowest = materialize(linked.groupBy("root").agg(F.min("low_id").alias("component_id")))
+    members = linked.select("fp", "root").join(small_or_shuffled(lowest), "root").select("fp", "component_id")
+    named = materialize(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
