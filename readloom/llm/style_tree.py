@@ -268,41 +268,46 @@ def _key(*parts: str) -> int:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, what, kind, inner) of each page: kind 0 the page has the node, 1 a content of it, 2 its presentation."""
-    names = ["node", "what", "kind", "inner"]
+    """(host, node, what, kind, inner) of each page: kind 0 the page has the node, 1 a content of it, 2 its presentation.
+
+    A host is a node too, which each of its pages has.
+    """
+    fields = (("host", pa.int64()), ("node", pa.int64()), ("what", pa.int64()), ("kind", pa.int32()), ("inner", pa.bool_()))
     for batch in batches:
-        rows: list[tuple[int, int, int, bool]] = []
+        rows: list[tuple[int, int, int, int, bool]] = []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host, met = host_of(url), set()
+            host = host_of(url)
+            root = _key(host)
+            met = {(root, root, 0, 0, False)}
             for b in standing(parse(page)):
                 node = _key(host, b.path)
                 inner = b.main or b.hint
-                met |= {(node, 0, 0, inner), (node, _key(host, b.path, b.text), 1, inner), (node, _key(b.style), 2, inner)}
+                met |= {(root, node, 0, 0, inner), (root, node, _key(host, b.path, b.text), 1, inner), (root, node, _key(b.style), 2, inner)}
             rows += met
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.bool_())], names=names)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """key, importance, pages, inner of each node (key: of host and path) and repeated content (of host, path, text)."""
-    counts = pages.select("url", "html").mapInArrow(_stats, "node bigint, what bigint, kind int, inner boolean").groupBy("node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
+    """key, importance, pages, inner of each node (key: of host and path) and repeated content (of host, path, text).
+
+    A content that says article or main is measured against all pages of the host, any other one against
+    the pages that have its node; pages is the number of those.
+    """
+    ddl = "host bigint, node bigint, what bigint, kind int, inner boolean"
+    counts = pages.select("url", "html").mapInArrow(_stats, ddl).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
     counts = materialize(counts)
     pages_of = counts.where("kind = 0").select("node", F.col("c").alias("m"))
     # A content on one page has importance 1 and needs no row of its own; only its number matters to the node.
-    parts = counts.where("kind > 0").groupBy("node", "kind").agg(F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("inner").alias("inner"))
+    parts = counts.where("kind > 0 and not inner").groupBy("node", "kind").agg(F.sum(F.col("c") * F.log("c")).alias("clogc"))
     share = F.col("clogc") / (F.col("m") * F.log("m"))
     nodes = (
         parts.join(pages_of.where("m > 1"), "node")
         .groupBy("node")
-        .agg(
-            F.max(F.when(F.col("kind") == 1, 1 - share)).alias("content"),
-            F.max(F.when(F.col("kind") == 2, 1 - share)).alias("presentation"),
-            F.max("m").alias("pages"),
-            F.max("inner").alias("inner"),
-        )
+        .agg(F.max(F.when(F.col("kind") == 1, 1 - share)).alias("content"), F.max(F.when(F.col("kind") == 2, 1 - share)).alias("presentation"), F.max("m").alias("pages"))
     )
-    own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), "pages", "inner")
-    repeated = counts.where("kind = 1 and c > 1").join(pages_of, "node")
+    own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), "pages", F.lit(False).alias("inner"))
+    repeated = counts.where("kind = 1 and c > 1").withColumn("node", F.when(F.col("inner"), F.col("host")).otherwise(F.col("node"))).join(pages_of, "node")
     contents = repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), F.col("m").alias("pages"), "inner")
     return own.unionByName(contents)
 
