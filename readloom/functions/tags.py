@@ -53,3 +53,39 @@ def with_int_tag(tags: Column, key: str, value: Column) -> Column:
         F.lit(None).cast("array<float>").alias("af"),
     )
     return F.map_concat(F.map_filter(tags, lambda k, _: k != key), F.create_map(F.lit(key), one))
+
+
+def required(tags: Column, key: str, field: str) -> Column:
+    """A field of a tag that must be there."""
+    value = tags[key][field]
+    return F.when(value.isNull(), F.raise_error(F.lit(f"no tag {key}"))).otherwise(value)
+
+
+def context_flags(tags: Column) -> Column:
+    """cx, 0 without it."""
+    return F.coalesce(int_tag(tags, "cx"), F.lit(0)).cast("int")
+
+
+def signal_to_noise(tags: Column) -> Column:
+    """sn, four floats in the order A, C, G, T; raises without it."""
+    return required(tags, "sn", "af")
+
+
+def read_quality(tags: Column) -> Column:
+    """rq; raises without it."""
+    return required(tags, "rq", "f")
+
+
+def read_group(tags: Column) -> Column:
+    """RG; raises without it."""
+    return required(tags, "RG", "s")
+
+
+def frames(tags: Column, key: str) -> Column:
+    """Frame counts of ip or pw: 16-bit values as they are, 8-bit codes undecoded; null without the tag."""
+    return tags[key]["ai"]
+
+
+def movie_frames(tags: Column, key: str) -> Column:
+    """ws or we, the first or last frame; null without the tag."""
+    return int_tag(tags, key)

@@ -360,3 +360,7 @@ def place(reads: DataFrame, ref_id: int, pos: int, reverse: bool, cigar: str, ma
             "mapq": F.lit(mapq).cast("smallint"),
         }
     )
+
+
+def set_mate(reads: DataFrame, next_ref_id: int, next_pos: int, tlen: int) -> DataFrame:
+    return reads.withColumns({"next_ref_id": F.lit(next_ref_id), "next_pos": F.lit(next_pos), "tlen": F.lit(tlen)})

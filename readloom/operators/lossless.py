@@ -13,6 +13,7 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
+from readloom import schema as S
 from readloom.operators.clip import clip_record, clip_sites, format_modifications, int_value, map_records, modification_codes, parse_modifications
 
 # Tracks that are kept (True: they run against the sequence), tracks that can't be,
@@ -133,13 +134,19 @@ def _split_runs(flat: list[int], length: int, left: int, right: int) -> tuple[li
 
 
 def clip_lossless(row: dict, left: int, right: int) -> dict:
-    """The row clipped to [left, right) of its sequence; windows that remove nothing or everything leave it."""
+    """The row clipped to [left, right) of its sequence; windows that remove nothing or everything leave it.
+
+    Base modifications of a reverse record count from its end and are refused.
+    """
     seq, tags = row["seq"] or "", row["tags"] or {}
     n = len(seq)
     if not 0 <= left < right <= n or (left, right) == (0, n):
         return row
     if bad := UNSUPPORTED & tags.keys():
         raise ValueError(f"records with tag {min(bad)} cannot be clipped without loss")
+    reverse = bool(row["flag"] & S.REVERSE)
+    if reverse and "MM" in tags:
+        raise ValueError("reverse records with tag MM cannot be clipped without loss")
     text = None if not row["qual"] else "".join(chr(q + 33) for q in row["qual"])
     flanks = {"lead": {}, "trail": {}}
     sides = [(flanks["lead"], slice(0, left))] * (left > 0) + [(flanks["trail"], slice(right, n))] * (right < n)
@@ -187,7 +194,8 @@ def clip_lossless(row: dict, left: int, right: int) -> dict:
     if earlier is not None:
         root["nested"] = unpack(bytes(earlier))
     packed = {**int_value(0), "t": "B", "i": None, "et": "C", "ai": list(pack(root))}
-    out = clip_record(row | {"tags": {k: v for k, v in tags.items() if k != "sa"}}, "query", left, right)
+    window = (n - right, n - left) if reverse else (left, right)  # a query window is mirrored on the reverse strand
+    out = clip_record(row | {"tags": {k: v for k, v in tags.items() if k != "sa"}}, "query", *window)
     out["tags"] = out["tags"] | {"ls": packed}
     if runs is not None:
         out["tags"]["sa"] = {**tags["sa"], "ai": runs}

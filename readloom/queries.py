@@ -622,8 +622,11 @@ def tag_keep_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from readloom import queries_files  # noqa: F401  registers the queries over files
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

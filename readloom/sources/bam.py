@@ -8,7 +8,8 @@ beside the file, filters on ref_id and pos become ranges of blocks. Options: kee
 
 Writing: each task writes its records as BGZF blocks into a part file beside the output; the commit
 puts the header, the parts in partition order and the end marker into a temporary file that is then
-renamed. Option header: the header's text.
+renamed. Options: header, the header's text; compression; split_tag: the output is then a folder with a
+file for each value of that tag (none.bam for records without it), all written in one pass.
 
 Paths are read and written with open(), so they must be on storage that all executors mount;
 read_binary() decodes files that only Spark can reach.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import shutil
 import struct
 import uuid
@@ -128,18 +130,20 @@ def records(part: Range, n_ref: int, first_record: int, name_of, wanted, size: i
                 start = bgzf.unpack(begin)[0]
         limit = part.last if part.last is not None else bgzf.pack(part.stop, 0)
         stream = bgzf.blocks(f, start)
-        data, marks = b"", []  # marks: offset in data where each block's data begins
+        data, at, marks = b"", 0, []  # marks: where in data the data of each block begins (the first may lie before it)
 
         def more() -> bool:
-            nonlocal data
+            nonlocal data, at, marks
             got = next(stream, None)
             if got is None:
                 return False
+            last = max((i for i, (m, _) in enumerate(marks) if m <= at), default=0)
+            marks = [(m - at, b) for m, b in marks[last:]]
+            data, at = data[at:], 0
             marks.append((len(data), got[0]))
             data += got[1]
             return True
 
-        at = 0
         if begin is not None:
             more()
             at = bgzf.unpack(begin)[1]
@@ -171,10 +175,6 @@ def records(part: Range, n_ref: int, first_record: int, name_of, wanted, size: i
             row |= {"file_ord": part.file_ord, "rec_no": None, "voffset": voffset}
             yield row
             at += 4 + length
-            if at > 1 << 22:  # data that has been read goes
-                drop = marks[0][0] if marks[0][0] <= at else 0
-                data, at = data[drop:], at - drop
-                marks[:] = [(m - drop, b) for m, b in marks]
 
 
 def tag_filter(keep: str | None, drop: str | None):
@@ -252,8 +252,7 @@ class BamReader(DataSourceReader):
 @dataclass
 class Part(WriterCommitMessage):
     order: int
-    path: str
-    rows: int
+    paths: dict[str, str]  # part file of each output
 
 
 class BamWriter(DataSourceWriter):
@@ -261,38 +260,62 @@ class BamWriter(DataSourceWriter):
         self.path = options["path"].removeprefix("file://")
         self.header = parse_header(options.get("header", "@HD\tVN:1.6\n"))
         self.level = int(options.get("compression", 6))
+        self.split = options.get("split_tag")
         if os.path.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
         self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
 
+    def output(self, row) -> str:
+        """Name of the output that a record goes to."""
+        if self.split is None:
+            return ""
+        value = (row["tags"] or {}).get(self.split)
+        if value is None:
+            return "none.bam"
+        parts = [x for x in (value["s"], value["i"], value["f"]) if x is not None] or value["ai"] or value["af"] or []
+        return re.sub(r"[^A-Za-z0-9.+=-]", "_", "--".join(map(str, parts))) + ".bam"
+
     def write(self, iterator) -> Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         os.makedirs(self.work, exist_ok=True)
-        path, held, n = f"{self.work}/{part}-{attempt}", bytearray(), 0
-        with open(path, "wb") as f:
-            for row in iterator:
-                held += encode_record(row)
-                n += 1
-                while len(held) >= bgzf.BLOCK_DATA:
-                    f.write(bgzf.deflate(bytes(held[: bgzf.BLOCK_DATA]), self.level))
-                    del held[: bgzf.BLOCK_DATA]
-            if held:
-                f.write(bgzf.deflate(bytes(held), self.level))
-        return Part(part, path, n)
+        held: dict[str, bytearray] = {}
+        paths: dict[str, str] = {}
+
+        def flush(name: str, data: bytes) -> None:
+            # Opened for each block, so that many outputs need no open files.
+            with open(paths.setdefault(name, f"{self.work}/{part}-{attempt}-{len(paths)}"), "ab") as f:
+                f.write(bgzf.deflate(data, self.level))
+
+        for row in iterator:
+            name = self.output(row)
+            data = held.setdefault(name, bytearray())
+            data += encode_record(row)
+            while len(data) >= bgzf.BLOCK_DATA:
+                flush(name, bytes(data[: bgzf.BLOCK_DATA]))
+                del data[: bgzf.BLOCK_DATA]
+        for name, data in held.items():
+            if data:
+                flush(name, bytes(data))
+        return Part(part, paths)
 
     def commit(self, messages: list[Part | None]) -> None:
         parts = sorted((m for m in messages if m), key=lambda m: m.order)
-        temporary = f"{self.path}.tmp-{uuid.uuid4().hex}"
-        with open(temporary, "wb") as out:
-            out.write(bgzf.compress(self.header.to_bam(), self.level, end=False))
-            for m in parts:
-                with open(m.path, "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
-            out.write(bgzf.EOF)
-        os.replace(temporary, self.path)
+        if self.split is not None:
+            os.makedirs(self.path, exist_ok=True)
+        for name in {n for m in parts for n in m.paths} if self.split is not None else {""}:
+            target = f"{self.path}/{name}" if name else self.path
+            temporary = f"{target}.tmp-{uuid.uuid4().hex}"
+            with open(temporary, "wb") as out:
+                out.write(bgzf.compress(self.header.to_bam(), self.level, end=False))
+                for m in parts:
+                    if name in m.paths:
+                        with open(m.paths[name], "rb") as f:
+                            shutil.copyfileobj(f, out, 1 << 20)
+                out.write(bgzf.EOF)
+            os.replace(temporary, target)
         shutil.rmtree(self.work, ignore_errors=True)
 
     def abort(self, messages: list[Part | None]) -> None:
@@ -343,15 +366,18 @@ def numbered(reads: DataFrame, span: int = 1 << 40) -> DataFrame:
     return reads.withColumn("_r", F.expr(f"voffset div {span}")).join(starts, ["file_ord", "_r"]).withColumn("rec_no", (F.col("_before") + inside).cast("bigint")).drop("_r", "_before")
 
 
-def write_bam(reads: DataFrame, path: str, header: Header, compression: int = 6) -> None:
-    """Writes reads in partition order: sort first where the file is to be sorted."""
+def write_bam(reads: DataFrame, path: str, header: Header, compression: int = 6, split_tag: str | None = None) -> None:
+    """Writes reads in partition order: sort first where the file is to be sorted. split_tag: one file for each value."""
     register(reads.sparkSession)
     columns = [c for c in S.READS.fieldNames() if c in reads.columns]
     full = reads.select(columns)
     for f in S.READS.fields:
         if f.name not in columns:
             full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
-    full.select(S.READS.fieldNames()).write.format("bam").option("header", header.to_text()).option("compression", compression).mode("overwrite").save(path)
+    writer = full.select(S.READS.fieldNames()).write.format("bam").option("header", header.to_text()).option("compression", compression)
+    if split_tag:
+        writer = writer.option("split_tag", split_tag)
+    writer.mode("overwrite").save(path)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

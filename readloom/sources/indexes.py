@@ -149,6 +149,13 @@ def build_bam_index(spark: SparkSession, path: str) -> str:
     return path + ".bai"
 
 
+def ensure_bam_index(spark: SparkSession, path: str) -> str:
+    """path.bai, built if it is missing or older than the file."""
+    if os.path.exists(path + ".bai") and os.path.getmtime(path + ".bai") >= os.path.getmtime(path):
+        return path + ".bai"
+    return build_bam_index(spark, path)
+
+
 def bai_frames(spark: SparkSession, bai: Bai) -> tuple[DataFrame, DataFrame]:
     """bins (ref_id, bin, beg, end) and linear (ref_id, win, voffset)."""
     bins = [(i, b, c[0], c[1]) for i, r in enumerate(bai.references) for b, cs in r.bins.items() for c in cs]

@@ -88,6 +88,23 @@ def test_bam_tag_options_and_columns(spark, tmp_path):
     assert few["seq"] is None and few["qname"]
 
 
+def test_bam_split_by_tag(spark, tmp_path):
+    sam_path = write_sam(tmp_path / "a.sam")
+    bam.write_bam(sam.read_sam(spark, sam_path).repartition(3), str(tmp_path / "out"), sam.read_header(sam_path), split_tag="zm")
+    assert sorted(os.listdir(tmp_path / "out")) == ["1.bam", "2.bam", "4.bam", "5.bam", "none.bam"]
+    assert [bam.read_bam(spark, str(tmp_path / "out" / f"{k}.bam")).count() for k in ("1", "none")] == [2, 2]
+    assert bam.read_bam(spark, str(tmp_path / "out" / "*.bam")).count() == len(LINES)
+
+
+def test_ensure_index(spark, tmp_path):
+    sam_path = write_sam(tmp_path / "a.sam")
+    path = str(tmp_path / "a.bam")
+    bam.write_bam(sort.sort_coordinate(sam.read_sam(spark, sam_path)), path, sam.read_header(sam_path))
+    index = indexes.ensure_bam_index(spark, path)
+    before = os.stat(index).st_mtime_ns
+    assert indexes.ensure_bam_index(spark, path) == index and os.stat(index).st_mtime_ns == before
+
+
 def test_long_cigar_and_tag_encodings():
     row = {"qname": "r", "flag": 0, "ref_id": 0, "pos": 5, "mapq": 9, "next_ref_id": -1, "next_pos": -1, "tlen": 0, "qual": None}
     cigar = [{"op": "M", "len": 1}, {"op": "I", "len": 1}] * 40_000
