@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -105,6 +105,12 @@ def batch(rows: list[dict], columns: frozenset[str] | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches of the reads schema."""
+    for b in batches:
+        yield from b.to_pylist(maps_as_pydicts="strict")
+
+
 @dataclass
 class Range(InputPartition):
     """Bytes [start, stop) of a file, or the records that begin in virtual offsets [first, last)."""
@@ -255,7 +261,7 @@ class Part(WriterCommitMessage):
     paths: dict[str, str]  # part file of each output
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.header = parse_header(options.get("header", "@HD\tVN:1.6\n"))
@@ -289,7 +295,7 @@ class BamWriter(DataSourceWriter):
             with open(paths.setdefault(name, f"{self.work}/{part}-{attempt}-{len(paths)}"), "ab") as f:
                 f.write(bgzf.deflate(data, self.level))
 
-        for row in iterator:
+        for row in rows_of(iterator):
             name = self.output(row)
             data = held.setdefault(name, bytearray())
             data += encode_record(row)

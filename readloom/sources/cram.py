@@ -26,14 +26,14 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from readloom import schema as S
 from readloom.functions.cigar import QUERY_OPS, REFERENCE_OPS
 from readloom.header import Header, parse_header
 from readloom.sources import cram_codecs as K
-from readloom.sources.bam import BATCH_ROWS, batch, expand, tag_filter
+from readloom.sources.bam import BATCH_ROWS, batch, expand, rows_of, tag_filter
 from readloom.sources.cram_codecs import Bits, Cursor, Encoding, itf8, ltf8
 from readloom.sources.fasta import Fasta
 from readloom.sources.records import NO_QUALITY, decode_tags, encode_tag, tag
@@ -651,7 +651,7 @@ class Part(WriterCommitMessage):
     path: str
 
 
-class CramWriter(DataSourceWriter):
+class CramWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.header = parse_header(options.get("header", "@HD\tVN:1.6\n"))
@@ -671,7 +671,7 @@ class CramWriter(DataSourceWriter):
         path = f"{self.work}/{context.partitionId()}-{context.taskAttemptId()}"
         fasta, rows, bases = Fasta(self.reference) if self.reference else None, [], 0
         with open(path, "wb") as f:
-            for row in iterator:
+            for row in rows_of(iterator):
                 rows.append(row)
                 bases += len(row["seq"] or "")
                 if len(rows) >= self.records or bases >= self.bases:
