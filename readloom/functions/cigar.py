@@ -119,8 +119,16 @@ def cigar_stats(cigar: Column) -> Column:
 
 
 def spans(pos: Column, cigar: Column, ops: str = DEPTH_OPS) -> Column:
-    """array<struct<beg, end>>: the reference intervals that the given ops cover, neighbours merged."""
-    zero = F.expr("cast(array() as array<struct<beg:bigint,end:bigint>>)")
+    """array<struct<beg, end>>: the reference intervals that the given ops cover, neighbours merged.
+
+    Without an operation that passes over the reference uncovered, which is the common case, that is one
+    interval as long as the covering operations.
+    """
+    none = F.expr("cast(array() as array<struct<beg:bigint,end:bigint>>)")
+    passing = "".join(o for o in REFERENCE_OPS if o not in ops)
+    start = pos.cast("bigint")
+    whole = length_of(cigar, ops)
+    single = F.when(whole > 0, F.array(F.struct(start.alias("beg"), (start + whole).alias("end")))).otherwise(none)
 
     def step(a: Column, o: Column) -> Column:
         to = a["at"] + F.when(_among(o["op"], REFERENCE_OPS), o["len"]).otherwise(0)
@@ -134,7 +142,10 @@ def spans(pos: Column, cigar: Column, ops: str = DEPTH_OPS) -> Column:
         out = F.when(~_among(o["op"], ops) | (o["len"] == 0), a["out"]).when(touching, joined).otherwise(F.concat(a["out"], F.array(piece)))
         return F.struct(to.alias("at"), out.alias("out"))
 
-    return F.aggregate(cigar, F.struct(pos.cast("bigint").alias("at"), zero.alias("out")), step, lambda a: a["out"])
+    several = F.aggregate(cigar, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
+    if not passing:
+        return single
+    return F.when(F.exists(cigar, lambda o: _among(o["op"], passing)), several).otherwise(single)
 
 
 def op_positions(pos: Column, cigar: Column) -> Column:

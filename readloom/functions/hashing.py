@@ -29,9 +29,12 @@ def _and(x: Column, bits: int) -> Column:
 
 def x31(text: Column) -> Column:
     """X31 string hash over signed bytes, as an unsigned 32-bit number in a BIGINT; '' is 0."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(text.cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))
-    value = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: _and(h * 31 + F.when(c > 127, c - 256).otherwise(c), MASK32))
-    return F.when(F.octet_length(text) > 0, value).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(text.cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))
+    any_text = F.aggregate(octets, zero, lambda h, c: _and(h * 31 + F.when(c > 127, c - 256).otherwise(c), MASK32))
+    # Names are ASCII as a rule: a byte is then a character.
+    ascii_text = F.aggregate(F.split(text, ""), zero, lambda h, c: _and(h * 31 + F.ascii(c), MASK32))
+    return F.when(F.octet_length(text) == 0, zero).when(F.octet_length(text) == F.length(text), ascii_text).otherwise(any_text)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

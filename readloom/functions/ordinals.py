@@ -40,13 +40,19 @@ def with_running_sum(df: DataFrame, bucket: Column, order: list[Column], amount:
     return df.withColumn(_BUCKET, bucket).join(starts, _BUCKET).withColumn(name, (F.col(_START) + inside).cast("bigint")).drop(_BUCKET, _START)
 
 
+def sorted_by(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in a global order whose keys are computed once a row, not at each comparison."""
+    keys = {f"_key{i}": c for i, c in enumerate(order)}
+    return df.withColumns(keys).orderBy(*keys).drop(*keys)
+
+
 def number_sorted(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
     """df in a global order with name: each row's position, counted from first.
 
     For orders without a bucket expression: the rows are range-partitioned and sorted by Spark, kept, and
     each partition starts where those before it end. One count per partition comes back.
     """
-    kept = materialize(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    kept = materialize(sorted_by(df, order)).withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     starts = range_starts(kept, part, F.lit(1))
     inside = F.col("_id").bitwiseAND((1 << 33) - 1) + first

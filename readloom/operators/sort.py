@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from readloom.functions.flags import is_reverse
 from readloom.functions.names import natural_key
+from readloom.functions.ordinals import sorted_by
 
 ORIGIN = ["file_ord", "rec_no"]
 
@@ -28,7 +29,7 @@ def coordinate_keys() -> list[Column]:
 
 
 def sort_coordinate(reads: DataFrame) -> DataFrame:
-    return reads.orderBy(*coordinate_keys(), *origin(reads))
+    return sorted_by(reads, [*coordinate_keys(), *origin(reads)])
 
 
 def queryname_keys() -> list[Column]:
@@ -36,7 +37,7 @@ def queryname_keys() -> list[Column]:
 
 
 def sort_queryname(reads: DataFrame) -> DataFrame:
-    return reads.orderBy(*queryname_keys(), *origin(reads))
+    return sorted_by(reads, [*queryname_keys(), *origin(reads)])
 
 
 def tag_keys(number: Column | None = None, text: Column | None = None) -> list[Column]:
@@ -46,11 +47,11 @@ def tag_keys(number: Column | None = None, text: Column | None = None) -> list[C
     """
     values = [c for c in (number, text) if c is not None]
     present = reduce(lambda a, b: a | b, [c.isNotNull() for c in values])
-    return [present, *[c.asc_nulls_last() for c in values], *coordinate_keys()]
+    return [present, *[x for c in values for x in (c.isNull(), c)], *coordinate_keys()]
 
 
 def sort_tag(reads: DataFrame, number: Column | None = None, text: Column | None = None) -> DataFrame:
-    return reads.orderBy(*tag_keys(number, text), *origin(reads))
+    return sorted_by(reads, [*tag_keys(number, text), *origin(reads)])
 
 
 def tag_columns(key: str) -> tuple[Column, Column]:
@@ -92,8 +93,8 @@ def sort_minimiser(reads: DataFrame) -> DataFrame:
     """Coordinate order, where unplaced reads are clustered by minimiser."""
     free = F.col("ref_id") < 0
     keyed = reads.withColumn("_key", F.when(free, minimiser_key(F.col("seq"))))
-    keys = [F.when(free, F.lit(2**31 - 1)).otherwise(F.col("ref_id")), F.col("_key.hash"), F.col("_key.place").desc(), F.col("pos"), is_reverse(F.col("flag"))]
-    return keyed.orderBy(*keys, *origin(reads)).drop("_key")
+    keys = [F.when(free, F.lit(2**31 - 1)).otherwise(F.col("ref_id")), F.col("_key.hash"), -F.col("_key.place"), F.col("pos"), is_reverse(F.col("flag"))]
+    return sorted_by(keyed, [*keys, *origin(reads)]).drop("_key")
 
 
 def numbered_inputs(inputs: list[DataFrame]) -> DataFrame:
@@ -116,7 +117,7 @@ def merge(inputs: list[DataFrame], order: str = "coordinate", number: Column | N
     keys = {"coordinate": coordinate_keys, "queryname": queryname_keys}.get(order)
     if keys is None and order != "tag":
         raise ValueError(f"unknown order: {order}")
-    return rows.orderBy(*(keys() if keys else tag_keys(number, text)), *origin(rows))
+    return sorted_by(rows, [*(keys() if keys else tag_keys(number, text)), *origin(rows)])
 
 
 def merge_mode(orders: list[str], concat_requested: bool = False) -> str:
