@@ -33,7 +33,8 @@ from readloom.llm.quality_classifier import collect_features, labelled
 PER_CLASS = 2000
 #: P(severity >= 1) above which a document is called toxic.
 TOXIC_AT = 0.5
-#: Penalty by which words are selected, and that of the fits on the words left.
+#: Penalty by which words are selected, and that of the fits on the words left. A word in under a 200th of the
+#: sample is not selected.
 SELECT_L1, REFIT_L1 = 3e-2, 5e-4
 MEMO_WORDS = 200_000
 
@@ -58,7 +59,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cum
     rows = collect_features(labelled(docs, labels, "toxic", per_class), features)
     sparse = [(r["buckets"], r["vals"]) for r in rows]
     toxic = [int(bool(r["toxic"])) for r in rows]
-    wide = ordinal.fit(sparse, toxic, l1=SELECT_L1)
+    wide = ordinal.fit(sparse, toxic, l1=SELECT_L1, steps=150, least_rows=max(3, len(rows) // 200))
     # The words that the strong penalty leaves are fitted again with a weak one, free of its shrinkage.
     sparse = [([b for b in x if b in wide.weights], [1.0] * sum(b in wide.weights for b in x)) for x, _ in sparse]
     first = ordinal.fit(sparse, toxic, l1=REFIT_L1)
