@@ -47,49 +47,63 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
     left, rng = sizes.astype(np.int64).copy(), np.random.Generator(np.random.Philox(key=seed))
     matrix = np.zeros((len(counts), len(sizes)), dtype=np.int64)
     for p, n in enumerate(counts):
-        # numpy takes totals under 10**9 only; beyond it the row is drawn shard by shard from halves.
-        matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else _halves(rng, left, n)
+        # numpy takes totals under 10**9 only; beyond it rows are drawn in steps.
+        matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else _in_steps(rng, left, n)
         left -= matrix[p]
     return matrix
 
 
-def _halves(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw for very large totals: n rows split over the left capacities.
+def _in_steps(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate hypergeometric draw for totals that numpy doesn't take.
 
-    With over 10**9 rows left and one partition's n far below that, draws are made one row at a
-    time against the remaining capacities, in blocks whose rejection keeps them without replacement.
+    The rows of a step fall on places of the room that is left, drawn independently; a step with a place drawn
+    twice is drawn anew, so the places are those of a draw without replacement.
     """
     out = np.zeros_like(left)
-    todo = n
-    while todo:
+    while n:
         room = left - out
-        step = min(todo, max(1, int(room.sum() // 10**6)))
-        # Rows of one step fall on distinct places among room.sum(): repeat the step if two collide.
+        step = min(n, max(1, int(room.sum() // 10**6)))
         places = rng.integers(0, room.sum(), size=step)
         if len(np.unique(places)) < step:
             continue
         out += np.bincount(np.searchsorted(np.cumsum(room), places, side="right"), minlength=len(left))
-        todo -= step
+        n -= step
     return out
 
 
 def _deal(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Permutes one partition and deals its rows out by its row of the matrix."""
-    refs, part, counts = [], None, None
+    """Permutes each partition of a task and deals its rows out by its row of the matrix.
+
+    Rows of a partition come together. They are put in order first, so the deal depends on the seed only.
+    """
+    held: list[np.ndarray] = []
+    now: tuple[int, list[int]] | None = None
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        part, counts = now
+        rows = np.sort(np.concatenate(held))
+        rng = np.random.Generator(np.random.Philox(key=[seed, part + 1]))
+        order = rng.permutation(len(rows))
+        shard = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        mix = rng.integers(-(2**63), 2**63 - 1, size=len(rows), dtype=np.int64)
+        for i in range(0, len(rows), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[order[j]]), pa.array(shard[j]), pa.array(mix[j])], schema=_DEALT_ARROW)
+
     for batch in batches:
-        if batch.num_rows:
-            refs.append(batch.column("row_ref").to_numpy(zero_copy_only=False))
-            part, counts = batch.column("part")[0].as_py(), batch.column("deal")[0].as_py()
-    if part is None:
-        return
-    rows = np.concatenate(refs)
-    rng = np.random.Generator(np.random.Philox(key=[seed, part + 1]))
-    order = rng.permutation(len(rows))
-    shard = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    mix = rng.integers(-(2**63), 2**63 - 1, size=len(rows), dtype=np.int64)
-    for i in range(0, len(rows), 100_000):
-        j = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[order[j]]), pa.array(shard[j]), pa.array(mix[j])], schema=_DEALT_ARROW)
+        parts = batch.column("part").to_numpy(zero_copy_only=False)
+        refs = batch.column("row_ref").to_numpy(zero_copy_only=False)
+        ends = [*(np.nonzero(np.diff(parts))[0] + 1).tolist(), len(parts)] if len(parts) else []
+        at = 0
+        for end in ends:
+            if now is None or parts[at] != now[0]:
+                if now is not None:
+                    yield from dealt()
+                held, now = [], (int(parts[at]), batch.column("deal")[at].as_py())
+            held.append(refs[at:end])
+            at = end
+    if now is not None:
+        yield from dealt()
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -110,8 +124,8 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = capacities(sum(counts.values()), shards)
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
     deal = spark.createDataFrame([(int(p), [int(x) for x in m]) for p, m in zip(parts, matrix, strict=True)], "part bigint, deal array<int>")
-    # A broadcast join keeps the rows in their partition; each sees one matrix row only.
-    dealt = rows.select("part", "row_ref").join(F.broadcast(deal), "part").mapInArrow(lambda batches: _deal(batches, seed), _DEALT)
+    # A broadcast join leaves the rows in their partition; beyond its bound they are exchanged and sorted by it.
+    dealt = rows.select("part", "row_ref").join(small_or_shuffled(deal, len(parts)), "part").mapInArrow(lambda batches: _deal(batches, seed), _DEALT)
     blocks = max(1, math.ceil(int(sizes.max(initial=0)) / BLOCK_ROWS))
     # Exchange: a block is a range of the random key within a shard, so blocks in order make the shard's permutation.
     width = F.lit(float(2**64) / blocks)
