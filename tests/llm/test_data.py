@@ -36,7 +36,7 @@ def test_matrix_has_exact_margins_and_the_right_law():
 def test_large_totals_are_drawn_without_replacement():
     rng = np.random.Generator(np.random.Philox(key=1))
     left = np.full(4, 2 * 10**9, dtype=np.int64)
-    got = H._halves(rng, left, 100_000)
+    got = H._in_steps(rng, left, 100_000)
     assert got.sum() == 100_000 and np.abs(got - 25_000).max() < 1000
 
 
@@ -51,9 +51,12 @@ def check_shards(docs, rows, shards):
     assert all(r["law"] == "rows" and r["grown_shard"] is None and 0 <= r["shard"] < shards for r in rows)
 
 
-@pytest.mark.parametrize("block", [7, 250_000])
-def test_shards_are_exact_uniform_and_repeatable(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bound"), [(7, 200_000), (250_000, 200_000), (250_000, 0)])
+def test_shards_are_exact_uniform_and_repeatable(spark, monkeypatch, block, bound):
+    import readloom.llm.common as common
+
     monkeypatch.setattr(H, "BLOCK_ROWS", block)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 9).alias("text")).repartition(5)
     rows = H.shard_rows(docs).collect()
     check_shards(docs.collect(), rows, 24)
