@@ -29,66 +29,92 @@ def read_header(path: str) -> Header:
     return parse_header("".join(lines))
 
 
-def _fail(text: str, kind: str) -> Column:
-    return F.raise_error(F.concat(F.lit(text + ": "), F.col("value"))).cast(kind)
-
-
 def _tag_maps(lines: pa.Array) -> pa.Array:
+    """Tag maps; null where a tag is malformed. Of a repeated tag the last one counts."""
     from readloom.sources.bam import ARROW
 
-    # Of a repeated tag the last one counts.
-    return pa.array([list(dict(parse_tag(t) for t in line.split("\t")).items()) if line else [] for line in lines.to_pylist()], ARROW.field("tags").type)
+    def parse(line: str):
+        try:
+            return list(dict(parse_tag(t) for t in line.split("\t")).items()) if line else []
+        except ValueError:
+            return None
+
+    return pa.array([parse(x) for x in lines.to_pylist()], ARROW.field("tags").type)
 
 
-def parse_lines(lines: DataFrame, header: Header) -> DataFrame:
-    """Reads of SAM record lines (column value, and seq_no giving their order); malformed ones raise."""
-    parts = F.split("value", "\t")
+def parse_lines(lines: DataFrame, header: Header, mode: str = "FAILFAST") -> DataFrame:
+    """Reads of SAM record lines (column value, and seq_no giving their order).
+
+    A malformed line raises in mode FAILFAST and is left out in mode DROPMALFORMED. It has under eleven
+    fields, or an invalid name, number, CIGAR, quality or tag, or names an unknown reference, or its CIGAR,
+    sequence and qualities differ in length.
+    """
+    if mode not in ("FAILFAST", "DROPMALFORMED"):
+        raise ValueError(f"unknown mode: {mode}")
     fields = [F.get(F.col("_f"), F.lit(i)) for i in range(11)]
     names = {r.key: i for i, r in enumerate(header.references)}
     ref_map = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.expr("cast(map() as map<string,int>)")
+    rnext = F.when(fields[6] == "=", fields[2]).otherwise(fields[6])
+    cigar_ok = fields[5].rlike(r"^(\*|([0-9]{1,9}[MIDNSHP=X])+)$")
+    cigar = parse_cigar(F.when(cigar_ok, fields[5]).otherwise(F.lit("*")))
+    codes = F.transform(F.split(fields[10], ""), lambda c: F.lpad(F.hex((F.ascii(c) - 33).cast("bigint")), 2, "0"))
+    bare = fields[9] == "*"
+    faults: list[tuple[str, Column]] = [("a SAM line has eleven fields", F.size("_f") >= 11), ("invalid read name", fields[0].rlike("^(\\*|[!-?A-~]{1,254})$"))]
 
-    def number(i: int, name: str, low: int, high: int) -> Column:
+    def number(i: int, what: str, low: int, high: int) -> Column:
         value = fields[i].try_cast("bigint")
-        return F.when(value.between(low, high), value).otherwise(_fail(f"invalid {name}", "bigint"))
+        faults.append((f"invalid {what}", value.between(low, high)))
+        return value
 
     def ref(name: Column) -> Column:
-        found = F.try_element_at(ref_map, name)
-        return F.when(name == "*", F.lit(-1)).otherwise(F.coalesce(found, _fail("unknown reference", "int")))
-
-    rnext = F.when(fields[6] == "=", fields[2]).otherwise(fields[6])
-    codes = F.transform(F.split(fields[10], ""), lambda c: F.lpad(F.hex((F.ascii(c) - 33).cast("bigint")), 2, "0"))
-    qual_ok = fields[10].rlike(r"^[!-~]+$")
+        found = F.when(name == "*", F.lit(-1)).otherwise(F.try_element_at(ref_map, name))
+        faults.append(("unknown reference", found.isNotNull()))
+        return found
+
+    columns = {
+        "file_ord": F.lit(0),
+        "rec_no": F.col("seq_no"),
+        "voffset": F.col("seq_no"),
+        "qname": F.when(fields[0] == "*", "").otherwise(fields[0]),
+        "flag": number(1, "flag", 0, 65535).cast("int"),
+        "ref_id": ref(fields[2]).cast("int"),
+        "rname": fields[2],
+        "pos": (number(3, "position", 0, S.INT_MAX) - 1).cast("int"),
+        "mapq": number(4, "mapping quality", 0, 255).cast("smallint"),
+        "cigar": cigar,
+        "next_ref_id": ref(rnext).cast("int"),
+        "next_rname": rnext,
+        "next_pos": (number(7, "mate position", 0, S.INT_MAX) - 1).cast("int"),
+        "tlen": number(8, "template length", -S.INT_MAX, S.INT_MAX).cast("int"),
+        "seq": F.when(bare, "").otherwise(fields[9]),
+        "qual": F.when(fields[10] != "*", F.try_to_binary(F.array_join(codes, ""), F.lit("hex"))),
+    }
+    faults += [
+        ("invalid CIGAR", cigar_ok & F.forall(cigar, lambda o: o["len"] < 2**28)),
+        ("CIGAR and sequence differ in length", bare | (fields[5] == "*") | (query_length(cigar) == F.length(fields[9]))),
+        ("invalid qualities", (fields[10] == "*") | (fields[10].rlike(r"^[!-~]+$") & (F.length(fields[10]) == F.length(fields[9])))),
+    ]
+    sound = F.lit(None).cast("string")
+    for what, ok in reversed(faults):
+        sound = F.when(~F.coalesce(ok, F.lit(False)), F.lit(what)).otherwise(sound)
     tags = F.arrow_udf(_tag_maps, S.READS["tags"].dataType)(F.array_join(F.slice(F.col("_f"), F.lit(12), F.greatest(F.size("_f") - 11, F.lit(0))), "\t"))
-    rows = lines.withColumn("_f", parts).where((F.size("_f") >= 11) | _fail("a SAM line has eleven fields", "boolean"))
-    out = rows.select(
-        F.lit(0).alias("file_ord"),
-        F.col("seq_no").alias("rec_no"),
-        F.col("seq_no").alias("voffset"),
-        F.when(fields[0] == "*", "").when(fields[0].rlike("^[!-?A-~]{1,254}$"), fields[0]).otherwise(_fail("invalid read name", "string")).alias("qname"),
-        number(1, "flag", 0, 65535).cast("int").alias("flag"),
-        ref(fields[2]).cast("int").alias("ref_id"),
-        fields[2].alias("rname"),
-        (number(3, "position", 0, S.INT_MAX) - 1).cast("int").alias("pos"),
-        number(4, "mapping quality", 0, 255).cast("smallint").alias("mapq"),
-        parse_cigar(fields[5]).alias("cigar"),
-        ref(rnext).cast("int").alias("next_ref_id"),
-        rnext.alias("next_rname"),
-        (number(7, "mate position", 0, S.INT_MAX) - 1).cast("int").alias("next_pos"),
-        number(8, "template length", -S.INT_MAX, S.INT_MAX).cast("int").alias("tlen"),
-        F.when(fields[9] == "*", "").otherwise(fields[9]).alias("seq"),
-        F.when(fields[10] == "*", None).when(qual_ok & (F.length(fields[10]) == F.length(fields[9])), F.unhex(F.array_join(codes, ""))).otherwise(_fail("invalid qualities", "binary")).alias("qual"),
-        tags.alias("tags"),
-        "value",
-    )
-    fits = (F.col("seq") == "") | (F.size("cigar") == 0) | (query_length(F.col("cigar")) == F.length("seq"))
-    return out.where(fits | _fail("CIGAR and sequence differ in length", "boolean")).drop("value")
-
-
-def read_sam(spark: SparkSession, path: str, header: Header | None = None) -> DataFrame:
+    rows = lines.withColumn("_f", F.split("value", "\t")).withColumn("_fault", sound)
+    if mode == "FAILFAST":
+        rows = rows.where(F.col("_fault").isNull() | F.raise_error(F.concat(F.col("_fault"), F.lit(": "), F.col("value"))).cast("boolean"))
+    else:
+        rows = rows.where(F.col("_fault").isNull())
+    out = rows.select("value", *(c.alias(n) for n, c in columns.items()), tags.alias("tags"))
+    known = F.col("tags").isNotNull()
+    if mode == "FAILFAST":
+        known = known | F.raise_error(F.concat(F.lit("invalid tag: "), F.col("value"))).cast("boolean")
+    return out.where(known).drop("value")
+
+
+def read_sam(spark: SparkSession, path: str, header: Header | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Reads of a SAM file; rec_no and voffset follow the order of lines (they grow, but are not dense)."""
     header = header or read_header(path)
     lines = spark.read.text(path).withColumn("seq_no", F.monotonically_increasing_id()).where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    return parse_lines(lines, header)
+    return parse_lines(lines, header, mode)
 
 
 def _tag_lines(tags: pa.Array) -> pa.Array:

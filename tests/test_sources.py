@@ -58,6 +58,8 @@ def test_sam_rejects_malformed_lines(spark, tmp_path, line):
     path.write_text(HEADER + line + "\n")
     with pytest.raises(Exception):
         sam.read_sam(spark, str(path)).collect()
+    path.write_text(HEADER + "\n".join([LINES[1], line, LINES[2]]) + "\n")
+    assert [r["qname"] for r in sam.read_sam(spark, str(path), mode="DROPMALFORMED").orderBy("rec_no").collect()] == ["m/1/10_20", "m/2/0_12"]
 
 
 def test_bam_round_trip_in_small_splits(spark, tmp_path):
