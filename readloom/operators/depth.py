@@ -49,5 +49,5 @@ def depth_totals(reads: DataFrame, refs: DataFrame, bin_size: int = BIN_SIZE) ->
     sums = reads.join(lengths, "ref_id", "left").agg(
         F.count("*").alias("records"), F.count_if(counts).alias("counted_records"), F.coalesce(F.sum(F.when(counts & F.col("ref_length").isNotNull(), inside)), F.lit(0)).cast("bigint").alias("depth_bases")
     )
-    bins = refs.agg(F.coalesce(F.sum(F.expr(f"(length + {bin_size - 1}) div {bin_size}")), F.lit(0)).cast("bigint").alias("bins"))
-    return sums.crossJoin(F.broadcast(bins)).withColumn("bin_size", F.lit(bin_size).cast("bigint"))  # one row each
+    bins = refs.agg(F.sum(F.expr(f"(length + {bin_size - 1}) div {bin_size}")).alias("bins")).first()["bins"] or 0
+    return sums.withColumns({"bins": F.lit(bins).cast("bigint"), "bin_size": F.lit(bin_size).cast("bigint")})

@@ -10,6 +10,8 @@ from readloom.functions.cigar import BIN_END, reference_end, reg2bin
 
 WINDOW_SHIFT = 14
 METADATA_BIN = 37450
+#: Virtual offsets of 64 MB of file: a deep bin is coalesced in stretches of it.
+STRETCH = 64 << 20 << 16
 
 
 def with_end_offset(reads: DataFrame, last_end: int) -> DataFrame:
@@ -22,8 +24,15 @@ def with_end_offset(reads: DataFrame, last_end: int) -> DataFrame:
     return reads.join(after, [*keys, "rec_no"], "left").withColumn("end_voffset", F.coalesce("_after", F.lit(last_end))).drop("_after")
 
 
-def coalesce_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """beg, end ranges of each key with those joined whose begin does not lie behind the end before it."""
+def coalesce_ranges(ranges: DataFrame, keys: list[str], span: int | None = None) -> DataFrame:
+    """beg, end ranges of each key with those joined whose begin does not lie behind the end before it.
+
+    With span, ranges are joined within stretches of that many positions first, so that a key with very many
+    ranges is spread over tasks and reaches the last step as a few.
+    """
+    if span is not None:
+        stretched = ranges.withColumn("_stretch", F.expr(f"beg div {span}"))
+        ranges = coalesce_ranges(stretched, [*keys, "_stretch"]).drop("_stretch")
     order = Window.partitionBy(*keys).orderBy("beg", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(F.col("beg") <= reach, 0).otherwise(1))
@@ -44,7 +53,7 @@ def mapped_spans(reads: DataFrame) -> DataFrame:
 def bai_bins(reads: DataFrame) -> DataFrame:
     """ref_id, bin, beg, end: coalesced file ranges of the records of each bin."""
     rows = mapped_spans(reads).select("ref_id", reg2bin(F.col("pos"), F.col("ref_end")).alias("bin"), F.col("voffset").alias("beg"), F.col("end_voffset").alias("end"))
-    return coalesce_ranges(rows, ["ref_id", "bin"])
+    return coalesce_ranges(rows, ["ref_id", "bin"], STRETCH)
 
 
 def bai_linear(reads: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ def index_chunks(bins: DataFrame, linear: DataFrame, ref_id: int, beg: int, end:
 
     wanted = bins.where((F.col("ref_id") == ref_id) & F.col("bin").isin(bins_of(max(beg, 0), end)))
     window = max(beg, 0) >> BIN_LEVELS[-1][0]
-    least = linear.where((F.col("ref_id") == ref_id) & (F.col("win") <= window)).agg(F.max_by("voffset", "win").alias("least"))
-    kept = wanted.crossJoin(F.broadcast(least)).where(F.col("end") > F.coalesce("least", F.lit(0))).select("ref_id", "beg", "end")
+    least = linear.where((F.col("ref_id") == ref_id) & (F.col("win") <= window)).agg(F.max_by("voffset", "win").alias("least")).first()["least"]
+    kept = wanted.where(F.col("end") > (least or 0)).select("ref_id", "beg", "end")
     return coalesce_ranges(kept, ["ref_id"]).select("beg", "end")
 
 

@@ -246,3 +246,23 @@ def test_cram_with_reference_keeps_records(spark, tmp_path):
     assert ["".join(f"{o['len']}{o['op']}" for o in r["cigar"]) for r in got] == cigars
     (tmp_path / "empty.fa").write_text("")
     assert main(["convert", "--reference", str(tmp_path / "empty.fa"), str(tmp_path / "in.sam"), str(tmp_path / "x.cram")]) == 1
+
+
+def test_coalescing_in_stretches_changes_nothing(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(600):
+        beg = rng.randrange(3000)
+        rows.append((rng.randrange(3), beg, beg + rng.randrange(1, 12)))
+    ranges = spark.createDataFrame(rows, "k int, beg bigint, end bigint")
+    want = []
+    for k in range(3):
+        out = []
+        for beg, end in sorted((b, e) for kk, b, e in rows if kk == k):
+            if out and beg <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([beg, end])
+        want += [(k, b, e) for b, e in out]
+    for span in (None, 1, 100, 10**6):
+        assert sorted(tuple(r) for r in index.coalesce_ranges(ranges, ["k"], span).collect()) == sorted(want)
