@@ -42,7 +42,7 @@ class CumulativeLink:
         return self.tails(score).sum(axis=1)
 
 
-def fit(rows: list[tuple[list[int], list[float]]], grades: list[int], l1: float = 1e-4, steps: int = 400, least_rows: int = 3) -> CumulativeLink:
+def fit(rows: list[tuple], grades: list[int], l1: float = 1e-4, steps: int = 400, least_rows: int = 3) -> CumulativeLink:
     """rows: (buckets, values) of each example, buckets distinct within a row.
 
     Grades that do not occur are skipped over; with fewer than two grades the model has no
@@ -56,9 +56,9 @@ def fit(rows: list[tuple[list[int], list[float]]], grades: list[int], l1: float
         return CumulativeLink({}, [-9.0] * (levels - 1) or [9.0])
     y = np.array(grades)
     lens = np.array([len(r[0]) for r in rows])
-    cols = np.concatenate([np.array(r[0], dtype=np.int64) for r in rows]) if lens.sum() else np.zeros(0, np.int64)
-    vals = np.concatenate([np.array(r[1], dtype=float) for r in rows]) if lens.sum() else np.zeros(0)
-    which = np.repeat(np.arange(len(rows)), lens)
+    cols = np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows]) if lens.sum() else np.zeros(0, np.int32)
+    vals = np.concatenate([np.asarray(r[1], dtype=np.float32) for r in rows]) if lens.sum() else np.zeros(0, np.float32)
+    which = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     names, cols, often = np.unique(cols, return_inverse=True, return_counts=True)
     keep = (often >= least_rows)[cols]
     names, cols, vals, which = names[often >= least_rows], cols[keep], vals[keep], which[keep]

@@ -38,6 +38,8 @@ PER_CLASS = 2000
 KEEP_AT = 0.5
 #: Penalty of the fit; features of under a fortieth of the sample get no weight.
 L1 = 2e-3
+#: Words of no weight that each text is taken to have besides its own, so that a few words decide little.
+SMOOTH = 8
 #: Distinct words whose contribution a worker remembers.
 MEMO_WORDS = 200_000
 
@@ -66,8 +68,7 @@ def layout(text: str, words: list[str]) -> list[tuple[int, float]]:
         (bucket("again"), again),
         (bucket(f"again:{int(again * 20)}"), 1.0),
         *((bucket(f"again>{k}"), 1.0) for k in (1, 2, 4, 8) if again * 20 > k),
-        (bucket(f"rich:{10 * len(set(words)) // n}:{min(n.bit_length(), 12)}"), 1.0),
-        (bucket(f"long:{min(n.bit_length(), 12)}"), 1.0),
+        (bucket(f"rich:{10 * len(set(words)) // n}:{min(n.bit_length(), 12)}"), n / (n + SMOOTH)),
         (bucket("lines"), 1.0 - len(set(lines)) / len(lines)),
     ]
     merged: dict[int, float] = {}
@@ -83,7 +84,7 @@ def features(text: str) -> tuple[list[int], list[float]]:
     out: dict[int, float] = {}
     for word, times in Counter(words).items():
         for b in word_buckets(word):
-            out[b] = out.get(b, 0.0) + times / len(words)
+            out[b] = out.get(b, 0.0) + times / (len(words) + SMOOTH)
     for b, v in layout(text, words):
         out[b] = out.get(b, 0.0) + v
     return list(out), list(out.values())
@@ -99,8 +100,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 
-def collect_features(sample: DataFrame, extract) -> list:
-    """Rows (doc_id, quality, toxic, buckets, values) of the bounded sample, in order of id."""
+def collect_features(sample: DataFrame, extract) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(quality, toxic, buckets, values) of each row of the bounded sample, in order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,21 +111,22 @@ def collect_features(sample: DataFrame, extract) -> list:
                     batch.column("doc_id").cast(pa.int64()),
                     batch.column("quality").cast(pa.int64()),
                     batch.column("toxic").cast(pa.int64()),
-                    pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                    pa.array([f[1] for f in found], pa.list_(pa.float64())),
+                    pa.array([np.array(f[0], dtype="<i4").tobytes() for f in found], pa.binary()),
+                    pa.array([np.array(f[1], dtype="<f4").tobytes() for f in found], pa.binary()),
                 ],
                 names=["doc_id", "quality", "toxic", "buckets", "vals"],
             )
 
     small_batches(sample.sparkSession)
-    rows = sample.mapInArrow(run, "doc_id bigint, quality bigint, toxic bigint, buckets array<int>, vals array<double>").collect()
-    return sorted(rows, key=lambda r: r["doc_id"])
+    rows = sample.mapInArrow(run, "doc_id bigint, quality bigint, toxic bigint, buckets binary, vals binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return [(r["quality"], r["toxic"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["vals"], "<f4")) for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CumulativeLink:
     rows = collect_features(labelled(docs, labels, "quality", per_class), features)
-    grades = [0 if not r["quality"] else 1 if r["toxic"] else 2 for r in rows]
-    return ordinal.fit([(r["buckets"], r["vals"]) for r in rows], grades, l1=L1, least_rows=max(3, len(rows) // 40))
+    grades = [0 if not quality else 1 if toxic else 2 for quality, toxic, _, _ in rows]
+    return ordinal.fit([(b, v) for _, _, b, v in rows], grades, l1=L1, least_rows=max(3, len(rows) // 40))
 
 
 class Scorer:
@@ -149,7 +151,7 @@ class Scorer:
             for word in kinds.difference(memo):
                 a, b = word_buckets(word)
                 memo[word] = weight(a, 0.0) + weight(b, 0.0)
-            scores[i] = sum(map(memo.__getitem__, words)) / len(words) + sum(weight(b, 0.0) * v for b, v in layout(text, words))
+            scores[i] = sum(map(memo.__getitem__, words)) / (len(words) + SMOOTH) + sum(weight(b, 0.0) * v for b, v in layout(text, words))
         tails = self.model.tails(scores)
         tails[empty] = 0.0
         return np.round(tails, 6)

@@ -57,17 +57,18 @@ def features(text: str) -> tuple[list[int], list[float]]:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CumulativeLink:
     rows = collect_features(labelled(docs, labels, "toxic", per_class), features)
-    sparse = [(r["buckets"], r["vals"]) for r in rows]
-    toxic = [int(bool(r["toxic"])) for r in rows]
+    sparse = [(b, v) for _, _, b, v in rows]
+    toxic = [int(bool(t)) for _, t, _, _ in rows]
     wide = ordinal.fit(sparse, toxic, l1=SELECT_L1, steps=150, least_rows=max(3, len(rows) // 200))
     # The words that the strong penalty leaves are fitted again with a weak one, free of its shrinkage.
-    sparse = [([b for b in x if b in wide.weights], [1.0] * sum(b in wide.weights for b in x)) for x, _ in sparse]
+    left = np.array(sorted(wide.weights), dtype=np.int64)
+    sparse = [(b[k], v[k]) for b, v in sparse for k in [np.isin(b, left)]]
     first = ordinal.fit(sparse, toxic, l1=REFIT_L1)
-    scores = [sum(first.weights.get(b, 0.0) for b in x[0]) for x in sparse]
     if not any(toxic):
         return first
-    middle = float(np.median([s for s, t in zip(scores, toxic, strict=True) if t]))
-    return ordinal.fit(sparse, [t + (t and s > middle) for s, t in zip(scores, toxic, strict=True)], l1=REFIT_L1)
+    scores = np.array([sum(first.weights.get(b, 0.0) for b in x.tolist()) for x, _ in sparse])
+    middle = float(np.median(scores[np.array(toxic, dtype=bool)]))
+    return ordinal.fit(sparse, [t + int(t and s > middle) for s, t in zip(scores, toxic, strict=True)], l1=REFIT_L1)
 
 
 def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
