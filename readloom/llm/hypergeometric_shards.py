@@ -33,8 +33,8 @@ BLOCK_ROWS = 250_000
 #: Constant of the row's own size that is added to its text.
 ROW_BYTES = 8
 
-_DEALT = "row_ref bigint, shard int, mix bigint"
-_DEALT_ARROW = pa.schema([("row_ref", pa.int64()), ("shard", pa.int32()), ("mix", pa.int64())])
+_DEALT = "doc_id bigint, size bigint, text_crc32 bigint, row_ref bigint, shard int, mix bigint"
+_KEPT = ["doc_id", "size", "text_crc32", "row_ref"]
 
 
 def capacities(rows: int, shards: int) -> np.ndarray:
@@ -76,23 +76,22 @@ def _deal(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBat
 
     Rows of a partition come together. They are put in order first, so the deal depends on the seed only.
     """
-    held: list[np.ndarray] = []
+    held: list[pa.RecordBatch] = []
     now: tuple[int, list[int]] | None = None
 
     def dealt() -> Iterator[pa.RecordBatch]:
         part, counts = now
-        rows = np.sort(np.concatenate(held))
+        rows = pa.Table.from_batches(held)
         rng = np.random.Generator(np.random.Philox(key=[seed, part + 1]))
-        order = rng.permutation(len(rows))
+        order = np.argsort(rows.column("row_ref").to_numpy())[rng.permutation(len(rows))]
         shard = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         mix = rng.integers(-(2**63), 2**63 - 1, size=len(rows), dtype=np.int64)
-        for i in range(0, len(rows), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[order[j]]), pa.array(shard[j]), pa.array(mix[j])], schema=_DEALT_ARROW)
+        rows = rows.take(pa.array(order)).append_column("shard", pa.array(shard)).append_column("mix", pa.array(mix))
+        yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
 
     for batch in batches:
         parts = batch.column("part").to_numpy(zero_copy_only=False)
-        refs = batch.column("row_ref").to_numpy(zero_copy_only=False)
+        kept = batch.select(_KEPT)
         ends = [*(np.nonzero(np.diff(parts))[0] + 1).tolist(), len(parts)] if len(parts) else []
         at = 0
         for end in ends:
@@ -100,7 +99,7 @@ def _deal(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBat
                 if now is not None:
                     yield from dealt()
                 held, now = [], (int(parts[at]), batch.column("deal")[at].as_py())
-            held.append(refs[at:end])
+            held.append(kept.slice(at, end - at))
             at = end
     if now is not None:
         yield from dealt()
@@ -125,13 +124,11 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
     deal = spark.createDataFrame([(int(p), [int(x) for x in m]) for p, m in zip(parts, matrix, strict=True)], "part bigint, deal array<int>")
     # A broadcast join leaves the rows in their partition; beyond its bound they are exchanged and sorted by it.
-    dealt = rows.select("part", "row_ref").join(small_or_shuffled(deal, len(parts)), "part").mapInArrow(lambda batches: _deal(batches, seed), _DEALT)
+    dealt = rows.join(small_or_shuffled(deal, len(parts)), "part").mapInArrow(lambda batches: _deal(batches, seed), _DEALT)
     blocks = max(1, math.ceil(int(sizes.max(initial=0)) / BLOCK_ROWS))
     # Exchange: a block is a range of the random key within a shard, so blocks in order make the shard's permutation.
     width = F.lit(float(2**64) / blocks)
-    dealt = materialize(
-        rows.join(dealt, "row_ref").withColumn("block", F.least(F.lit(blocks - 1), ((F.col("mix").cast("double") + float(2**63)) / width).cast("int")))
-    )
+    dealt = materialize(dealt.withColumn("block", F.least(F.lit(blocks - 1), ((F.col("mix").cast("double") + float(2**63)) / width).cast("int"))))
     starts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
     starts = starts.select("shard", "block", before.alias("start"))
