@@ -333,11 +333,11 @@ def chunk_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zmw.contiguous_chunk(D.reads(spark, sf_dir), 3, 7).select("rec_no", "zmw_no")
 
 
-#: Scatter runs over the suppliers' molecules, few enough for the oracle to list the permutation.
+#: Scatter runs over a hundred molecules made of the customers, few enough for the oracle to list the permutation.
 _TILES = ", ".join(f"({t})" for t in zmw.scatter_tiles(100, 2, 4, 3, 7))
 
 
-def _nations_as_zmws(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers_as_zmws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_no"), F.lit(0).alias("rg_id"), (F.col("o_custkey") % 100).cast("int").alias("zmw"))
     return rows
 
@@ -348,7 +348,7 @@ u AS (SELECT zmw, row_number() OVER (ORDER BY min(rec_no)) - 1 AS zmw_no FROM r
 SELECT rec_no, zmw_no::BIGINT AS zmw_no FROM r JOIN u USING (zmw) WHERE zmw_no // 3 IN (SELECT * FROM (VALUES {_TILES}))"""
 )
 def chunk_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zmw.scatter_chunk(_nations_as_zmws(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
+    return zmw.scatter_chunk(_customers_as_zmws(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
 
 
 def _barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
