@@ -36,14 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/readloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint: survives lost executors and fixes partition contents."""
+def materialize(df: DataFrame, merge: bool = False) -> DataFrame:
+    """Reliable eager checkpoint: survives lost executors and fixes partition contents.
+
+    merge: the table is narrow and comes from an exchange; its partitions are written by two tasks for each
+    core, one partition after another, so that many small partitions do not become as many files.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(
             df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readloom-")
         )
-    return df.checkpoint(eager=True)
+    return (df.coalesce(2 * sc.defaultParallelism) if merge else df).checkpoint(eager=True)
 
 
 def small_or_shuffled(side: DataFrame, rows: int | None = None) -> DataFrame:

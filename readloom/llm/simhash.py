@@ -247,7 +247,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("tab", "key"))
     sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    hot = materialize(sizes.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    hot = materialize(sizes.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), merge=True)
     rows = rows.join(small_or_shuffled(hot), ["tab", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))))
@@ -265,7 +265,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every node that has an edge."""
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), merge=True)
     before = None
     for _ in range(rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -279,7 +279,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: each node hangs its smaller neighbours and itself on the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), merge=True)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -288,14 +288,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links), one row per row of docs."""
     prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), merge=True)
     stars = components(near_edges(distinct.select("fp"), radius))
     # Only fingerprints with a link go through their component; its least id is folded before any exchange.
     linked = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
-    linked = materialize(linked.join(distinct, "fp"))
-    lowest = materialize(linked.groupBy("root").agg(F.min("low_id").alias("component_id")))
+    linked = materialize(linked.join(distinct, "fp"), merge=True)
+    lowest = materialize(linked.groupBy("root").agg(F.min("low_id").alias("component_id")), merge=True)
     members = linked.select("fp", "root").join(small_or_shuffled(lowest), "root").select("fp", "component_id")
-    named = materialize(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id")))
+    named = materialize(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id")), merge=True)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -310,12 +310,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def id_of(column: str):
         return F.coalesce(F.col(column).cast("bigint"), F.lit(-(2**63)))
 
-    rows = materialize(near_dedup(docs, id_col, text_col, radius).select(id_of("doc_id").alias("_id"), id_of("component_id").alias("_stays")))
+    rows = materialize(near_dedup(docs, id_col, text_col, radius).select(id_of("doc_id").alias("_id"), id_of("component_id").alias("_stays")), merge=True)
     tagged = docs.withColumn("_id", id_of(id_col))
     # An id may stay for one component and go with another if it is repeated: it then stays.
-    repeated = materialize(rows.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") == F.col("_stays")).alias("stays")).where("n > 1"))
+    repeated = materialize(rows.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") == F.col("_stays")).alias("stays")).where("n > 1"), merge=True)
     lost = rows.where("_id <> _stays").select("_id").distinct().join(repeated.where("stays").select("_id"), "_id", "left_anti")
-    kept = tagged.join(small_or_shuffled(materialize(lost)), "_id", "left_anti")
+    kept = tagged.join(small_or_shuffled(materialize(lost, merge=True)), "_id", "left_anti")
     n = repeated.count()
     if n:
         twins = small_or_shuffled(repeated.select("_id"), n)
