@@ -253,6 +253,10 @@ def text_of(page):
         ("<p>a<!-- open", "a"),
         ("a < b and <3 c", "a < b and <3 c"),
         ("<title>t</title><p>x", "x"),
+        ("<article><h1 class=header>T</h1><div class='article-header'><p>s</p></div><p class=notice>n</p><ul><li>l</ul></article>", "T\ns\nl"),
+        ("<article><p>x</p><section id='post-comments'><p>r</p></section><div class='ad-slot'>a</div><figure><figcaption>c</figcaption></figure><pre>a\n  b</pre></article>", "x\nc\na b"),
+        ("<div id=main><div class='related-posts'><p>r</p></div><blockquote>q</blockquote></div><div class='site-footer'>f</div>", "q"),
+        ("<p>a&nbsp;b&#x2014;c&lt;d&gt; &notanentity; &amp;amp;</p>", "a b—c<d> ¬anentity; &amp;"),
     ],
 )
 def test_parse(page, want):
