@@ -240,12 +240,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     key = ["_sha", "_id"]
     dropped = exact_dedup(docs, id_col, text_col).where("not kept")
-    lost = materialize(dropped.select(F.col("text_sha256").alias("_sha"), id_of("doc_id").alias("_id"), id_of("keep_id").alias("_keep")))
+    lost = materialize(dropped.select(F.col("text_sha256").alias("_sha"), id_of("doc_id").alias("_id"), id_of("keep_id").alias("_keep")), merge=True)
     tagged = docs.withColumns({"_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), "_id": id_of(id_col)})
     kept = tagged.join(small_or_shuffled(lost.where("_id <> _keep").select(key)), key, "left_anti")
     twins = lost.where("_id = _keep").select(key).distinct()
     n = twins.count()
     if n:  # rows equal in id and text, of which one stays
-        twins = small_or_shuffled(materialize(twins), n)
+        twins = small_or_shuffled(materialize(twins, merge=True), n)
         kept = kept.join(twins, key, "left_anti").unionByName(kept.join(twins, key, "left_semi").dropDuplicates(key))
     return kept.drop(*key)
