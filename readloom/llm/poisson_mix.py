@@ -51,11 +51,13 @@ def source_rates(docs: DataFrame, source_col: str, weights: DataFrame | None, bu
     else:
         given = weights.select(F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("mix_source"), F.col("weight").cast("double").alias("w"))
         sized = sizes.join(given, "mix_source")
-    totals = sized.agg(F.sum("w").alias("all_w")).crossJoin(sizes.agg(F.sum("n").alias("all_n")))  # one row each
-    wanted = F.col("all_n").cast("double") if budget is None else F.lit(float(budget))
-    rates = sized.join(F.broadcast(totals)).select("mix_source", (wanted * F.col("w") / F.col("all_w") / F.col("n")).alias("rate")).where("rate > 0")
+    sized = materialize(sized.select("mix_source", "n", "w"), merge=True)
+    totals = sized.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    rows = totals["n"] if weights is None else docs.count() if budget is None else 0
+    wanted = float((rows or 0) if budget is None else budget)
+    rates = sized.select("mix_source", (F.lit(wanted) * F.col("w") / F.lit(totals["w"] or 1.0) / F.col("n")).alias("rate")).where("rate > 0")
     pieces = rates.withColumn("pieces", F.ceil(F.col("rate") / RATE_STEP).cast("int")).withColumn("step", F.col("rate") / F.col("pieces"))
-    return materialize(pieces.select("mix_source", "pieces", poisson_table("step").alias("table")))
+    return materialize(pieces.select("mix_source", "pieces", poisson_table("step").alias("table")), merge=True)
 
 
 def mix_sources(
