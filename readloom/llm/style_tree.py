@@ -127,8 +127,10 @@ class _Node:
 
 
 def says_noise(tokens: list[str], tag: str) -> bool:
-    """Whether a class or id names a part of the page that is not its article."""
+    """Whether a class or id names a part of the page that is not its article; a heading may be called header."""
     for token in tokens:
+        if tag in HEADINGS and token.lower() == "header":
+            continue
         if token.lower() in NOISE_WORDS:
             return True
         if tag not in MAIN_TAGS:
@@ -296,7 +298,7 @@ def importances(pages: DataFrame) -> DataFrame:
     """
     ddl = "host bigint, node bigint, what bigint, kind int, inner boolean"
     counts = pages.select("url", "html").mapInArrow(_stats, ddl).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
-    counts = materialize(counts)
+    counts = materialize(counts, merge=True)
     pages_of = counts.where("kind = 0").select("node", F.col("c").alias("m"))
     # A content on one page has importance 1 and needs no row of its own; only its number matters to the node.
     parts = counts.where("kind > 0 and not inner").groupBy("node", "kind").agg(F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -317,7 +319,7 @@ def noise_keys(pages: DataFrame) -> DataFrame:
     low = (F.col("inner") & (F.col("importance") < WITHIN) & (F.col("pages") >= PAGES_WITHIN)) | (
         ~F.col("inner") & (F.col("importance") < OUTSIDE) & (F.col("pages") >= PAGES_OUTSIDE)
     )
-    return materialize(importances(pages).where(low).select("key").distinct())
+    return materialize(importances(pages).where(low).select("key").distinct(), merge=True)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], noise: np.ndarray | None) -> Iterator[pa.RecordBatch]:
