@@ -24,8 +24,6 @@ and records after them are not returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +57,7 @@ def with_first(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     )
     # Partial counts fold a large group of equal payloads before the exchange; only repeated digests remain.
     groups = rows.where(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    groups = materialize(groups.where("n > 1").select("digest", "first_id"))
+    groups = materialize(groups.where("n > 1").select("digest", "first_id"), merge=True)
     return rows.join(small_or_shuffled(groups), "digest", "left")
 
 
@@ -216,8 +214,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Of a response the payload is measured; of a revisit its length and digest are read from its headers.
     """
     scanned = materialize(_scan(spark, path))
-    found = materialize(verify(scanned.select("file", "split", "seq", "size", "need")))
-    split_up = materialize(found.join(found.where("not start").select("file", "rec").distinct(), ["file", "rec"], "left_semi"))
+    found = materialize(verify(scanned.select("file", "split", "seq", "size", "need")), merge=True)
+    split_up = materialize(found.join(found.where("not start").select("file", "rec").distinct(), ["file", "rec"], "left_semi"), merge=True)
     pieces = split_up.count()
     place = ["file", "split", "seq"]
     fields = list(_fields(F.lit(True)))
