@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import materialize, small_batches
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Posterior from which a document is good.
@@ -194,6 +194,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 columns = [batch.column(0), *(pa.array(c[k]) for k in COUNTS), pa.array(pattern_code(rule_votes(c)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "votes"])
 
+    small_batches(docs.sparkSession)
     ddl = "doc_id bigint, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", votes bigint"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
