@@ -5,14 +5,15 @@ the root (tag, classes, id), and it counts the pages that have it, the child seq
 has there (presentation) and the texts it holds (content). Importance follows from
 entropy: a content node that c of the node's m pages show has importance 1 - ln c / ln m
 (0 if each page shows it, 1 if one does); a node's own importance combines the entropy of
-its presentation with the mean of its contents. Branches of low importance are removed
-from each page. Elements whose tag, role, class or id says menu, header, footer, sidebar,
+its presentation with the mean of its contents. Branches of low importance, and contents
+that at least nine in ten of the pages show, are removed from each page. Pages with the same
+blocks are counted once, so copies of a page never make its article repeated. Elements whose tag, role, class or id says menu, header, footer, sidebar,
 notice, advert, form or comments have no importance, and those that say article or main
 have full importance: only a text that nearly all pages of the host repeat is removed there.
 What stands outside of them on a page that has them is not the article.
 
-Plan: one pass parses pages and emits (host, node, content) hashes, which are counted with
-partial aggregation; the removable branches, few against the pages, are sent to the tasks
+Plan: one pass parses pages and emits the hashes of their nodes and contents, of which one
+list for each distinct page is kept and counted with partial aggregation; the removable branches, few against the pages, are sent to the tasks
 as a sorted array of 64-bit keys if there are at most ``NOISE_KEYS``, and a second pass
 removes them. With more keys the blocks of the pages are joined with them by a shuffle and
 each page's blocks are put together again. No host is ever gathered in a task.
@@ -38,9 +39,11 @@ from readloom.llm.common import materialize
 
 #: Removable branches up to which their keys are sent to every task (8 bytes each).
 NOISE_KEYS = 1_000_000
-#: Importance under which a branch goes: outside of, and within, an element that says article or main.
-OUTSIDE, WITHIN = 0.4, 0.08
-#: Pages of a host that must have a node before its texts can be called repeated, outside and within.
+#: Importance under which a node goes.
+OUTSIDE = 0.4
+#: Share of the pages from which a text is repeated on nearly all of them.
+NEARLY_ALL = 0.9
+#: Distinct pages of a host that must have a node before its texts can be called repeated, outside and within.
 PAGES_OUTSIDE, PAGES_WITHIN = 3, 20
 #: Weight of a node's contents in its importance, against its presentation.
 GAMMA = 0.9
@@ -269,35 +272,48 @@ def _key(*parts: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+_PAGE = "host bigint, page bigint, items array<struct<node: bigint, what: bigint, kind: int, inner: boolean>>"
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, what, kind, inner) of each page: kind 0 the page has the node, 1 a content of it, 2 its presentation.
+    """host, page and items of each page; page is a digest of the blocks that may be its article.
 
+    Items are (node, what, kind, inner): kind 0 the page has the node, 1 a content of it, 2 its presentation.
     A host is a node too, which each of its pages has.
     """
-    fields = (("host", pa.int64()), ("node", pa.int64()), ("what", pa.int64()), ("kind", pa.int32()), ("inner", pa.bool_()))
+    fields = (("node", pa.int64()), ("what", pa.int64()), ("kind", pa.int32()), ("inner", pa.bool_()))
     for batch in batches:
-        rows: list[tuple[int, int, int, int, bool]] = []
+        hosts, digests, ends = [], [], [0]
+        items: list[tuple[int, int, int, bool]] = []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url)
             root = _key(host)
-            met = {(root, root, 0, 0, False)}
+            met = {(root, 0, 0, False)}
+            texts = []
             for b in standing(parse(page)):
-                node = _key(host, b.path)
+                node, text = _key(host, b.path), _key(host, b.path, b.text)
                 inner = b.main or b.hint
-                met |= {(root, node, 0, 0, inner), (root, node, _key(host, b.path, b.text), 1, inner), (root, node, _key(b.style), 2, inner)}
-            rows += met
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+                texts.append(text)
+                met |= {(node, 0, 0, inner), (node, text, 1, inner), (node, _key(b.style), 2, inner)}
+            hosts.append(root)
+            digests.append(_key(*map(str, texts)))
+            items += sorted(met)
+            ends.append(len(items))
+        columns = list(zip(*items, strict=True)) if items else [[]] * len(fields)
+        structs = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), lists], names=["host", "page", "items"])
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """key, importance, pages, inner of each node (key: of host and path) and repeated content (of host, path, text).
+    """key, importance, share, pages, inner of each node (key: of host and path) and repeated content (of host, path, text).
 
     A content that says article or main is measured against all pages of the host, any other one against
-    the pages that have its node; pages is the number of those.
+    the pages that have its node; pages is the number of those, and share how many of them show it. Copies of
+    a page (same blocks, whatever stands around them) are one page.
     """
-    ddl = "host bigint, node bigint, what bigint, kind int, inner boolean"
-    counts = pages.select("url", "html").mapInArrow(_stats, ddl).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
+    distinct = pages.select("url", "html").mapInArrow(_stats, _PAGE).groupBy("host", "page").agg(F.min("items").alias("items"))
+    counts = distinct.select("host", F.inline("items")).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
     counts = materialize(counts, merge=True)
     pages_of = counts.where("kind = 0").select("node", F.col("c").alias("m"))
     # A content on one page has importance 1 and needs no row of its own; only its number matters to the node.
@@ -308,18 +324,17 @@ def importances(pages: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.max(F.when(F.col("kind") == 1, 1 - share)).alias("content"), F.max(F.when(F.col("kind") == 2, 1 - share)).alias("presentation"), F.max("m").alias("pages"))
     )
-    own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), "pages", F.lit(False).alias("inner"))
+    own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), F.lit(None).cast("double").alias("share"), "pages", F.lit(False).alias("inner"))
     repeated = counts.where("kind = 1 and c > 1").withColumn("node", F.when(F.col("inner"), F.col("host")).otherwise(F.col("node"))).join(pages_of, "node")
-    contents = repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), F.col("m").alias("pages"), "inner")
+    contents = repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), (F.col("c") / F.col("m")).alias("share"), F.col("m").alias("pages"), "inner")
     return own.unionByName(contents)
 
 
 def noise_keys(pages: DataFrame) -> DataFrame:
-    """key of each node and content of low importance; materialized."""
-    low = (F.col("inner") & (F.col("importance") < WITHIN) & (F.col("pages") >= PAGES_WITHIN)) | (
-        ~F.col("inner") & (F.col("importance") < OUTSIDE) & (F.col("pages") >= PAGES_OUTSIDE)
-    )
-    return materialize(importances(pages).where(low).select("key").distinct(), merge=True)
+    """key of each node of low importance and each content that nearly all pages repeat; materialized."""
+    low = (F.col("share").isNull() & (F.col("importance") < OUTSIDE)) | (F.col("share") >= NEARLY_ALL)
+    enough = F.col("pages") >= F.when(F.col("inner"), PAGES_WITHIN).otherwise(PAGES_OUTSIDE)
+    return materialize(importances(pages).where(low & enough).select("key").distinct(), merge=True)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], noise: np.ndarray | None) -> Iterator[pa.RecordBatch]:

@@ -297,6 +297,34 @@ def test_repeated_articles_stay(spark):
     assert all(got[i] == ("One\nSame article" if i % 2 else f"Other {i}") for i in range(60))
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in T.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_count_once(spark):
+    copy = "<article><h1>One</h1><p>Same article</p></article>"
+    rows = [(i, "http://three.example/", "<p>Copied text</p>" if i else "<p>Other text</p>") for i in range(3)]
+    rows += [(100 + i, "http://copies.example/", copy + f"<footer>{i}</footer>") for i in range(40)]
+    rows += [(200 + i, "http://nearly.example/", copy if i else "<article><p>Other</p></article>") for i in range(40)]
+    rows += [(300 + i, "http://plain.example/", "<p>Copied text</p><p>and more</p>") for i in range(40)]
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(3)] == ["Other text", "Copied text", "Copied text"]
+    assert {got[100 + i] for i in range(40)} == {"One\nSame article"}
+    assert [got[200 + i] for i in range(40)] == ["Other"] + ["One\nSame article"] * 39
+    assert {got[300 + i] for i in range(40)} == {"Copied text\nand more"}
+
+
+@pytest.mark.parametrize("mark", ["article"])
+def test_the_share_of_repeats_does_not_fall_with_the_host(spark, mark):
+    def text_of_page(i, n):
+        return f"Own {i}" + ("\nIn four of five" if i % 5 else "") + ("\nIn nearly all" if i < n - 1 else "")
+
+    rows = [(1000 * n + i, f"http://h{n}.example/", f"<{mark}>" + "".join(f"<p>{t}</p>" for t in text_of_page(i, n).split("\n")) + f"</{mark}>") for n in (20, 400) for i in range(n)]
+    got = extracted(spark, rows)
+    for n in (20, 400):
+        assert [got[1000 * n + i] for i in range(n)] == [text_of_page(i, n).replace("\nIn nearly all", "") for i in range(n)]
+
+
 def test_importance_follows_entropy(spark):
     rows = [(i, "http://h.example/", f"<p>own {i}</p><h2>{'half' if i % 2 else 'rest'}</h2><h3>all</h3>") for i in range(16)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
