@@ -5,8 +5,9 @@ the root (tag, classes, id), and it counts the pages that have it, the child seq
 has there (presentation) and the texts it holds (content). Importance follows from
 entropy: a content node that c of the node's m pages show has importance 1 - ln c / ln m
 (0 if each page shows it, 1 if one does); a node's own importance combines the entropy of
-its presentation with the mean of its contents. Branches of low importance, and contents
-that at least nine in ten of the pages show, are removed from each page. Pages with the same
+its presentation with the mean of its contents. Contents that at least nine in ten of the
+pages show (those of the least importance) are removed from each page, so a node goes when all
+its contents do. Pages with the same
 blocks are counted once, so copies of a page never make its article repeated. Elements whose tag, role, class or id says menu, header, footer, sidebar,
 notice, advert, form or comments have no importance, and those that say article or main
 have full importance: only a text that nearly all pages of the host repeat is removed there.
@@ -39,8 +40,6 @@ from readloom.llm.common import materialize
 
 #: Removable branches up to which their keys are sent to every task (8 bytes each).
 NOISE_KEYS = 1_000_000
-#: Importance under which a node goes.
-OUTSIDE = 0.4
 #: Share of the pages from which a text is repeated on nearly all of them.
 NEARLY_ALL = 0.9
 #: Distinct pages of a host that must have a node before its texts can be called repeated, outside and within.
@@ -305,6 +304,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), lists], names=["host", "page", "items"])
 
 
+def _counts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """c distinct pages of each (host, node, what, kind), and m of each node."""
+    distinct = pages.select("url", "html").mapInArrow(_stats, _PAGE).groupBy("host", "page").agg(F.min("items").alias("items"))
+    counts = distinct.select("host", F.inline("items")).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
+    counts = materialize(counts, merge=True)
+    return counts, counts.where("kind = 0").select("node", F.col("c").alias("m"))
+
+
 def importances(pages: DataFrame) -> DataFrame:
     """key, importance, share, pages, inner of each node (key: of host and path) and repeated content (of host, path, text).
 
@@ -312,33 +319,33 @@ def importances(pages: DataFrame) -> DataFrame:
     the pages that have its node; pages is the number of those, and share how many of them show it. Copies of
     a page (same blocks, whatever stands around them) are one page.
     """
-    distinct = pages.select("url", "html").mapInArrow(_stats, _PAGE).groupBy("host", "page").agg(F.min("items").alias("items"))
-    counts = distinct.select("host", F.inline("items")).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
-    counts = materialize(counts, merge=True)
-    pages_of = counts.where("kind = 0").select("node", F.col("c").alias("m"))
-    # A content on one page has importance 1 and needs no row of its own; only its number matters to the node.
-    parts = counts.where("kind > 0 and not inner").groupBy("node", "kind").agg(F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    share = F.col("clogc") / (F.col("m") * F.log("m"))
-    nodes = (
-        parts.join(pages_of.where("m > 1"), "node")
-        .groupBy("node")
-        .agg(F.max(F.when(F.col("kind") == 1, 1 - share)).alias("content"), F.max(F.when(F.col("kind") == 2, 1 - share)).alias("presentation"), F.max("m").alias("pages"))
-    )
+    counts, pages_of = _counts(pages)
+    parts = counts.where("kind > 0 and not inner").join(pages_of.where("m > 1"), "node")
+    # Of the contents each counts once, of the presentations each page.
+    content = F.avg(F.when(F.col("kind") == 1, 1 - F.log("c") / F.log("m")))
+    presentation = 1 - F.sum(F.when(F.col("kind") == 2, F.col("c") * F.log("c"))) / (F.max("m") * F.log(F.max("m")))
+    nodes = parts.groupBy("node").agg(content.alias("content"), presentation.alias("presentation"), F.max("m").alias("pages"))
     own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), F.lit(None).cast("double").alias("share"), "pages", F.lit(False).alias("inner"))
+    return own.unionByName(_contents(counts, pages_of))
+
+
+def _contents(counts: DataFrame, pages_of: DataFrame) -> DataFrame:
+    """The rows of importances() of the repeated contents."""
     repeated = counts.where("kind = 1 and c > 1").withColumn("node", F.when(F.col("inner"), F.col("host")).otherwise(F.col("node"))).join(pages_of, "node")
-    contents = repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), (F.col("c") / F.col("m")).alias("share"), F.col("m").alias("pages"), "inner")
-    return own.unionByName(contents)
+    return repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), (F.col("c") / F.col("m")).alias("share"), F.col("m").alias("pages"), "inner")
 
 
 def noise_keys(pages: DataFrame) -> DataFrame:
-    """key of each node of low importance and each content that nearly all pages repeat; materialized."""
-    low = (F.col("share").isNull() & (F.col("importance") < OUTSIDE)) | (F.col("share") >= NEARLY_ALL)
+    """key of each content that nearly all pages repeat; materialized.
+
+    A node never goes as a whole: it may hold texts of one page beside repeated ones, which go by themselves.
+    """
     enough = F.col("pages") >= F.when(F.col("inner"), PAGES_WITHIN).otherwise(PAGES_OUTSIDE)
-    return materialize(importances(pages).where(low & enough).select("key").distinct(), merge=True)
+    return materialize(_contents(*_counts(pages)).where((F.col("share") >= NEARLY_ALL) & enough).select("key").distinct(), merge=True)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], noise: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """With noise: page_id, url, text of each page. Without: ref, page_id, url, pos, path_key, text_key, text of each block."""
+    """With noise: page_id, url, text of each page. Without: ref, page_id, url, pos, text_key, text of each block."""
     known = set(noise.tolist()) if noise is not None else set()
     for batch in batches:
         ids, urls = batch.column("page_id"), batch.column("url")
@@ -346,19 +353,19 @@ def _extract(batches: Iterator[pa.RecordBatch], noise: np.ndarray | None) -> Ite
         for ref, url, page in zip(batch.column("ref").to_pylist(), urls.to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks, host = standing(parse(page)), host_of(url)
             if noise is None:
-                found.append([(ref, -1, None, None, None)] + [(ref, i, _key(host, b.path), _key(host, b.path, b.text), b.text) for i, b in enumerate(blocks)])
+                found.append([(ref, -1, None, None)] + [(ref, i, _key(host, b.path, b.text), b.text) for i, b in enumerate(blocks)])
             elif known:
-                found.append("\n".join(b.text for b in blocks if _key(host, b.path) not in known and _key(host, b.path, b.text) not in known))
+                found.append("\n".join(b.text for b in blocks if _key(host, b.path, b.text) not in known))
             else:
                 found.append("\n".join(b.text for b in blocks))
         if noise is not None:
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(found, pa.string())], names=["page_id", "url", "text"])
             continue
         take = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-        flat = list(zip(*(row for f in found for row in f), strict=True)) if found else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-        ref, pos, path_key, text_key, text = (pa.array(c, k) for c, k in zip(flat, kinds, strict=True))
-        yield pa.RecordBatch.from_arrays([ref, ids.take(take), urls.take(take), pos, path_key, text_key, text], names=["ref", "page_id", "url", "pos", "path_key", "text_key", "text"])
+        flat = list(zip(*(row for f in found for row in f), strict=True)) if found else [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+        ref, pos, text_key, text = (pa.array(c, k) for c, k in zip(flat, kinds, strict=True))
+        yield pa.RecordBatch.from_arrays([ref, ids.take(take), urls.take(take), pos, text_key, text], names=["ref", "page_id", "url", "pos", "text_key", "text"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", noise_limit: int = NOISE_KEYS) -> DataFrame:
@@ -369,10 +376,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         keys = np.sort(np.array([r["key"] for r in noise.collect()], dtype=np.int64))
         texts = rows.mapInArrow(lambda batches: _extract(batches, keys), "page_id bigint, url string, text string")
     else:
-        ddl = "ref bigint, page_id bigint, url string, pos int, path_key bigint, text_key bigint, text string"
-        blocks = rows.mapInArrow(lambda batches: _extract(batches, None), ddl)
-        for column in ("path_key", "text_key"):
-            blocks = blocks.join(noise.withColumnRenamed("key", column), column, "left_anti")
+        ddl = "ref bigint, page_id bigint, url string, pos int, text_key bigint, text string"
+        blocks = rows.mapInArrow(lambda batches: _extract(batches, None), ddl).join(noise.withColumnRenamed("key", "text_key"), "text_key", "left_anti")
         whole = blocks.groupBy("ref").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("all"))
         texts = whole.select("page_id", "url", F.array_join(F.transform(F.filter("all", lambda b: b["pos"] >= 0), lambda b: b["text"]), "\n").alias("text"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -314,7 +314,7 @@ def test_copies_of_a_page_count_once(spark):
     assert {got[300 + i] for i in range(40)} == {"Copied text\nand more"}
 
 
-@pytest.mark.parametrize("mark", ["article"])
+@pytest.mark.parametrize("mark", ["div", "article"])
 def test_the_share_of_repeats_does_not_fall_with_the_host(spark, mark):
     def text_of_page(i, n):
         return f"Own {i}" + ("\nIn four of five" if i % 5 else "") + ("\nIn nearly all" if i < n - 1 else "")
@@ -325,6 +325,17 @@ def test_the_share_of_repeats_does_not_fall_with_the_host(spark, mark):
         assert [got[1000 * n + i] for i in range(n)] == [text_of_page(i, n).replace("\nIn nearly all", "") for i in range(n)]
 
 
+@pytest.mark.parametrize("limit", [T.NOISE_KEYS, -1])
+def test_a_shared_text_takes_no_unique_ones_with_it(spark, limit):
+    own = {i: [f"Paragraph {k} of {i}" for k in range(10)] for i in range(5)}
+    rows = [(i, "http://h.example/", "<div>" + "".join(f"<p>{t}</p>" for t in [*own[i], "Shared by all"]) + "</div>") for i in own]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in T.extract_text(table, noise_limit=limit).collect()}
+    assert got == {i: "\n".join(texts) for i, texts in own.items()}
+    node = {r["key"]: r["importance"] for r in T.importances(table).collect()}[T._key("h.example", "html/div/p")]
+    assert node == pytest.approx(T.GAMMA * 50 / 51)  # fifty contents of importance 1, one of 0
+
+
 def test_importance_follows_entropy(spark):
     rows = [(i, "http://h.example/", f"<p>own {i}</p><h2>{'half' if i % 2 else 'rest'}</h2><h3>all</h3>") for i in range(16)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
