@@ -9,7 +9,8 @@ its presentation with the mean of its contents. Contents that at least nine in t
 pages show (those of the least importance) are removed from each page, so a node goes when all
 its contents do. Pages with the same
 blocks are counted once, so copies of a page never make its article repeated. Elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or comments have no importance, and those that say article or main
+notice, advert, form or comments have no importance (where only a part of a name does, a main in
+the element stands, and so does an article with most of the page's text), and those that say article or main
 have full importance: only a text that nearly all pages of the host repeat is removed there.
 What stands outside of them on a page that has them is not the article.
 
@@ -89,7 +90,7 @@ _PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("dropped", "heading", "hint", "kids", "link", "main", "path", "soft", "tag")
+    __slots__ = ("dropped", "heading", "hint", "kids", "link", "main", "part", "path", "soft", "tag", "weak")
 
     def __init__(self, tag: str, above: _Node | None, attributes: str):
         self.tag = tag
@@ -106,6 +107,8 @@ class _Node:
             key += "#" + _DIGITS.sub("", ident)
         self.path = f"{above.path}/{key}" if above else key
         self.dropped = above.dropped if above else False
+        self.part = above.part if above else False  # within an element that a part of its class or id drops
+        self.weak = above.weak if above else False  # within an <article> that would lift such a drop
         self.main = above.main if above else False  # within <article> or <main>
         self.hint = above.hint if above else False  # within an element whose class or id says so
         self.soft = above.soft if above else False  # within a header of the article: headings only
@@ -117,42 +120,53 @@ class _Node:
             return
         tokens = f"{classes} {ident}".split()
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
-        if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or (tag != "main" and says_noise(tokens, tag)):
+        says = says_noise(tokens, tag) if tag != "main" else 0
+        if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or says == WHOLE:
             self.dropped = True
+        elif says == PART and role not in MAIN_ROLES:
+            self.part, self.weak = True, False
         elif tag == "header":
             self.dropped = not (self.main or self.hint)
             self.soft = True
         elif tag in MAIN_TAGS or role in MAIN_ROLES:
-            self.main = True
+            # A layout's wrapper is named for the sidebar beside the article: a main in it stands, an article may.
+            self.weak = (self.part or self.weak) and tag != "main" and role != "main"
+            self.main, self.part = True, False
         elif tag in ("div", "section", "td") and any(t.lower() in MAIN_WORDS for t in tokens):
             self.hint = True
 
 
-def says_noise(tokens: list[str], tag: str) -> bool:
-    """Whether a class or id names a part of the page that is not its article; a heading may be called header."""
+#: How a class or id names noise: by one of its parts, or as it is.
+PART, WHOLE = 1, 2
+
+
+def says_noise(tokens: list[str], tag: str) -> int:
+    """Whether a class or id names a part of the page that is not its article (0, PART or WHOLE); a heading may be called header."""
+    says = 0
     for token in tokens:
         if tag in HEADINGS and token.lower() == "header":
             continue
         if token.lower() in NOISE_WORDS:
-            return True
+            return WHOLE
         if tag not in MAIN_TAGS:
             parts = [p.lower() for p in _PART.split(token)]
-            if parts[0] not in NEGATIONS and any(p in NOISE_WORDS for p in parts) and not any(p in MAIN_WORDS for p in parts[:1]):
-                return True
+            parts = parts[: next((i for i, p in enumerate(parts) if p in NEGATIONS), len(parts))]  # what it has is not what it is
+            if any(p in NOISE_WORDS for p in parts) and not any(p in MAIN_WORDS for p in parts[:1]):
+                says = PART
             if len(parts) > 1 and parts[0] in MAIN_WORDS and any(p in NOISE_WORDS - {"header"} for p in parts[1:]):
-                return True
-    return False
+                says = PART
+    return says
 
 
 class Block:
     """One block of text: its node's path and style, and where it stands."""
 
-    __slots__ = ("dropped", "hint", "linked", "main", "path", "style", "text")
+    __slots__ = ("dropped", "hint", "linked", "main", "path", "style", "text", "weak")
 
     def __init__(self, node: _Node, text: str, linked: float):
         self.path, self.text, self.linked = node.path, text, linked
-        self.dropped = node.dropped or (node.soft and not node.heading)
-        self.main, self.hint = node.main, node.hint
+        self.dropped = node.dropped or node.part or (node.soft and not node.heading)
+        self.main, self.hint, self.weak = node.main, node.hint, node.weak
         self.style = ",".join(dict.fromkeys(node.kids))
 
 
@@ -252,8 +266,17 @@ def parse(page: str | None) -> list[Block]:
 
 
 def standing(blocks: list[Block]) -> list[Block]:
-    """Blocks that may be the article: without noise elements, and of the page's article if it has one."""
+    """Blocks that may be the article: without noise elements, and of the page's article if it has one.
+
+    An <article> within an element that is dropped by a part of its name counts if it has most of the text.
+    """
     left = [b for b in blocks if not b.dropped]
+    weak = [b for b in left if b.weak]
+    if weak:
+        others = [b for b in left if not b.weak]
+        rest = standing(others)
+        if sum(len(b.text) for b in weak) <= sum(len(b.text) for b in rest):
+            return rest
     for level in ("main", "hint"):
         inner = [b for b in left if getattr(b, level)]
         if inner:

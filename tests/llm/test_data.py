@@ -263,6 +263,26 @@ def test_parse(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='content-sidebar-wrap'><main><p>x</p></main><aside>s</aside></div>", "x"),
+        ("<div class='page-with-sidebar'><p>x</p><div class=sidebar>s</div></div>", "x"),
+        ("<div class='content-with-sidebar'><p>x</p></div>", "x"),
+        ("<div id='layout-sidebar-right'><h2>s</h2><article><p>x y z</p><div class='ad-slot'>a</div></article></div><p>t</p>", "x y z"),
+        ("<div class='content-sidebar-wrap' role=main><p>x</p></div><p>t</p>", "x"),
+        ("<div class='site-header-wrap'><div role=main><p>x</p><div class='share-bar'>s</div></div></div>", "x"),
+        ("<main><h1>T</h1><div class='content-sidebar-wrap'><article><p>x y z</p></article></div></main>", "T\nx y z"),
+        ("<div class='related-posts'><article><p>teaser</p></article></div><article><p>the whole story</p></article>", "the whole story"),
+        ("<div class='sidebar-box'><article><p>teaser</p></article></div><div><p>the whole story</p></div>", "the whole story"),
+        ("<div class='sidebar'><main><p>s</p></main></div><p>x</p>", "x"),
+        ("<div class='ad-slot'><p>a</p></div><div class='post-comments'><p>r</p></div><p>x</p>", "x"),
+    ],
+)
+def test_a_part_of_a_name_drops_no_article(page, want):
+    assert text_of(page) == want
+
+
 def site(spark, hosts=2, per_host=30):
     rows = []
     for h in range(hosts):
