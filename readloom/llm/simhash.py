@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import materialize, small_or_shuffled
@@ -64,15 +64,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed bigint)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed bigint), with digest also sha (the text's SHA-256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            sha = [batch.column(2)] if digest else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *sha], names=["doc_id", "fp", *["sha"] * digest])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[_sha(text_col).alias("sha")] * digest]
+    return docs.select(*columns).mapInArrow(run, "doc_id bigint, fp bigint" + ", sha binary" * digest)
+
+
+def _sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def table_masks(rows: int, radius: int = RADIUS, mean_bucket: int = MEAN_BUCKET) -> list[int]:
@@ -285,39 +291,55 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links), one row per row of docs."""
-    prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), merge=True)
+def _named(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id, root (the component's own fingerprint) and alone (one row, without links) of each fingerprint; materialized."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")), merge=True)
     stars = components(near_edges(distinct.select("fp"), radius))
     # Only fingerprints with a link go through their component; its least id is folded before any exchange.
     linked = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
     linked = materialize(linked.join(distinct, "fp"), merge=True)
     lowest = materialize(linked.groupBy("root").agg(F.min("low_id").alias("component_id")), merge=True)
-    members = linked.select("fp", "root").join(small_or_shuffled(lowest), "root").select("fp", "component_id")
-    named = materialize(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id")), merge=True)
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    members = linked.select("fp", "root").join(small_or_shuffled(lowest), "root").select("fp", "root", "component_id")
+    named = distinct.join(members, "fp", "left")
+    # A component of null ids has a null id of its own; without a link low_id is its id.
+    component_id = F.when(F.col("root").isNull(), F.col("low_id")).otherwise(F.col("component_id"))
+    alone = F.col("root").isNull() & (F.col("n") == 1)
+    return materialize(named.select("fp", component_id.alias("component_id"), F.coalesce("root", "fp").alias("root"), alone.alias("alone")), merge=True)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links), one row per row of docs."""
+    prints = materialize(fingerprints(docs, id_col, text_col))
+    return prints.join(_named(prints, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that with the least id (of rows with the same id, any one).
+    """docs with one row of each component: that with the least id, null ids last (of rows with the same id, that
+    of the least text digest; of rows equal in id and text, any one).
 
-    The ids that go are anti-joined, by broadcast up to BROADCAST_ROWS of them, so that text is exchanged
-    beyond that number only.
+    The rows that go, ids and digests, are anti-joined: by broadcast up to BROADCAST_ROWS of them, so that text
+    is exchanged beyond that number only. A digest belongs to one component, so no key reaches into another.
     """
 
-    # A component that stays under a null id has null ids only.
-    def id_of(column: str):
-        return F.coalesce(F.col(column).cast("bigint"), F.lit(-(2**63)))
-
-    rows = materialize(near_dedup(docs, id_col, text_col, radius).select(id_of("doc_id").alias("_id"), id_of("component_id").alias("_stays")), merge=True)
-    tagged = docs.withColumn("_id", id_of(id_col))
-    # An id may stay for one component and go with another if it is repeated: it then stays.
-    repeated = materialize(rows.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") == F.col("_stays")).alias("stays")).where("n > 1"), merge=True)
-    lost = rows.where("_id <> _stays").select("_id").distinct().join(repeated.where("stays").select("_id"), "_id", "left_anti")
-    kept = tagged.join(small_or_shuffled(materialize(lost, merge=True)), "_id", "left_anti")
-    n = repeated.count()
-    if n:
-        twins = small_or_shuffled(repeated.select("_id"), n)
-        kept = kept.join(twins, "_id", "left_anti").unionByName(kept.join(twins, "_id", "left_semi").dropDuplicates(["_id"]))
-    return kept.drop("_id")
+    def id_of(column: str) -> dict[str, Column]:
+        found = F.col(column).cast("bigint")
+        return {"_id": F.coalesce(found, F.lit(0).cast("bigint")), "_null": found.isNull()}
+
+    key = ["_sha", "_id", "_null"]
+    prints = materialize(fingerprints(docs, id_col, text_col, digest=True))
+    rows = prints.join(_named(prints, radius).where("not alone"), "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = materialize(rows.select(F.col("sha").alias("_sha"), *(c.alias(n) for n, c in id_of("doc_id").items()), "root", stays.alias("_first")))
+    # Rows under the component's id: of those one digest stays.
+    first = materialize(rows.where("_first").groupBy("root", *key).agg(F.count("*").alias("n")), merge=True)
+    best = materialize(first.groupBy("root").agg(F.min("_sha").alias("_best")), merge=True)
+    first = materialize(first.join(small_or_shuffled(best), "root").withColumn("_stays", F.col("_sha") == F.col("_best")), merge=True)
+    lost = rows.where("not _first").select(*key).unionByName(first.where("not _stays").select(*key)).distinct()
+    tagged = docs.withColumns({"_sha": _sha(text_col)} | id_of(id_col))
+    kept = tagged.join(small_or_shuffled(materialize(lost, merge=True)), key, "left_anti")
+    twins = first.where("_stays and n > 1").select(*key)
+    n = twins.count()
+    if n:  # rows equal in id and text, of which one stays
+        twins = small_or_shuffled(twins, n)
+        kept = kept.join(twins, key, "left_anti").unionByName(kept.join(twins, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)

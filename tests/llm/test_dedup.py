@@ -197,6 +197,29 @@ def test_near_dedup_edge_cases(spark):
     assert ids == sorted({str(min((x for x in ids if x is not None), default=None)) for ids in want.values()})
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_null_and_repeated_ids_lose_no_text(spark, monkeypatch, bound):
+    import readloom.llm.common as common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    words = [f"{random.Random(i).getrandbits(64):x}" for i in range(12 * 40)]
+    text = [" ".join(words[40 * i : 40 * i + 40]) for i in range(12)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2].upper()), (None, text[2])]  # three components under null
+    rows += [(7, text[3]), (7, text[4]), (7, text[5]), (7, text[5])]  # three under one id
+    rows += [(1, text[6]), (8, text[6].upper()), (8, text[7])]  # a near copy, whose id is another text's only one
+    rows += [(9, text[8]), (None, text[8].upper())]
+    rows += [(3, text[9]), (3, text[9].upper()), (4, text[9])]
+    rows += [(-(2**63), text[10]), (None, text[10]), (None, text[11]), (0, text[11])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row_ref int").repartition(4)
+    fps = np.array([S.fingerprint(t) for t in text], dtype=np.uint64)
+    assert brute_components(fps) == list(range(12))
+    kept = S.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["text"].lower(), str(r["doc_id"])) for r in kept.collect())
+    ids = [None, None, None, 7, 7, 7, 1, 8, 9, 3, -(2**63), 0]
+    assert got == sorted((t, str(i)) for t, i in zip(text, ids, strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "u bigint, v bigint")
