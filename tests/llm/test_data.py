@@ -76,6 +76,17 @@ def test_shards_of_edge_cases(spark):
     check_shards(docs.collect(), H.shard_rows(docs, shards=3).collect(), 3)
 
 
+def test_documents_arrive_whole_in_their_shards(spark):
+    docs = documents(spark).withColumn("slot", F.lit("replaced"))
+    got = H.shard_documents(docs, shards=3)
+    assert got.columns == [c for c in docs.columns if c != "slot"] + ["law", "shard", "slot", "grown_shard"]
+    check_shards(docs.collect(), got.collect(), 3)
+    assert sorted(map(str, got.select(*documents(spark).columns).collect())) == sorted(map(str, documents(spark).collect()))
+    placed = {(r["shard"], r["slot"]): (r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in got.collect()}
+    assert placed == {(r["shard"], r["slot"]): (r["doc_id"], r["text_crc32"]) for r in H.shard_rows(docs, shards=3).collect()}
+    assert H.shard_documents(empty(spark)).count() == 0
+
+
 # --- mixing --------------------------------------------------------------------------------
 
 
