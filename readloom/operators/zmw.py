@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +16,8 @@ from readloom.functions.ordinals import range_starts, with_ordinal
 IDENTITY = ["rg_id", "zmw"]
 #: Records of one numbering range.
 RANGE_RECORDS = 1 << 16
-#: Tiles up to which a scatter permutation is drawn, one Python integer each.
-MOST_TILES = 50_000_000
+#: Tiles up to which a scatter permutation is drawn, four bytes each: as many as the format's 32-bit counts allow.
+MOST_TILES = (1 << 31) - 1
 
 
 def zmw_point(index: DataFrame, zmw: int) -> DataFrame:
@@ -86,9 +90,9 @@ def contiguous_chunk(index: DataFrame, k: int, n: int) -> DataFrame:
     return index.join(chosen.select(*IDENTITY, "zmw_no"), IDENTITY)
 
 
-def permutation(n: int, seed: int) -> list[int]:
+def permutation(n: int, seed: int) -> array:
     """Fisher-Yates over 0..n-1 driven by a SplitMix64 stream whose first number is thrown away."""
-    out, stream = list(range(n)), SplitMix(seed)
+    out, stream = array("i", range(n)), SplitMix(seed)
     stream.next()
     for i in range(n - 1, 0, -1):
         bound = i + 1
@@ -100,7 +104,7 @@ def permutation(n: int, seed: int) -> list[int]:
     return out
 
 
-def scatter_tiles(total: int, k: int, n: int, tile: int, seed: int) -> list[int]:
+def scatter_tiles(total: int, k: int, n: int, tile: int, seed: int) -> np.ndarray:
     """Tiles of chunk k of n, ascending: a slice of the shuffled tiles of tile molecules each."""
     if not (n >= 1 and 1 <= k <= n):
         raise ValueError(f"chunk number must be in [1, {n}], got {k}")
@@ -110,7 +114,7 @@ def scatter_tiles(total: int, k: int, n: int, tile: int, seed: int) -> list[int]
     if tiles > MOST_TILES:
         raise ValueError(f"{tiles} tiles are too many to shuffle; use tiles of at least {-(-total // MOST_TILES)} molecules")
     order = permutation(tiles, seed)
-    return sorted(order[boundary(tiles, k - 1, n) : boundary(tiles, k, n)])
+    return np.sort(np.frombuffer(order, dtype=np.int32)[boundary(tiles, k - 1, n) : boundary(tiles, k, n)]) if tiles else np.zeros(0, dtype=np.int32)
 
 
 def scatter_chunk(index: DataFrame, k: int, n: int, tile: int = 1, seed: int = 0) -> DataFrame:
@@ -118,7 +122,7 @@ def scatter_chunk(index: DataFrame, k: int, n: int, tile: int = 1, seed: int = 0
     spark = index.sparkSession
     numbered = numbered_zmws(index)
     total = numbered.agg(F.count("*").alias("n")).first()["n"]
-    tiles = spark.createDataFrame([(t,) for t in scatter_tiles(total, k, n, tile, seed)], "tile bigint")
+    tiles = spark.createDataFrame(pa.table({"tile": scatter_tiles(total, k, n, tile, seed).astype(np.int64)}), "tile bigint")
     chosen = numbered.withColumn("tile", F.expr(f"zmw_no div {tile}")).join(tiles, "tile", "left_semi")
     return index.join(chosen.select(*IDENTITY, "zmw_no"), IDENTITY)
 

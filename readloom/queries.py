@@ -351,6 +351,23 @@ def chunk_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zmw.scatter_chunk(_customers_as_zmws(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
 
 
+#: The shuffle of all tiles in SQL: number k of the stream is made from seed + k * golden, and the swaps are applied in turn.
+#: A drawn number is refused with a probability of tiles / 2 ** 64 only, which the SQL leaves out.
+_SHUFFLED = f"""u2 AS (SELECT count(*) AS n_zmws, (count(*) + 2) // 3 AS n FROM u),
+z0 AS (SELECT n, i, ((7 + (n - i + 1)::UHUGEINT * {H.GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM (SELECT n, unnest(range(n - 1, 0, -1)) AS i FROM u2)),
+z1 AS (SELECT n, i, xor(z, z // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM z0),
+z2 AS (SELECT n, i, xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM z1),
+swaps AS (SELECT list([i + 1, (xor(z, z // 2147483648::UHUGEINT) % (i + 1)::UHUGEINT)::BIGINT + 1] ORDER BY i DESC) AS js FROM z2),
+shuffled AS (SELECT n, list_reduce(js, lambda a, x: CASE WHEN x[1] = x[2] THEN a ELSE a[:x[2] - 1] || [a[x[1]]] || a[x[2] + 1:x[1] - 1] || [a[x[2]]] || a[x[1] + 1:] END, range(n)) AS p FROM swaps, u2),
+chosen AS (SELECT unnest(p[n // 4 + 1:n * 2 // 4]) AS tile FROM shuffled)"""
+
+
+@register(f"{_NUMBERED}, {_SHUFFLED} SELECT rec_no, zmw_no::BIGINT AS zmw_no FROM reads JOIN u USING (rg_id, zmw) WHERE zmw_no // 3 IN (SELECT tile FROM chosen)")
+def chunk_scatter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_scatter over all molecules of the reads."""
+    return zmw.scatter_chunk(D.reads(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
+
+
 def _barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.reads(spark, sf_dir).withColumns({"fwd": F.col("zmw") % 8 - 1, "rev": F.col("rg_id") % 5, "voffset": F.col("rec_no") * 97})
 

@@ -67,6 +67,31 @@ def test_yield_of_the_molecules(spark):
     assert all(r["b"] == sample.zmw_bucket_py(rg, r["zmw"], 5) for r in row)
 
 
+def test_scatter_takes_all_molecules_of_the_reads(spark, tmp_path):
+    from readloom import queries
+    from readloom.plans import driver_tables as D
+
+    line = spark.range(1500).select(
+        *(F.lit(1).cast("bigint").alias(c) if c != "l_orderkey" else (F.col("id") % 1000).alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")),
+        (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        *(F.lit(1.0).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+        *(F.lit("R").alias(c) for c in ("l_returnflag", "l_linestatus")),
+        F.lit("2024-01-01").cast("timestamp").alias("l_shipdate"),
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    order, stream = list(range(334)), H.SplitMix(7)  # tiles of three of a thousand molecules
+    stream.next()
+    for i in range(333, 0, -1):
+        j = stream.next() % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    tiles = set(order[334 // 4 : 334 // 2])
+    seen = {}
+    reads = sorted((r["rec_no"], r["zmw"]) for r in D.reads(spark, str(tmp_path)).collect())
+    want = [(n, seen.setdefault(z, len(seen))) for n, z in reads]
+    got = sorted((r["rec_no"], r["zmw_no"]) for r in queries.queries()["chunk_scatter_reads"](spark, str(tmp_path)).collect())
+    assert len(seen) == 1000 and got == [(n, z) for n, z in want if z // 3 in tiles]
+
+
 def test_chunks_of_twelve_molecules(spark):
     rows = spark.range(12).select(F.col("id").alias("rec_no"), F.lit(0).alias("rg_id"), F.col("id").cast("int").alias("zmw"))
 
