@@ -125,15 +125,20 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("whole", F.coalesce(whole, F.lit(False))).select("file", "split", "seq", "size", "need", "whole", *(c.alias(n) for n, c in _fields(F.col("whole")).items()))
 
 
+def _payload() -> Column:
+    """The payload of the record whose whole text is in column text."""
+    return F.expr(
+        "substring(text, instr(text, '\\r\\n\\r\\n') + 3 + locate('\\r\\n\\r\\n', substring(text, instr(text, '\\r\\n\\r\\n') + 4)) + 4, "
+        "char_length(text) - instr(text, '\\r\\n\\r\\n') - 3 - locate('\\r\\n\\r\\n', substring(text, instr(text, '\\r\\n\\r\\n') + 4)) - 3 - 4)"
+    )
+
+
 def _fields(valid: Column) -> dict[str, Column]:
     """What a reader reports of a record whose whole text is in column text, where valid."""
     rest = F.expr("substring(text, instr(text, '\\r\\n\\r\\n') + 4)")
     block = F.expr("substring(text, instr(text, '\\r\\n\\r\\n') + 4, char_length(text) - instr(text, '\\r\\n\\r\\n') - 7)")
     http_at = F.instr(rest, "\r\n\r\n")
-    payload = F.expr(
-        "substring(text, instr(text, '\\r\\n\\r\\n') + 3 + locate('\\r\\n\\r\\n', substring(text, instr(text, '\\r\\n\\r\\n') + 4)) + 4, "
-        "char_length(text) - instr(text, '\\r\\n\\r\\n') - 3 - locate('\\r\\n\\r\\n', substring(text, instr(text, '\\r\\n\\r\\n') + 4)) - 3 - 4)"
-    )
+    payload = _payload()
     kind = _header("WARC-Type")
     http_length = F.regexp_extract(F.substring_index(block, "\r\n\r\n", 1), r"(?i)\r\nContent-Length:[ \t]*([0-9]+)", 1)
     return {
@@ -238,6 +243,38 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of the archives below path, one row per record: page_id, url, html, record_type, refers_to.
+
+    A revisit gets the payload of a response with the digest that it states, or null if there is none. Texts
+    are read again and joined by place: by broadcast of the places up to BROADCAST_ROWS records, else by a shuffle.
+    """
+    scanned = _scan(spark, path)
+    found = materialize(verify(scanned.select("file", "split", "seq", "size", "need")), merge=True)
+    place, record = ["file", "split", "seq"], ["file", "rec"]
+    split_up = small_or_shuffled(materialize(found.where("not start").select(*record).distinct(), merge=True))
+    texts = candidates(spark, path).join(small_or_shuffled(found.select(*place, "rec", "at")), place)
+    parts = texts.join(split_up, record, "left_semi").groupBy(*record).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    joined = parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC).alias("text"))
+    whole = texts.join(split_up, record, "left_anti").select("text").unionByName(joined)
+    fields = _fields(F.lit(True))
+    rows = whole.select(
+        fields["page"].try_cast("bigint").alias("page_id"),
+        F.coalesce(_header("WARC-Target-URI"), F.lit("")).alias("url"),
+        F.when(fields["kind"] != "revisit", _payload()).alias("html"),
+        fields["kind"].alias("record_type"),
+        F.when(fields["kind"] == "revisit", fields["refers"].try_cast("bigint")).alias("refers_to"),
+        F.when(fields["kind"] == "revisit", fields["stated"]).alias("stated"),
+        fields["digest"].alias("digest"),
+    )
+    columns = ["page_id", "url", "html", "record_type", "refers_to"]
+    named = materialize(rows.where("stated is not null").select(F.col("stated").alias("digest")).distinct(), merge=True)
+    shared = rows.where("stated is null").join(small_or_shuffled(named), "digest", "left_semi").dropDuplicates(["digest"])
+    shared = shared.select(F.col("digest").alias("stated"), F.col("html").alias("shared"))
+    again = rows.where("stated is not null").join(shared, "stated", "left").withColumn("html", F.col("shared"))
+    return rows.where("stated is null").select(*columns).unionByName(again.select(*columns))
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", path: str | None = None) -> DataFrame:
     """Writes pages as WARC below path (by default in the shared folder) and reads the archives back."""
     spark = pages.sparkSession

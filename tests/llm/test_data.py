@@ -193,6 +193,14 @@ def test_warc_round_trip(spark, tmp_path, split):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_warc_pages_are_read_back(spark, tmp_path):
+    warc.write_warc(pages(spark).repartition(3), f"{tmp_path}/w")
+    got = warc.read_pages(spark, f"{tmp_path}/w").collect()
+    want = [(r["page_id"], (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"), r["html"] or "") for r in pages(spark).collect()]
+    assert sorted(((r["page_id"], r["url"], r["html"]) for r in got), key=str) == sorted(want, key=str)
+    assert {r["page_id"] for r in got if r["record_type"] == "revisit"} == {3, 5, 15}
+
+
 def test_warc_files_hold_standard_records(spark, tmp_path):
     warc.write_warc(pages(spark).coalesce(1), f"{tmp_path}/w")
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
