@@ -1,34 +1,46 @@
 """Main text of HTML pages by site style trees.
 
-The pages of a host are merged into one style tree: a node is the path of elements from
-the root (tag, classes, id), and it counts the pages that have it, the child sequences it
-has there (presentation) and the texts it holds (content). Importance follows from
-entropy: a content node that c of the node's m pages show has importance 1 - ln c / ln m
-(0 if each page shows it, 1 if one does); a node's own importance combines the entropy of
-its presentation with the mean of its contents. Contents that at least nine in ten of the
-pages show (those of the least importance) are removed from each page, so a node goes when all
-its contents do. Pages with the same
-blocks are counted once, so copies of a page never make its article repeated. Elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or comments have no importance (where only a part of a name does, a main in
-the element stands, and so does an article with most of the page's text), and those that say article or main
-have full importance: only a text that nearly all pages of the host repeat is removed there.
-What stands outside of them on a page that has them is not the article.
-
-Plan: one pass parses pages and emits the hashes of their nodes and contents, of which one
-list for each distinct page is kept and counted with partial aggregation; the removable branches, few against the pages, are sent to the tasks
-as a sorted array of 64-bit keys if there are at most ``NOISE_KEYS``, and a second pass
-removes them. With more keys the blocks of the pages are joined with them by a shuffle and
-each page's blocks are put together again. No host is ever gathered in a task.
-
-Defined cases: null html is the empty page, whose text is empty; a page without url or
-host belongs to the host "" ; ids may be null or repeated (one result row per row); pages
-of any length are read whole; an empty table gives an empty result; extra columns are ignored.
+The pages of a host are merged into one style tree before any name is looked at. Its nodes are the block
+elements, each known by its path from the root (tag, classes, id). A node has, over the pages m that have it,
+
+* presentations: the sequence of its children, p_i the share of the pages with the i-th one. Its presentation
+  importance is their entropy in bits: 0 for a template, more the freer the form;
+* contents: the whole text of its branch, so what its descendants hold is passed up. Their entropy by log m is
+  the content importance: 1 if each page says something else, 0 if all say the same;
+* share: the part of the page's characters that its branch holds, on average.
+
+Estimates are drawn to importance 1 by ``PRIOR`` pages, so that few pages decide little. A branch is cut from each page
+
+* wherever it stands, if its content importance is under ``LEAST``: all pages repeat it;
+* if content importance times share is under ``LEAST`` and each node above is a template. What lies within a node of
+  ``FREE_FORM`` bits or more is written text, whose short parts (a heading, a caption) are not slots of a template.
+
+A text goes by itself if ``NEARLY_ALL`` of its node's pages repeat it, one page more than there are taken to lack it.
+Pages whose longest texts, ``BULK`` of their characters together, are equal count as one, so copies of a page make
+nothing repeated.
+
+Entropy can't tell readers' comments from an article, and hosts of a few pages decide nothing. So names (tag, role,
+class, id) come second: from what the tree leaves, elements go that say menu, header, footer, sidebar, notice, advert,
+form or comments; where only a part of a name does, a main in the element stands, and so does an article with most of
+the page's text. An element that says article or main is no slot of a template, and what stands outside of it on a page
+that has one is not the article. With ``by_name`` false the tree decides alone.
+
+Plan: one pass parses pages and emits the hashes of their nodes and texts, of which one list for each distinct page is
+kept and counted with partial aggregation; the decisions, 9 bytes a node, go to the tasks if there are at most
+``DECISIONS``, and a second pass cuts the pages. With more, the nodes of the pages are joined with their decisions
+(salted), and each page gets its own as a list. No host is ever gathered in a task.
+
+Defined cases: null html is the empty page, whose text is empty; a page without url or host belongs to the host "" ;
+ids may be null or repeated (one result row per row, repeated rows too); texts that tie in length count in order of
+their hash; pages of any length and depth are read whole, with memory in proportion to their length; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,23 +49,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import materialize, shared_dir
 
-#: Removable branches up to which their keys are sent to every task (8 bytes each).
-NOISE_KEYS = 1_000_000
-#: Share of the pages from which a text is repeated on nearly all of them.
+#: Decisions up to which they are sent to every task (9 bytes each), and salts of their join beyond it.
+DECISIONS, SALTS = 1_000_000, 16
+#: Importance under which a branch is cut, and the pages of importance 1 that each node is taken to have besides its own.
+LEAST, PRIOR = 0.08, 0.5
+#: Bits of presentation from which a node is written text and no template.
+FREE_FORM = 2.0
+#: Share of its node's pages from which a text is repeated on nearly all of them.
 NEARLY_ALL = 0.9
-#: Distinct pages of a host that must have a node before its texts can be called repeated, outside and within.
-PAGES_OUTSIDE, PAGES_WITHIN = 3, 20
-#: Weight of a node's contents in its importance, against its presentation.
-GAMMA = 0.9
+#: Part of a page's characters whose texts make it the same page as another one.
+BULK = 0.9
+#: What is decided of a node or text: its branch is repeated, it is a slot of little content, it has free form; the text is repeated.
+REPEATED, SLOT, FREE, TEXT = 1, 2, 4, 8
 
 # Elements by kind, and words in role, class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table caption tbody td tfoot th thead tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {
@@ -63,7 +79,6 @@ CLOSED_BY = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select", "datalist"}),
 }
 NOISE_TAGS = frozenset("nav footer aside form button select dialog menu search fieldset label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status tablist".split())
@@ -88,13 +103,31 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
+_MASK = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _hash(data: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed)
+
+
+def _pair(a: int, b: int) -> int:
+    """A signed 64-bit key of two hashes."""
+    return _signed(xxhash.xxh64_intdigest((a & _MASK).to_bytes(8, "little") + (b & _MASK).to_bytes(8, "little")))
+
+
+def _signed(value: int) -> int:
+    value &= _MASK
+    return value - (1 << 64) if value >> 63 else value
+
 
 class _Node:
-    __slots__ = ("dropped", "heading", "hint", "kids", "link", "main", "part", "path", "soft", "tag", "weak")
+    """An element. Blocks are nodes of the tree: path (hash), style (hash of its children), and the blocks first to last."""
 
-    def __init__(self, tag: str, above: _Node | None, attributes: str):
-        self.tag = tag
-        self.kids: list[str] = []
+    __slots__ = ("dropped", "first", "heading", "hint", "holder", "last", "main", "out", "part", "path", "place", "soft", "style", "tag", "up", "weak")
+
+    def __init__(self, tag: str, above: _Node | None, attributes: str, by_name: bool):
+        self.tag, self.style, self.place, self.first, self.last = tag, 1, -1, 0, -1
         found = {}
         if len(attributes) > 1 and "=" in attributes or " hidden" in attributes.lower():
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -105,24 +138,27 @@ class _Node:
             key += "." + ".".join(sorted(_DIGITS.sub("", c) for c in classes.split()))
         if ident:
             key += "#" + _DIGITS.sub("", ident)
-        self.path = f"{above.path}/{key}" if above else key
+        self.path = _hash(key, above.path if above else 0)
+        self.holder = self if above is None or tag in BLOCK else above.holder
+        self.up = above.holder if above else None
+        if above and above.holder is above:
+            above.style = (above.style * _STEP + self.path) & _MASK
         self.dropped = above.dropped if above else False
+        self.out = above.out if above else False  # within an inline element that is dropped
         self.part = above.part if above else False  # within an element that a part of its class or id drops
         self.weak = above.weak if above else False  # within an <article> that would lift such a drop
         self.main = above.main if above else False  # within <article> or <main>
         self.hint = above.hint if above else False  # within an element whose class or id says so
         self.soft = above.soft if above else False  # within a header of the article: headings only
         self.heading = (above.heading if above else False) or tag in HEADINGS
-        self.link = (above.link if above else False) or tag == "a"
-        if above:
-            above.kids.append(key)
-        if self.dropped or tag in ("html", "body"):
+        if not by_name or self.dropped or tag in ("html", "body"):
             return
         tokens = f"{classes} {ident}".split()
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
         says = says_noise(tokens, tag) if tag != "main" else 0
         if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or says == WHOLE:
             self.dropped = True
+            self.out = self.out or self.holder is not self
         elif says == PART and role not in MAIN_ROLES:
             self.part, self.weak = True, False
         elif tag == "header":
@@ -159,45 +195,49 @@ def says_noise(tokens: list[str], tag: str) -> int:
 
 
 class Block:
-    """One block of text: its node's path and style, and where it stands."""
+    """One block of text and its node."""
 
-    __slots__ = ("dropped", "hint", "linked", "main", "path", "style", "text", "weak")
+    __slots__ = ("dropped", "main", "node", "text", "weak")
 
-    def __init__(self, node: _Node, text: str, linked: float):
-        self.path, self.text, self.linked = node.path, text, linked
+    def __init__(self, node: _Node, text: str):
+        self.node, self.text = node, text
         self.dropped = node.dropped or node.part or (node.soft and not node.heading)
-        self.main, self.hint, self.weak = node.main, node.hint, node.weak
-        self.style = ",".join(dict.fromkeys(node.kids))
+        self.main, self.weak = node.main, node.weak
 
 
-def parse(page: str | None) -> list[Block]:
-    """The blocks of a page in order, text decoded and white space in it made one space."""
+def parse(page: str | None, by_name: bool = True) -> tuple[list[_Node], list[Block]]:
+    """The nodes of a page and its blocks in order, text decoded and white space in it made one space."""
     page = page or ""
-    root = _Node("html", None, "")
-    stack, blocks = [root], []
+    root = _Node("html", None, "", by_name)
+    root.place = 0
+    stack, nodes, blocks = [root], [root], []
+    there: Counter[str] = Counter()  # open elements by tag
     pieces: list[str] = []
-    linked = 0
     holder = root
 
     def flush() -> None:
-        nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append(Block(holder, text, linked / len(text)))
+                blocks.append(Block(holder, text))
             pieces.clear()
-        linked = 0
 
     def add(raw: str) -> None:
-        nonlocal holder, linked
+        nonlocal holder
+        if stack[-1].out:
+            return
         if not pieces:
             if not raw.strip():
                 return
-            holder = next(n for n in reversed(stack) if n.tag in BLOCK)
-        text = html_lib.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if stack[-1].link:
-            linked += len(text)
+            holder = stack[-1].holder
+        pieces.append(html_lib.unescape(raw) if "&" in raw else raw)
+
+    def close(at: int) -> None:
+        """Ends the elements of the stack from place at on."""
+        for n in stack[at:]:
+            n.last = len(blocks)
+            there[n.tag] -= 1
+        del stack[at:]
 
     at, size = 0, len(page)
     search = _TAG.search
@@ -217,14 +257,13 @@ def parse(page: str | None) -> list[Block]:
             if name == "br":
                 pieces and pieces.append(" ")
                 continue
-            if name in VOID or not any(n.tag == name for n in stack[1:]):
-                if name in BLOCK:
-                    flush()
-                continue
             if name in BLOCK:
                 flush()
-            while stack.pop().tag != name:
-                pass
+            if name not in VOID and there[name]:
+                i = len(stack) - 1
+                while stack[i].tag != name:
+                    i -= 1
+                close(i)
             continue
         if name == "br" or name == "hr":
             if name == "hr":
@@ -235,16 +274,16 @@ def parse(page: str | None) -> list[Block]:
         if name in VOID or name == "html":
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if name in ("svg", "math") and m[3].rstrip(">").endswith("/"):
                 continue
-            at = close.end() if close else size
+            at = end.end() if end else size
             continue
         if name in BLOCK:
             flush()
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
@@ -252,36 +291,38 @@ def parse(page: str | None) -> list[Block]:
                 closed, bounds = CLOSED_BY[name]
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in closed:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in bounds:
                         break
             if name in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
-        node = _Node(name, stack[-1], m[3])
+                close(len(stack) - 1)
+        node = _Node(name, stack[-1], m[3], by_name)
+        node.first = len(blocks)
+        if name in BLOCK:
+            node.place = len(nodes)
+            nodes.append(node)
         if not m[3].endswith("/>") or name in BLOCK or name == "a":
             stack.append(node)
+            there[name] += 1
     flush()
-    return blocks
+    there["html"] += 1
+    close(0)
+    return nodes, blocks
 
 
 def standing(blocks: list[Block]) -> list[Block]:
-    """Blocks that may be the article: without noise elements, and of the page's article if it has one.
+    """Blocks that may be the article by their names: without noise elements, and of the page's article if it has one.
 
     An <article> within an element that is dropped by a part of its name counts if it has most of the text.
     """
     left = [b for b in blocks if not b.dropped]
     weak = [b for b in left if b.weak]
     if weak:
-        others = [b for b in left if not b.weak]
-        rest = standing(others)
+        rest = standing([b for b in left if not b.weak])
         if sum(len(b.text) for b in weak) <= sum(len(b.text) for b in rest):
             return rest
-    for level in ("main", "hint"):
-        inner = [b for b in left if getattr(b, level)]
-        if inner:
-            return inner
-    return [b for b in left if b.linked < 0.8]
+    return [b for b in left if b.main] or left
 
 
 def host_of(url: str | None) -> str:
@@ -294,113 +335,195 @@ def _key(*parts: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-_PAGE = "host bigint, page bigint, items array<struct<node: bigint, what: bigint, kind: int, inner: boolean>>"
-
-
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page and items of each page; page is a digest of the blocks that may be its article.
-
-    Items are (node, what, kind, inner): kind 0 the page has the node, 1 a content of it, 2 its presentation.
-    A host is a node too, which each of its pages has.
-    """
-    fields = (("node", pa.int64()), ("what", pa.int64()), ("kind", pa.int32()), ("inner", pa.bool_()))
+class Tree:
+    """The nodes and texts of one page as its host's style tree knows them."""
+
+    def __init__(self, host: int, nodes: list[_Node], blocks: list[Block]):
+        self.names = [_pair(host, n.path) for n in nodes]
+        lengths = [len(b.text) for b in blocks]
+        hashes = [_hash(b.text) for b in blocks]
+        self.size = sum(lengths)
+        self.texts = [_pair(self.names[b.node.place], h) for b, h in zip(blocks, hashes, strict=True)]
+        # Sums and hashes of the blocks before each one give those of any branch, which is a run of blocks.
+        chars, runs = [0], [0]
+        for length, text in zip(lengths, hashes, strict=True):
+            chars.append(chars[-1] + length)
+            runs.append((runs[-1] * _STEP + text) & _MASK)
+        merged: dict[int, list] = {}
+        for name, n in zip(self.names, nodes, strict=True):
+            if n.last > n.first:
+                seen = merged.setdefault(name, [set(), [], 0])
+                seen[0].add(n.style)
+                seen[1].append((runs[n.last] - runs[n.first] * pow(_STEP, n.last - n.first, 1 << 64)) & _MASK)
+                seen[2] += chars[n.last] - chars[n.first]
+        self.rows = [(name, _digest(sorted(styles)), _digest(contents), mass) for name, (styles, contents, mass) in sorted(merged.items())]
+        held, bulk = 0, []
+        for length, text in sorted(zip(lengths, hashes, strict=True), key=lambda x: (-x[0], x[1])):
+            if held >= BULK * self.size:
+                break
+            held += length
+            bulk.append(text)
+        self.page = _digest(sorted(bulk))
+
+
+def _digest(parts: list[int]) -> int:
+    return _signed(xxhash.xxh64_intdigest(np.array(parts, dtype=np.uint64).tobytes()))
+
+
+_PAGE = "host bigint, page bigint, size bigint, nodes array<struct<node: bigint, style: bigint, content: bigint, mass: bigint>>, texts array<struct<node: bigint, what: bigint>>"
+_NODE_FIELDS, _TEXT_FIELDS = ("node", "style", "content", "mass"), ("node", "what")
+
+
+def _lists(rows: list[list[tuple]], fields: tuple[str, ...]) -> pa.ListArray:
+    flat = list(zip(*(x for row in rows for x in row), strict=True)) or [[]] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in flat], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]), pa.int32()), structs)
+
+
+def _stats(batches: Iterator[pa.RecordBatch], by_name: bool) -> Iterator[pa.RecordBatch]:
+    """host, page, size, nodes and texts of each page that has text."""
     for batch in batches:
-        hosts, digests, ends = [], [], [0]
-        items: list[tuple[int, int, int, bool]] = []
+        hosts, digests, sizes, nodes, texts = [], [], [], [], []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host = host_of(url)
-            root = _key(host)
-            met = {(root, 0, 0, False)}
-            texts = []
-            for b in standing(parse(page)):
-                node, text = _key(host, b.path), _key(host, b.path, b.text)
-                inner = b.main or b.hint
-                texts.append(text)
-                met |= {(node, 0, 0, inner), (node, text, 1, inner), (node, _key(b.style), 2, inner)}
-            hosts.append(root)
-            digests.append(_key(*map(str, texts)))
-            items += sorted(met)
-            ends.append(len(items))
-        columns = list(zip(*items, strict=True)) if items else [[]] * len(fields)
-        structs = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), lists], names=["host", "page", "items"])
-
-
-def _counts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """c distinct pages of each (host, node, what, kind), and m of each node."""
-    distinct = pages.select("url", "html").mapInArrow(_stats, _PAGE).groupBy("host", "page").agg(F.min("items").alias("items"))
-    counts = distinct.select("host", F.inline("items")).groupBy("host", "node", "what", "kind").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
-    counts = materialize(counts, merge=True)
-    return counts, counts.where("kind = 0").select("node", F.col("c").alias("m"))
-
-
-def importances(pages: DataFrame) -> DataFrame:
-    """key, importance, share, pages, inner of each node (key: of host and path) and repeated content (of host, path, text).
-
-    A content that says article or main is measured against all pages of the host, any other one against
-    the pages that have its node; pages is the number of those, and share how many of them show it. Copies of
-    a page (same blocks, whatever stands around them) are one page.
+            host = _hash(host_of(url))
+            elements, blocks = parse(page, by_name)
+            tree = Tree(host, elements, blocks)
+            hosts.append(_signed(host))
+            digests.append(tree.page)
+            sizes.append(tree.size)
+            nodes.append(tree.rows)
+            texts.append(sorted({(tree.names[b.node.place], t) for b, t in zip(blocks, tree.texts, strict=True)}))
+        columns = [*(pa.array(c, pa.int64()) for c in (hosts, digests, sizes)), _lists(nodes, _NODE_FIELDS), _lists(texts, _TEXT_FIELDS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "size", "nodes", "texts"])
+
+
+def _counts(pages: DataFrame, by_name: bool) -> DataFrame:
+    """c distinct pages of each (node, kind, what): kind 0 a text, 1 a presentation, 2 a content; materialized.
+
+    mass and size (kind 1): characters of the branch, and of the whole page, over these pages.
     """
-    counts, pages_of = _counts(pages)
-    parts = counts.where("kind > 0 and not inner").join(pages_of.where("m > 1"), "node")
-    # Of the contents each counts once, of the presentations each page.
-    content = F.avg(F.when(F.col("kind") == 1, 1 - F.log("c") / F.log("m")))
-    presentation = 1 - F.sum(F.when(F.col("kind") == 2, F.col("c") * F.log("c"))) / (F.max("m") * F.log(F.max("m")))
-    nodes = parts.groupBy("node").agg(content.alias("content"), presentation.alias("presentation"), F.max("m").alias("pages"))
-    own = nodes.select(F.col("node").alias("key"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"), F.lit(None).cast("double").alias("share"), "pages", F.lit(False).alias("inner"))
-    return own.unionByName(_contents(counts, pages_of))
+    parsed = pages.select("url", "html").mapInArrow(lambda batches: _stats(batches, by_name), _PAGE)
+    distinct = parsed.groupBy("host", "page").agg(F.min(F.struct("size", "nodes", "texts")).alias("one")).select("one.*")
+    zero = F.lit(0).cast("bigint")
+
+    def row(node, kind: int, what, mass=zero, size=zero):
+        return F.struct(node.alias("node"), F.lit(kind).alias("kind"), what.alias("what"), mass.alias("mass"), size.alias("size"))
+
+    rows = F.concat(
+        F.transform("texts", lambda t: row(t["node"], 0, t["what"])),
+        F.transform("nodes", lambda n: row(n["node"], 1, n["style"], n["mass"], F.col("size"))),
+        F.transform("nodes", lambda n: row(n["node"], 2, n["content"])),
+    )
+    counts = distinct.select(F.inline(rows)).groupBy("node", "kind", "what").agg(F.count("*").alias("c"), F.sum("mass").alias("mass"), F.sum("size").alias("size"))
+    return materialize(counts, merge=True)
+
 
+def _importances(counts: DataFrame) -> DataFrame:
+    def entropy(kind: int):
+        c = F.when(F.col("kind") == kind, F.col("c"))
+        return F.greatest(F.lit(0.0), F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c))
 
-def _contents(counts: DataFrame, pages_of: DataFrame) -> DataFrame:
-    """The rows of importances() of the repeated contents."""
-    repeated = counts.where("kind = 1 and c > 1").withColumn("node", F.when(F.col("inner"), F.col("host")).otherwise(F.col("node"))).join(pages_of, "node")
-    return repeated.select(F.col("what").alias("key"), (1 - F.log("c") / F.log("m")).alias("importance"), (F.col("c") / F.col("m")).alias("share"), F.col("m").alias("pages"), "inner")
+    m = F.sum(F.when(F.col("kind") == 1, F.col("c")))
+    content = F.when(m == 1, 1.0).otherwise(entropy(2) / F.log(m))
+    return counts.where("kind > 0").groupBy("node").agg(
+        m.alias("pages"), (entropy(1) / F.log(F.lit(2.0))).alias("presentation"), content.alias("content"), (F.sum("mass") / F.sum("size")).alias("share")
+    )
 
 
-def noise_keys(pages: DataFrame) -> DataFrame:
-    """key of each content that nearly all pages repeat; materialized.
+def importances(pages: DataFrame, by_name: bool = True) -> DataFrame:
+    """node (key of host and path), pages, presentation, content, share of each node of the hosts' style trees."""
+    return _importances(_counts(pages, by_name))
 
-    A node never goes as a whole: it may hold texts of one page beside repeated ones, which go by themselves.
+
+def decisions(pages: DataFrame, by_name: bool = True) -> DataFrame:
+    """key and what is decided of it (REPEATED, SLOT and FREE of nodes, TEXT of texts); materialized.
+
+    by_name changes nothing of the tree, but for the text of inline elements that names drop.
     """
-    enough = F.col("pages") >= F.when(F.col("inner"), PAGES_WITHIN).otherwise(PAGES_OUTSIDE)
-    return materialize(_contents(*_counts(pages)).where((F.col("share") >= NEARLY_ALL) & enough).select("key").distinct(), merge=True)
+    counts = _counts(pages, by_name)
+    nodes = _importances(counts)
+
+    def little(importance):
+        return (F.col("pages") * importance + PRIOR) / (F.col("pages") + PRIOR) < LEAST
+
+    flags = (
+        F.when(little(F.col("content")), REPEATED).otherwise(0)
+        + F.when(little(F.col("content") * F.col("share")), SLOT).otherwise(0)
+        + F.when(F.col("presentation") >= FREE_FORM, FREE).otherwise(0)
+    )
+    # A text on c of m pages is decided on if c >= NEARLY_ALL * (m + 1), and m is not less than c.
+    often = counts.where((F.col("kind") == 0) & (F.col("c") >= NEARLY_ALL * (F.col("c") + 1)))
+    texts = often.join(nodes.select("node", "pages"), "node").where(F.col("c") >= NEARLY_ALL * (F.col("pages") + 1)).select(F.col("what").alias("key"), F.lit(TEXT).alias("flags"))
+    decided = nodes.select(F.col("node").alias("key"), flags.alias("flags")).where("flags > 0").unionByName(texts)
+    return materialize(decided.select("key", F.col("flags").cast("tinyint").alias("flags")), merge=True)
 
 
-def _extract(batches: Iterator[pa.RecordBatch], noise: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """With noise: page_id, url, text of each page. Without: ref, page_id, url, pos, text_key, text of each block."""
-    known = set(noise.tolist()) if noise is not None else set()
+def cut(nodes: list[_Node], blocks: list[Block], tree: Tree, decided) -> list[Block]:
+    """The blocks of a page that the style tree leaves; decided: what is decided of a key, 0 for nothing."""
+    gone, free = [False] * len(nodes), [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        flags = decided(tree.names[i])
+        above = n.up.place if n.up is not None else None
+        within = above is not None and free[above]
+        gone[i] = (above is not None and gone[above]) or bool(flags & REPEATED) or (bool(flags & SLOT) and not within and not n.main)
+        free[i] = within or n.main or bool(flags & FREE)
+    return [b for b, text in zip(blocks, tree.texts, strict=True) if not gone[b.node.place] and not decided(text) & TEXT]
+
+
+class _Decided:
+    """Decisions by key: a sorted array that all pages share, or the list that came with a page."""
+
+    def __init__(self, keys: np.ndarray, flags: np.ndarray):
+        self.known = dict(zip(keys.tolist(), flags.tolist(), strict=True))
+
+    def __call__(self, key: int) -> int:
+        return self.known.get(key, 0)
+
+
+def _extract(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray] | None, by_name: bool) -> Iterator[pa.RecordBatch]:
+    """page_id, url, text of each page; shared: keys and flags of all decisions, else each page has its own as found."""
+    decided = _Decided(*shared) if shared else None
     for batch in batches:
-        ids, urls = batch.column("page_id"), batch.column("url")
-        found = []
-        for ref, url, page in zip(batch.column("ref").to_pylist(), urls.to_pylist(), batch.column("html").to_pylist(), strict=True):
-            blocks, host = standing(parse(page)), host_of(url)
-            if noise is None:
-                found.append([(ref, -1, None, None)] + [(ref, i, _key(host, b.path, b.text), b.text) for i, b in enumerate(blocks)])
-            elif known:
-                found.append("\n".join(b.text for b in blocks if _key(host, b.path, b.text) not in known))
-            else:
-                found.append("\n".join(b.text for b in blocks))
-        if noise is not None:
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(found, pa.string())], names=["page_id", "url", "text"])
-            continue
-        take = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-        flat = list(zip(*(row for f in found for row in f), strict=True)) if found else [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
-        ref, pos, text_key, text = (pa.array(c, k) for c, k in zip(flat, kinds, strict=True))
-        yield pa.RecordBatch.from_arrays([ref, ids.take(take), urls.take(take), pos, text_key, text], names=["ref", "page_id", "url", "pos", "text_key", "text"])
+        texts = []
+        own = batch.column("found").to_pylist() if shared is None else [None] * batch.num_rows
+        for url, page, found in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), own, strict=True):
+            nodes, blocks = parse(page, by_name)
+            known = decided or (lambda key, of={f["key"]: f["flags"] for f in found or ()}: of.get(key, 0))
+            left = cut(nodes, blocks, Tree(_hash(host_of(url)), nodes, blocks), known)
+            texts.append("\n".join(b.text for b in standing(left)))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], by_name: bool) -> Iterator[pa.RecordBatch]:
+    """ref and key of each node and text of each page."""
+    for batch in batches:
+        refs, keys = [], []
+        for ref, url, page in zip(batch.column("ref").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            nodes, blocks = parse(page, by_name)
+            tree = Tree(_hash(host_of(url)), nodes, blocks)
+            found = {*tree.names, *tree.texts}
+            refs += [ref] * len(found)
+            keys += found
+        yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(keys, pa.int64())], names=["ref", "key"])
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", noise_limit: int = NOISE_KEYS) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = DECISIONS, by_name: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), "url", F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("ref"))
-    noise = noise_keys(rows)
-    if noise.count() <= noise_limit:
-        keys = np.sort(np.array([r["key"] for r in noise.collect()], dtype=np.int64))
-        texts = rows.mapInArrow(lambda batches: _extract(batches, keys), "page_id bigint, url string, text string")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), "url", F.col(html_col).cast("string").alias("html"))
+    decided = decisions(rows, by_name)
+    ddl = "page_id bigint, url string, text string"
+    if decided.count() <= limit:
+        found = decided.toPandas()
+        shared = found["key"].to_numpy(dtype=np.int64), found["flags"].to_numpy(dtype=np.int8)
+        texts = rows.mapInArrow(lambda batches: _extract(batches, shared, by_name), ddl)
     else:
-        ddl = "ref bigint, page_id bigint, url string, pos int, text_key bigint, text string"
-        blocks = rows.mapInArrow(lambda batches: _extract(batches, None), ddl).join(noise.withColumnRenamed("key", "text_key"), "text_key", "left_anti")
-        whole = blocks.groupBy("ref").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("all"))
-        texts = whole.select("page_id", "url", F.array_join(F.transform(F.filter("all", lambda b: b["pos"] >= 0), lambda b: b["text"]), "\n").alias("text"))
+        path = shared_dir(pages.sparkSession) + "/pages"
+        # What is written fixes the ordinal of each row for both scans.
+        rows.withColumn("ref", F.monotonically_increasing_id()).write.parquet(path)
+        rows = pages.sparkSession.read.parquet(path)
+        salted = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keys = rows.select("ref", "url", "html").mapInArrow(lambda batches: _keys(batches, by_name), "ref bigint, key bigint")
+        met = keys.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+        lists = met.groupBy("ref").agg(F.collect_list(F.struct("key", "flags")).alias("found"))
+        texts = rows.join(lists, "ref", "left").select("page_id", "url", "html", "found").mapInArrow(lambda batches: _extract(batches, None, by_name), ddl)
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

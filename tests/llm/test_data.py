@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from readloom.llm import hypergeometric_shards as H
 from readloom.llm import poisson_mix, warc
-from readloom.llm import style_tree as T
 from tests.llm.cases import documents, empty
 
 
@@ -240,154 +239,3 @@ def test_pointer_jumping_against_a_walk():
             want.add(at)
             at = int(jumps[list(offsets).index(at)])
         assert set(offsets[warc.reachable(offsets, jumps)].tolist()) == want
-
-
-# --- HTML ----------------------------------------------------------------------------------
-
-
-def text_of(page):
-    return "\n".join(b.text for b in T.standing(T.parse(page)))
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        (None, ""),
-        ("", ""),
-        ("plain &amp; simple &#233;&eacute;", "plain & simple éé"),
-        ("<p>a  b\n c<br>d<p>e<b>f</b>g", "a b c d\nefg"),
-        ("<nav>menu</nav><article><h1>T</h1><p>x &lt;b&gt;</p><aside>s</aside><p>y</article><footer>f</footer>", "T\nx <b>\ny"),
-        ("<script>var a='</p>';</script><style>p{}</style><p>x</p><!-- <p>no</p> --><form><p>f</p></form>", "x"),
-        ("<main><div class='cookie-notice'>c</div><p>x</p><div id=comments><p>r</p></div></main><div class=sidebar>s</div>", "x"),
-        ("<header>H</header><article><header><h1>T</h1><p>by</p></header><p>x</p></article>", "T\nx"),
-        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\nb\nc\nd"),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
-        ("<div class='post-content'><p>x</p></div><div>y</div>", "x"),
-        ("<article class='comment'><p>r</p></article><div><p>x</p></div>", "x"),
-        ("<body class='no-sidebar menu'><p>x</p></body>", "x"),
-        ("<p title='a>b'>x</p><p hidden>h</p><p style='display: none'>n</p>", "x"),
-        ("<div role=navigation>n</div><div role=main>x</div>", "x"),
-        ("<p>a<script>1</script>b &nbsp; c</p>", "ab c"),
-        ("<article><p>x</article></div></article><p>late", "x"),
-        ("<p>a<!-- open", "a"),
-        ("a < b and <3 c", "a < b and <3 c"),
-        ("<title>t</title><p>x", "x"),
-        ("<article><h1 class=header>T</h1><div class='article-header'><p>s</p></div><p class=notice>n</p><ul><li>l</ul></article>", "T\ns\nl"),
-        ("<article><p>x</p><section id='post-comments'><p>r</p></section><div class='ad-slot'>a</div><figure><figcaption>c</figcaption></figure><pre>a\n  b</pre></article>", "x\nc\na b"),
-        ("<div id=main><div class='related-posts'><p>r</p></div><blockquote>q</blockquote></div><div class='site-footer'>f</div>", "q"),
-        ("<p>a&nbsp;b&#x2014;c&lt;d&gt; &notanentity; &amp;amp;</p>", "a b—c<d> ¬anentity; &amp;"),
-    ],
-)
-def test_parse(page, want):
-    assert text_of(page) == want
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<div class='content-sidebar-wrap'><main><p>x</p></main><aside>s</aside></div>", "x"),
-        ("<div class='page-with-sidebar'><p>x</p><div class=sidebar>s</div></div>", "x"),
-        ("<div class='content-with-sidebar'><p>x</p></div>", "x"),
-        ("<div id='layout-sidebar-right'><h2>s</h2><article><p>x y z</p><div class='ad-slot'>a</div></article></div><p>t</p>", "x y z"),
-        ("<div class='content-sidebar-wrap' role=main><p>x</p></div><p>t</p>", "x"),
-        ("<div class='site-header-wrap'><div role=main><p>x</p><div class='share-bar'>s</div></div></div>", "x"),
-        ("<main><h1>T</h1><div class='content-sidebar-wrap'><article><p>x y z</p></article></div></main>", "T\nx y z"),
-        ("<div class='related-posts'><article><p>teaser</p></article></div><article><p>the whole story</p></article>", "the whole story"),
-        ("<div class='sidebar-box'><article><p>teaser</p></article></div><div><p>the whole story</p></div>", "the whole story"),
-        ("<div class='sidebar'><main><p>s</p></main></div><p>x</p>", "x"),
-        ("<div class='ad-slot'><p>a</p></div><div class='post-comments'><p>r</p></div><p>x</p>", "x"),
-    ],
-)
-def test_a_part_of_a_name_drops_no_article(page, want):
-    assert text_of(page) == want
-
-
-def site(spark, hosts=2, per_host=30):
-    rows = []
-    for h in range(hosts):
-        for i in range(per_host):
-            body = f"<div><p>Sign up to our letter</p></div><div class=c{i}><p>Story {h} {i} begins</p><p>and it goes on {i * 7}</p></div><div>Part of the Example group</div>"
-            rows.append((100 * h + i, f"https://host{h}.example/{i}", f"<html><body>{body}</body></html>"))
-    rows.append((900, "https://alone.example/x", "<p>Sign up to our letter</p><p>Only page</p>"))
-    rows.append((901, None, None))
-    rows.append((901, None, None))
-    rows.append((None, "nonsense", "<p>x</p>"))
-    return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit("t"), "ref": F.lit(1), "key": F.lit(2)}).repartition(3)
-
-
-@pytest.mark.parametrize("limit", [T.NOISE_KEYS, -1])
-def test_style_tree_removes_what_a_site_repeats(spark, limit):
-    table = site(spark)
-    got = {}
-    for r in T.extract_text(table, noise_limit=limit).collect():
-        got.setdefault(r["page_id"], []).append(r["text"])
-        assert r["n_chars"] == len(r["text"])
-    for h in range(2):
-        for i in range(30):
-            assert got[100 * h + i] == [f"Story {h} {i} begins\nand it goes on {i * 7}"]
-    assert got[900] == ["Sign up to our letter\nOnly page"] and got[901] == ["", ""] and got[None] == ["x"]
-    assert sum(map(len, got.values())) == table.count()
-
-
-def test_repeated_articles_stay(spark):
-    same = "<article><h1>One</h1><p>Same article</p></article>"
-    rows = [(i, "http://h.example/", same if i % 2 else f"<article><p>Other {i}</p></article>") for i in range(60)]
-    got = {r["page_id"]: r["text"] for r in T.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all(got[i] == ("One\nSame article" if i % 2 else f"Other {i}") for i in range(60))
-
-
-def extracted(spark, rows):
-    return {r["page_id"]: r["text"] for r in T.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-
-
-def test_copies_of_a_page_count_once(spark):
-    copy = "<article><h1>One</h1><p>Same article</p></article>"
-    rows = [(i, "http://three.example/", "<p>Copied text</p>" if i else "<p>Other text</p>") for i in range(3)]
-    rows += [(100 + i, "http://copies.example/", copy + f"<footer>{i}</footer>") for i in range(40)]
-    rows += [(200 + i, "http://nearly.example/", copy if i else "<article><p>Other</p></article>") for i in range(40)]
-    rows += [(300 + i, "http://plain.example/", "<p>Copied text</p><p>and more</p>") for i in range(40)]
-    got = extracted(spark, rows)
-    assert [got[i] for i in range(3)] == ["Other text", "Copied text", "Copied text"]
-    assert {got[100 + i] for i in range(40)} == {"One\nSame article"}
-    assert [got[200 + i] for i in range(40)] == ["Other"] + ["One\nSame article"] * 39
-    assert {got[300 + i] for i in range(40)} == {"Copied text\nand more"}
-
-
-@pytest.mark.parametrize("mark", ["div", "article"])
-def test_the_share_of_repeats_does_not_fall_with_the_host(spark, mark):
-    def text_of_page(i, n):
-        return f"Own {i}" + ("\nIn four of five" if i % 5 else "") + ("\nIn nearly all" if i < n - 1 else "")
-
-    rows = [(1000 * n + i, f"http://h{n}.example/", f"<{mark}>" + "".join(f"<p>{t}</p>" for t in text_of_page(i, n).split("\n")) + f"</{mark}>") for n in (20, 400) for i in range(n)]
-    got = extracted(spark, rows)
-    for n in (20, 400):
-        assert [got[1000 * n + i] for i in range(n)] == [text_of_page(i, n).replace("\nIn nearly all", "") for i in range(n)]
-
-
-@pytest.mark.parametrize("limit", [T.NOISE_KEYS, -1])
-def test_a_shared_text_takes_no_unique_ones_with_it(spark, limit):
-    own = {i: [f"Paragraph {k} of {i}" for k in range(10)] for i in range(5)}
-    rows = [(i, "http://h.example/", "<div>" + "".join(f"<p>{t}</p>" for t in [*own[i], "Shared by all"]) + "</div>") for i in own]
-    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r["page_id"]: r["text"] for r in T.extract_text(table, noise_limit=limit).collect()}
-    assert got == {i: "\n".join(texts) for i, texts in own.items()}
-    node = {r["key"]: r["importance"] for r in T.importances(table).collect()}[T._key("h.example", "html/div/p")]
-    assert node == pytest.approx(T.GAMMA * 50 / 51)  # fifty contents of importance 1, one of 0
-
-
-def test_importance_follows_entropy(spark):
-    rows = [(i, "http://h.example/", f"<p>own {i}</p><h2>{'half' if i % 2 else 'rest'}</h2><h3>all</h3>") for i in range(16)]
-    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r["key"]: r["importance"] for r in T.importances(table).collect()}
-    key = lambda *parts: T._key("h.example", *parts)
-    assert got[key("html/h3", "all")] == pytest.approx(0) and got[key("html/h3")] == pytest.approx(0)
-    assert got[key("html/h2", "half")] == pytest.approx(1 - math.log(8) / math.log(16))
-    assert got[key("html/p")] == pytest.approx(T.GAMMA) and key("html/p", "own 1") not in got
-
-
-def test_style_tree_empty(spark):
-    assert T.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
-
-
-def test_hosts():
-    assert [T.host_of(u) for u in ("https://A.b:80/x?y", "http://u@c.d?q", "e.f/g", "", None)] == ["a.b:80", "c.d", "e.f", "", ""]
