@@ -11,8 +11,9 @@ the input), EM runs on those counts, and the posterior of each pattern is joined
 a broadcast of that bounded table. No text and no group is exchanged.
 
 Defined cases: a null text has no words and all counts zero; ids may be null or repeated
-(one result row per row); a text of any length is read whole; an empty table gives an
-empty result; other columns are ignored.
+(one result row per row); a text of any length is read whole; documents with the same votes tie and
+get the same posterior, and one of exactly ``GOOD_AT`` is good; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ def rule_votes(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     lines, letters = np.maximum(c["n_lines"], 1), np.maximum(c["n_letters"], 1)
     length, symbols, repeated = c["word_chars"] / n, c["n_symbols"] / n, c["n_repeat_words"] / n
     plain = c["n_plain"] / n
-    again, upper, rich, loud = c["n_again"] / n, c["n_upper"] / letters, c["n_distinct"] / n, c["n_loud"] / n
+    again, upper, loud = c["n_again"] / n, c["n_upper"] / letters, c["n_loud"] / n
+    # Distinct words by words, as logarithms: their quotient hardly depends on the length of prose.
+    rich = np.where(n > 1, np.log(np.maximum(c["n_distinct"], 1)) / np.log(np.maximum(n, 2)), 1.0)
     return {
         "length": _votes(c["n_words"] < 5, c["n_words"] >= 40),
         "word_length": _votes((length < 2) | (length > 16), (length >= 3) & (length <= 10)),
@@ -56,7 +59,7 @@ def rule_votes(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "repeated": _votes(repeated > 0.3),
         "again": _votes(again > 0.1),
         "upper": _votes(upper > 0.4),
-        "rich": _votes((rich < 0.2) & (c["n_words"] >= 100) & (c["n_words"] <= 2000)),
+        "rich": _votes(rich < 0.7),
         "loud": _votes(loud > 0.15),
         "plain": _votes((plain < 0.6) & (c["n_words"] > 0)),
     }
