@@ -12,11 +12,14 @@ from the header that follows, the offset where the record ends. A version line m
 stand inside a payload. Pointer jumping over (offset -> successor) from the file's start
 keeps the reachable candidates only; the offsets of unreachable ones lie inside a record
 and their text is put back into it. Only offsets and digests are exchanged, and text only
-for records that contain a version line.
+for records that contain a version line. Texts that are read a second time are found by
+their SHA-256, so both scans may split the archives in any way.
 
 Defined cases: null html is the empty payload, null url the empty target; ids may be null
 (written as nothing, read as null) or repeated (one record per row; rows with the group's
-least id are all responses); line ends in urls are percent-encoded; an empty table gives
+least id are all responses, so ties stay whole); a record's id names its page, and where a page's id is null or
+repeated a random part makes it unique; payloads of any length up to Spark's two billion bytes of a
+string are whole; line ends in urls are percent-encoded; an empty table gives
 an archive without records and an empty result; extra columns are ignored. Bytes before
 the first version line, after a broken header or beyond a truncated record end the chain,
 and records after them are not returned.
@@ -24,6 +27,8 @@ and records after them are not returned.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,10 +66,18 @@ def with_first(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return rows.join(small_or_shuffled(groups), "digest", "left")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html") -> None:
-    """Writes one record per row of pages into archive files below path."""
-    rows = with_first(pages, id_col, html_col)
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+def with_name(pages: DataFrame, id_col: str) -> DataFrame:
+    """page_id and twice of each null or repeated id; materialized, no row for ids that occur once."""
+    ids = pages.select(F.col(id_col).cast("bigint").alias("page_id")).groupBy("page_id").agg(F.count("*").alias("n"))
+    return materialize(ids.where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("twice")), merge=True)
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", date: str | None = None) -> None:
+    """Writes one record per row of pages into archive files below path; date: that of all records, by default now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = with_first(pages, id_col, html_col).join(small_or_shuffled(with_name(pages, id_col)), "page_id", "left")
+    plain = F.col("page_id").isNotNull() & F.col("twice").isNull()
+    name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.when(plain, "").otherwise(F.concat(F.lit(":"), F.expr("uuid()"))))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = _concat("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("bytes").cast("string"), "\r\n\r\n")
@@ -75,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", html_col: s
         F.when(revisit, "revisit").otherwise("response"),
         "\r\nWARC-Record-ID: <urn:page:",
         name,
-        ">\r\nWARC-Target-URI: ",
+        f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: ",
         url,
         "\r\nWARC-Payload-Digest: sha256:",
         F.col("digest"),
@@ -90,10 +103,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", html_col: s
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The text after each version line of each archive: file, at (offset of the version line), text, has_magic, last.
+    """The text after each version line of each archive: file, split, seq (its order), text, size and sha, the digest of text.
 
     A split's rows come in file order, and its first row begins where the rows of the splits before
-    it end, so offsets are running sums of lengths.
+    it end, so offsets are running sums of lengths. split and seq hold within one scan, sha in all.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     rows = raw.select(
@@ -102,7 +115,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
-    return rows.withColumn("size", F.octet_length("text").cast("bigint") + len(MAGIC))
+    return rows.withColumn("size", F.octet_length("text").cast("bigint") + len(MAGIC)).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
 def _header(name: str) -> Column:
@@ -122,7 +135,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     need = F.col("head") + F.col("clen") + 4  # of the text, with both line ends after the block
     rows = rows.withColumn("need", F.when(F.col("clen") >= 0, need))
     whole = (F.col("need") == F.col("size") - len(MAGIC)) & F.col("text").endswith("\r\n\r\n")
-    return rows.withColumn("whole", F.coalesce(whole, F.lit(False))).select("file", "split", "seq", "size", "need", "whole", *(c.alias(n) for n, c in _fields(F.col("whole")).items()))
+    return rows.withColumn("whole", F.coalesce(whole, F.lit(False))).select("file", "split", "seq", "size", "sha", "need", "whole", *(c.alias(n) for n, c in _fields(F.col("whole")).items()))
 
 
 def _payload() -> Column:
@@ -143,7 +156,7 @@ def _fields(valid: Column) -> dict[str, Column]:
     http_length = F.regexp_extract(F.substring_index(block, "\r\n\r\n", 1), r"(?i)\r\nContent-Length:[ \t]*([0-9]+)", 1)
     return {
         "kind": F.when(valid, kind),
-        "page": F.when(valid, F.regexp_extract(_header("WARC-Record-ID"), "<urn:page:([^>]*)>", 1)),
+        "page": F.when(valid, F.regexp_extract(_header("WARC-Record-ID"), "<urn:page:([^:>]*)", 1)),
         "refers": F.when(valid, F.regexp_extract(_header("WARC-Refers-To"), "<urn:page:([^>]*)>", 1)),
         "stated": F.when(valid, F.regexp_extract(_header("WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1)),
         "http_length": F.when(valid & (http_length != ""), http_length.cast("bigint")),
@@ -187,11 +200,11 @@ def _chain(part: pd.DataFrame) -> pd.DataFrame:
     good[inside] = sound[owner[inside]] & (at[inside] < end[owner[inside]])
     part["rec"] = part["rec"].where(good, -1)
     part["start"] = seen & good
-    return part[["file", "split", "seq", "at", "rec", "start"]]
+    return part[["file", "split", "seq", "sha", "at", "rec", "start"]]
 
 
 def verify(skinny: DataFrame) -> DataFrame:
-    """file, split, seq, at, rec and start of each candidate that lies in a record of the chain.
+    """file, split, seq, sha, at, rec and start of each candidate that lies in a record of the chain.
 
     Offsets are running sums: per split, then over the splits of a file. A file's candidates are one
     group; it holds offsets only, and is bounded by the size of a file.
@@ -206,11 +219,33 @@ def verify(skinny: DataFrame) -> DataFrame:
         "file",
         "split",
         "seq",
+        "sha",
         (F.col("text_at") - len(MAGIC)).alias("at"),
         F.coalesce(F.col("text_at") + F.col("need"), F.lit(-1)).cast("bigint").alias("end"),
         (F.col("text_at") + F.col("size") - len(MAGIC)).alias("stop"),
     )
-    return placed.groupBy("file").applyInPandas(_chain, "file string, split bigint, seq bigint, at bigint, rec bigint, start boolean").where("rec >= 0")
+    return placed.groupBy("file").applyInPandas(_chain, "file string, split bigint, seq bigint, sha binary, at bigint, rec bigint, start boolean").where("rec >= 0")
+
+
+_SKINNY = ["file", "split", "seq", "sha", "size", "need"]
+
+
+def _texts(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """sha and text, once, of each sha of wanted (materialized): a second scan, whatever its splits."""
+    shas = wanted.select("sha").distinct()
+    return candidates(spark, path).select("sha", "text").join(small_or_shuffled(materialize(shas, merge=True)), "sha", "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
+
+
+def _joined(spark: SparkSession, path: str, pieces: DataFrame) -> DataFrame:
+    """text of each record (file, rec) that contains version lines; pieces: its candidates, materialized."""
+    parts = pieces.join(_texts(spark, path, pieces), "sha").groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC).alias("text"))
+
+
+def _split_up(found: DataFrame) -> DataFrame:
+    """The candidates of records that contain version lines; materialized."""
+    records = materialize(found.where("not start").select("file", "rec").distinct(), merge=True)
+    return materialize(found.join(small_or_shuffled(records), ["file", "rec"], "left_semi"), merge=True)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -219,19 +254,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Of a response the payload is measured; of a revisit its length and digest are read from its headers.
     """
     scanned = materialize(_scan(spark, path))
-    found = materialize(verify(scanned.select("file", "split", "seq", "size", "need")), merge=True)
-    split_up = materialize(found.join(found.where("not start").select("file", "rec").distinct(), ["file", "rec"], "left_semi"), merge=True)
-    pieces = split_up.count()
+    found = materialize(verify(scanned.select(*_SKINNY)), merge=True)
+    pieces = _split_up(found)
     place = ["file", "split", "seq"]
     fields = list(_fields(F.lit(True)))
     whole = scanned.join(found.where("start").select(*place, "rec"), place)
-    if pieces:
-        # Records that contain a version line: their pieces are read again and joined with it.
-        whole = whole.join(split_up.select("file", "rec").distinct(), ["file", "rec"], "left_anti")
-        texts = candidates(spark, path).join(small_or_shuffled(split_up.select(*place, "rec", "at"), pieces), place)
-        parts = texts.groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
-        text = F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC)
-        joined = parts.select(text.alias("text"))
+    if pieces.count():
+        # Records that contain a version line: their pieces are read again and joined.
+        whole = whole.join(pieces.select("file", "rec").distinct(), ["file", "rec"], "left_anti")
+        joined = _joined(spark, path, pieces)
         whole = whole.select(*fields).unionByName(joined.select(*(c.alias(n) for n, c in _fields(F.lit(True)).items())))
     revisit = F.col("kind") == "revisit"
     return whole.select(
@@ -247,16 +278,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The pages of the archives below path, one row per record: page_id, url, html, record_type, refers_to.
 
     A revisit gets the payload of a response with the digest that it states, or null if there is none. Texts
-    are read again and joined by place: by broadcast of the places up to BROADCAST_ROWS records, else by a shuffle.
+    are read again and found by their digests: by broadcast of the digests up to BROADCAST_ROWS records, else by a shuffle.
     """
-    scanned = _scan(spark, path)
-    found = materialize(verify(scanned.select("file", "split", "seq", "size", "need")), merge=True)
-    place, record = ["file", "split", "seq"], ["file", "rec"]
-    split_up = small_or_shuffled(materialize(found.where("not start").select(*record).distinct(), merge=True))
-    texts = candidates(spark, path).join(small_or_shuffled(found.select(*place, "rec", "at")), place)
-    parts = texts.join(split_up, record, "left_semi").groupBy(*record).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
-    joined = parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), MAGIC).alias("text"))
-    whole = texts.join(split_up, record, "left_anti").select("text").unionByName(joined)
+    found = materialize(verify(_scan(spark, path).select(*_SKINNY)), merge=True)
+    pieces = _split_up(found)
+    records = found.where("start").join(pieces.select("file", "rec").distinct(), ["file", "rec"], "left_anti")
+    # Equal texts (of one page written twice) are one text and several records.
+    times = materialize(records.groupBy("sha").agg(F.count("*").cast("int").alias("times")), merge=True)
+    texts = _texts(spark, path, times).join(small_or_shuffled(times), "sha")
+    whole = texts.select("text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("text").unionByName(_joined(spark, path, pieces))
     fields = _fields(F.lit(True))
     rows = whole.select(
         fields["page"].try_cast("bigint").alias("page_id"),
