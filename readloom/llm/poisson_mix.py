@@ -2,17 +2,17 @@
 
 A source with n rows and target weight w gets the mean repetition rate budget * w / n.
 Each row's number of copies inverts the Poisson distribution function at a uniform
-number hashed from its id and the seed; rates over ``RATE_STEP`` are sums of Poisson
+number hashed from its id, its text and the seed; rates over ``RATE_STEP`` are sums of Poisson
 numbers of smaller rate, so the distribution table of a source stays short. Rows are
-exploded by their number and exchanged by a hash of (id, copy), which also orders each
+exploded by their number and exchanged by a hash of (id, text, copy), which also orders each
 partition: a uniform global shuffle that needs no sampling pass and is reproducible.
 
 The table of sources is one row per source; it is broadcast if it has few rows and
 otherwise joined on (source, salt), with each source's rows dealt over the salts.
 
 Defined cases: null sources are one source of their own; a source without a target
-weight gets none and its rows go; null ids hash as the empty text; repeated ids get
-the same number of copies; an empty table gives an empty result; all columns of the
+weight gets none and its rows go; null ids and texts hash as empty ones; rows that tie in id and text get
+the same number of copies; texts of any length hash whole; an empty table gives an empty result; all columns of the
 input are kept, and those named like the added ones are replaced.
 """
 
@@ -66,6 +66,7 @@ def mix_sources(
     budget: float | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     seed: int = SEED,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
@@ -74,10 +75,11 @@ def mix_sources(
     weights: columns source_col and weight, relative target shares; without them a source's weight is
     its row count to the power of temperature. budget: expected rows of the result, by default those of docs.
     """
-    docs = docs.drop("copy_no", "n_copies", "mix_key")
+    docs = docs.drop("copy_no", "n_copies", "mix_key", "mix_source", "mix_name", "mix_salt")
     rates = source_rates(docs, source_col, weights, budget, temperature)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("mix_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    keyed = docs.withColumn("mix_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))).withColumn("mix_name", name)
+    name = F.col("mix_name")
     if rates.count() <= BROADCAST_ROWS:
         joined = keyed.join(F.broadcast(rates), "mix_source")
     else:
@@ -91,7 +93,7 @@ def mix_sources(
     repeated = joined.withColumn("n_copies", copies.cast("bigint")).where("n_copies > 0").drop("mix_source", "pieces", "table")
     repeated = repeated.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed + 1)), name, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("bigint")
-    return repeated.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    return repeated.withColumn("mix_key", key).drop("mix_name").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 #: DuckDB form of mix_sources with the default parameters, over documents.
@@ -111,15 +113,15 @@ tables AS (
 listed AS (
   SELECT mix_source, pieces, list(c ORDER BY k) AS cdf FROM tables GROUP BY 1, 2),
 drawn AS (
-  SELECT d.doc_id, d.source, d.text, t.cdf, unnest(range(1, t.pieces + 1)) AS i
+  SELECT d.doc_id, d.source, d.text, coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, '')) AS name, t.cdf, unnest(range(1, t.pieces + 1)) AS i
   FROM documents d JOIN listed t ON coalesce('=' || d.source, '') = t.mix_source),
 hashed AS (
-  SELECT doc_id, source, text, cdf, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u FROM drawn),
+  SELECT doc_id, source, text, name, cdf, ('0x' || substr(md5('{SEED}:' || name || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u FROM drawn),
 counted AS (
-  SELECT doc_id, source, text, sum(len(list_filter(cdf, lambda x: x <= u)))::BIGINT AS n_copies FROM hashed GROUP BY 1, 2, 3),
+  SELECT doc_id, source, text, name, sum(len(list_filter(cdf, lambda x: x <= u)))::BIGINT AS n_copies FROM hashed GROUP BY 1, 2, 3, 4),
 copies AS (
   SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted)
 SELECT doc_id, source, text, n_copies, copy_no::BIGINT AS copy_no,
-  ('0x' || substr(md5('{SEED + 1}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR), 1, 15))::BIGINT AS mix_key
+  ('0x' || substr(md5('{SEED + 1}:' || name || ':' || copy_no::VARCHAR), 1, 15))::BIGINT AS mix_key
 FROM copies
 """
