@@ -15,7 +15,8 @@ file has no decoder). Results for a word are kept per Python worker in a bounded
 which only saves time.
 
 Defined cases: null text is the empty text and has no tokens; other columns are ignored;
-rows may repeat; texts of any length are read whole.
+rows may repeat; equal texts get equal ids; texts of any length are read whole, and what a worker
+remembers is bounded in entries and characters; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from tokenizers import Tokenizer
 
 from readloom.llm.common import small_batches
 
-#: Distinct chunks between white space that a worker remembers.
-MEMO_CHUNKS = 400_000
+#: Distinct chunks between white space that a worker remembers, and their characters.
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 16_000_000
 #: Characters of text that are encoded at a time.
 STEP_CHARS = 6_000_000
 
@@ -178,6 +179,11 @@ class Vocabulary:
             above = word
         return found
 
+    def forget(self) -> None:
+        """Bounds what is remembered of states; they are computed anew when they are met again."""
+        if len(self._steps) > MEMO_CHUNKS:
+            self._steps.clear()
+
     def _step(self, text: str) -> tuple[str, list[tuple[int, int]]]:
         """Longest suffix of text that begins a token, and all tokens that end text, longest first."""
         state = text
@@ -203,6 +209,7 @@ class Encoder:
         self._normal, self._split = whole.normalizer, whole.pre_tokenizer
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.chars = 0
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self._added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         names = self.vocabulary.names
@@ -237,6 +244,7 @@ class Encoder:
         if len(self.words) + len(new) > MEMO_CHUNKS:
             self.words.clear()
             new = wanted
+        self.vocabulary.forget()
         for word, ids in self.vocabulary.encode_words(new).items():
             self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         get = self.words.__getitem__
@@ -257,9 +265,11 @@ class Encoder:
             for segment in self._segments(text)[::2]:
                 wanted.update(self._chunks(segment))
         new = wanted.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_CHUNKS:
+        if len(self.memo) + len(new) > MEMO_CHUNKS or self.chars > MEMO_CHARS:
             self.memo.clear()
-            new = wanted
+            self.words.clear()
+            self.chars, new = 0, wanted
+        self.chars += sum(map(len, new))
         if new:
             self.learn(new)
         get, added, out = self.memo.__getitem__, self.vocabulary.added, []
