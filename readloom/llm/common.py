@@ -25,17 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which every executor can reach.
 
     Only where the setting is absent (plain local tests) is a temporary folder made
-    and set as the checkpoint folder.
+    and set as the checkpoint folder; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="readloom-")
-            spark.sparkContext.setCheckpointDir(base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
     return f"{base.rstrip('/')}/readloom-{uuid.uuid4().hex}"
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the context, which is set if it isn't yet."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="readloom-"))
+    return sc.getCheckpointDir()
+
+
 def materialize(df: DataFrame, merge: bool = False) -> DataFrame:
     """Reliable eager checkpoint: survives lost executors and fixes partition contents.
 
@@ -43,10 +49,7 @@ def materialize(df: DataFrame, merge: bool = False) -> DataFrame:
     core, one partition after another, so that many small partitions do not become as many files.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readloom-")
-        )
+    checkpoint_dir(df.sparkSession)
     return (df.coalesce(2 * sc.defaultParallelism) if merge else df).checkpoint(eager=True)
 
 

@@ -12,8 +12,8 @@ back on the digest, a sort-merge join whose skewed side AQE may split. Text neve
 crosses an exchange.
 
 Defined cases: a null text equals the empty text; null ids lose against any id; of
-rows equal in text and id one stays (the last in scan order); an empty table gives an
-empty result; other columns of the input are ignored.
+rows that tie in text and id one stays (the last in scan order); texts of any length are digested whole;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

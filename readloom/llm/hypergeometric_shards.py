@@ -12,7 +12,8 @@ themselves are exchanged, with all columns; shard_rows() derives their sizes and
 from what arrives. The matrix is one small row per partition.
 
 Defined cases: a null text has size 8 and the checksum of no bytes; ids may be null or
-repeated (rows are placed by position); an empty table gives an empty result.
+repeated (rows are placed by position, so equal rows are rows of their own and nothing ties but random keys,
+which the position breaks); texts of any length move whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ the shared checkpoint folder; nothing is collected.
 Defined cases: texts without words (null and empty too) have fingerprint zero and link
 like any other; fewer than four words are one shingle; null ids never become a
 component_id unless all its rows' ids are null; repeated rows are separate rows of the
-same component; empty tables give empty results; other columns are ignored.
+same component; of rows that tie for a component's least id drop_near_copies keeps that of the least text
+digest; texts of any length count whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
