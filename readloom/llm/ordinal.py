@@ -42,18 +42,22 @@ class CumulativeLink:
         return self.tails(score).sum(axis=1)
 
 
-def fit(rows: list[tuple], grades: list[int], l1: float = 1e-4, steps: int = 400, least_rows: int = 3) -> CumulativeLink:
-    """rows: (buckets, values) of each example, buckets distinct within a row.
+#: Change of all weights and thresholds in a step under which the fit has settled.
+SETTLED = 1e-6
 
-    Grades that do not occur are skipped over; with fewer than two grades the model has no
-    weights and its threshold says so (every tail probability is near 1 or at 0.5 without examples).
-    Buckets in under least_rows examples get no weight.
+
+def fit(rows: list[tuple], grades: list[int], l1: float = 1e-4, steps: int = 400, least_rows: int = 3, levels: int | None = None) -> CumulativeLink:
+    """rows: (buckets, values) of each example, buckets distinct within a row; levels: number of grades (by default those met).
+
+    Grades that do not occur are skipped over; with one grade only the model has no weights and its
+    thresholds say so (every tail probability is near 0 or 1), and without examples each tail is 0.5.
+    Buckets in under least_rows examples get no weight. The fit ends when it has settled, or after steps.
     """
-    levels = int(max(grades, default=0)) + 1
+    levels = levels or max(2, int(max(grades, default=0)) + 1)
     if not rows:
-        return CumulativeLink()
+        return CumulativeLink({}, [0.0] * (levels - 1))
     if len(set(grades)) < 2:
-        return CumulativeLink({}, [-9.0] * (levels - 1) or [9.0])
+        return CumulativeLink({}, [-9.0 if k <= grades[0] else 9.0 for k in range(1, levels)])
     y = np.array(grades)
     lens = np.array([len(r[0]) for r in rows])
     cols = np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows]) if lens.sum() else np.zeros(0, np.int32)
@@ -102,6 +106,9 @@ def fit(rows: list[tuple], grades: list[int], l1: float = 1e-4, steps: int = 400
         pull = (momentum - 1) / new_momentum
         w_at, t_at = new_w + pull * (new_w - w), new_t + pull * (new_t - t)
         t_at = np.maximum.accumulate(t_at - 1e-3 * np.arange(levels - 1)) + 1e-3 * np.arange(levels - 1)
+        moved = max(np.abs(new_w - w).max(initial=0.0), np.abs(new_t - t).max(initial=0.0))
         w, t, momentum = new_w, new_t, new_momentum
+        if moved < SETTLED:
+            break
     weights = {int(b): float(x) for b, x in zip(names, w / np.where(scale > 0, scale, 1.0), strict=True) if x != 0.0}
     return CumulativeLink(weights, [float(x) for x in t])

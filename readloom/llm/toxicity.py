@@ -8,11 +8,14 @@ text is judged by what it contains, not by how much else surrounds it; the L1 pe
 leaves weights to few words. Output: expected severity, P(severity >= 1) and >= 2.
 
 The fit reads at most ``per_class`` labelled documents of each value; scoring covers all
-documents and whole texts, without an exchange.
+documents and whole texts, without an exchange. The driver gets the features that one in ``RARE``
+texts of the sample has or more.
 
-Defined cases: null and empty texts have no words and severity 0; without labels each
+Defined cases: null and empty texts have no words and the severity of a text without known words; without labels each
 tail is 0.5 and nothing is called toxic; null labels are ignored; of repeated labels the
-largest values count; extra columns are ignored.
+largest values count; of repeated ids in documents the fit reads the least text, and each row is scored;
+texts with the same words tie; of toxic texts that tie at the median none is severe; texts and words of any
+length count whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from readloom.llm.quality_classifier import collect_features, labelled
 PER_CLASS = 2000
 #: P(severity >= 1) above which a document is called toxic.
 TOXIC_AT = 0.5
-#: Penalty by which words are selected, and that of the fits on the words left. A word in under a 200th of the
-#: sample is not selected.
-SELECT_L1, REFIT_L1 = 3e-2, 5e-4
-MEMO_WORDS = 200_000
+#: Penalty by which words are selected, and that of the fits on the words left. A word in under one of RARE texts of
+#: the sample is not selected.
+SELECT_L1, REFIT_L1, RARE = 3e-2, 5e-4, 200
+#: Distinct chunks that a worker remembers, and their characters.
+MEMO_WORDS, MEMO_CHARS = 200_000, 8_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -45,7 +49,7 @@ def chunk_buckets(chunk: str) -> tuple[int, ...]:
     """Hashed words of one chunk between white space, and their stems of 4 to 6 letters."""
     found = set()
     for word in _LETTERS.findall(chunk.lower()):
-        found.add(bucket("t:" + word[:64]))
+        found.add(bucket("t:" + word))
         found.update(bucket(f"t{n}:{word[:n]}") for n in (4, 5, 6) if len(word) > n)
     return tuple(found)
 
@@ -55,20 +59,20 @@ def features(text: str) -> tuple[list[int], list[float]]:
     return found, [1.0] * len(found)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CumulativeLink:
-    rows = collect_features(labelled(docs, labels, "toxic", per_class), features)
-    sparse = [(b, v) for _, _, b, v in rows]
-    toxic = [int(bool(t)) for _, t, _, _ in rows]
-    wide = ordinal.fit(sparse, toxic, l1=SELECT_L1, steps=150, least_rows=max(3, len(rows) // 200))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
+    rows, least = collect_features(labelled(docs, labels, "toxic", per_class, id_col, text_col), features, RARE)
+    sparse = [(r["buckets"], r["vals"]) for r in rows]
+    toxic = [int(bool(r["toxic"])) for r in rows]
+    wide = ordinal.fit(sparse, toxic, l1=SELECT_L1, steps=150, least_rows=least)
     # The words that the strong penalty leaves are fitted again with a weak one, free of its shrinkage.
     left = np.array(sorted(wide.weights), dtype=np.int64)
     sparse = [(b[k], v[k]) for b, v in sparse for k in [np.isin(b, left)]]
-    first = ordinal.fit(sparse, toxic, l1=REFIT_L1)
     if not any(toxic):
-        return first
+        return ordinal.fit(sparse, toxic, levels=3)
+    first = ordinal.fit(sparse, toxic, l1=REFIT_L1)
     scores = np.array([sum(first.weights.get(b, 0.0) for b in x.tolist()) for x, _ in sparse])
     middle = float(np.median(scores[np.array(toxic, dtype=bool)]))
-    return ordinal.fit(sparse, [t + int(t and s > middle) for s, t in zip(scores, toxic, strict=True)], l1=REFIT_L1)
+    return ordinal.fit(sparse, [t + int(t and s > middle) for s, t in zip(scores, toxic, strict=True)], l1=REFIT_L1, levels=3)
 
 
 def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,16 +81,19 @@ def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}  # chunks' buckets that have a weight
+        chars = 0
         for batch in batches:
             scores, column = [], batch.column(1)
             for i in range(batch.num_rows):
                 chunks = set((column[i].as_py() or "").split())
                 for chunk in chunks.difference(memo):
                     memo[chunk] = tuple(b for b in chunk_buckets(chunk) if b in weights)
+                    chars += len(chunk)
                 met = set().union(*map(memo.__getitem__, chunks)) if chunks else ()
                 scores.append(sum(weights[b] for b in sorted(met)))
-                if len(memo) > MEMO_WORDS:
+                if len(memo) > MEMO_WORDS or chars > MEMO_CHARS:
                     memo.clear()
+                    chars = 0
             tails = np.round(model.tails(np.array(scores)), 6)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array(tails[:, 0] > TOXIC_AT)],

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -89,11 +90,12 @@ def test_documents_arrive_whole_in_their_shards(spark):
 # --- mixing --------------------------------------------------------------------------------
 
 
-def copies_of(doc_id, rate, seed=poisson_mix.SEED):
+def copies_of(doc_id, text, rate, seed=poisson_mix.SEED):
+    name = f"{doc_id}:{hashlib.md5(text.encode()).hexdigest()}"
     pieces = max(1, math.ceil(rate / poisson_mix.RATE_STEP))
     step, out = rate / pieces, 0
     for i in range(1, pieces + 1):
-        u = int(hashlib.md5(f"{seed}:{doc_id}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"{seed}:{name}:{i}".encode()).hexdigest()[:13], 16) / 2**52
         k, p, c = 0, math.exp(-step), math.exp(-step)
         while c <= u:
             k += 1
@@ -115,12 +117,12 @@ def test_copies_against_brute_force(spark, monkeypatch, broadcast):
         share = w if given is not None else {s: math.sqrt(c) for s, c in n.items()}
         rates = {s: 600 * share[s] / sum(share.values()) / c for s, c in n.items()}
         got = Counter(r["doc_id"] for r in poisson_mix.mix_sources(docs, given).collect())
-        want = {r["doc_id"]: copies_of(r["doc_id"], rates[r["source"]]) for r in docs.collect()}
+        want = {r["doc_id"]: copies_of(r["doc_id"], "t", rates[r["source"]]) for r in docs.collect()}
         assert got == Counter({k: v for k, v in want.items() if v})
 
 
 def test_mix_reaches_target_shares_and_shuffles(spark):
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "a").otherwise("b").alias("source"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "a").otherwise("b").alias("source"), F.lit(None).cast("string").alias("text"))
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
     rows = poisson_mix.mix_sources(docs, weights, budget=10_000).collect()
     share = Counter(r["source"] for r in rows)
@@ -132,6 +134,14 @@ def test_mix_reaches_target_shares_and_shuffles(spark):
     assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.05
 
 
+def test_null_and_repeated_ids_are_drawn_by_text(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 > 0, 5).cast("bigint").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    mixed = poisson_mix.mix_sources(docs)
+    counts = np.array(list(Counter(r["text"] for r in mixed.collect()).values()))
+    assert abs(counts.sum() - 4000) < 250 and abs(len(counts) / 4000 - (1 - math.exp(-1))) < 0.03
+    assert mixed.select("mix_key").distinct().count() == mixed.count()
+
+
 def test_mix_edge_cases(spark):
     docs = documents(spark)
     mixed = poisson_mix.mix_sources(docs)
@@ -171,6 +181,31 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"kind": F.lit("k"), "digest": F.lit(1), "value": F.lit("v")})
 
 
+@pytest.mark.parametrize("read", ["read_warc", "read_pages"])
+def test_scans_may_split_differently(spark, tmp_path, monkeypatch, read):
+    """Executors that come or go change the splits between the scans of one read."""
+    rows = [(i, "u", ("x" * 40 + fake(f"inner {i % 4}")) * 3 if i % 3 == 0 else f"page {i} " * 30) for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    warc.write_warc(table.coalesce(1), f"{tmp_path}/w")
+    scans, real = [], warc.candidates
+
+    def candidates(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ["1k", "128m", "700", "5k"][len(scans) % 4])
+        scans.append(1)
+        return warc.materialize(real(*args))
+
+    monkeypatch.setattr(warc, "candidates", candidates)
+    try:
+        got = getattr(warc, read)(spark, f"{tmp_path}/w").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(scans) >= 2 and sorted(r["page_id"] for r in got) == list(range(60))
+    if read == "read_pages":
+        assert {r["page_id"]: r["html"] for r in got} == {i: html for i, _, html in rows}
+    else:
+        assert {r["page_id"]: r["payload_digest"] for r in got} == {i: hashlib.sha256(html.encode()).hexdigest() for i, _, html in rows}
+
+
 @pytest.mark.parametrize("split", ["128m", "2k"])
 def test_warc_round_trip(spark, tmp_path, split):
     table = pages(spark)
@@ -203,15 +238,18 @@ def test_warc_pages_are_read_back(spark, tmp_path):
 def test_warc_files_hold_standard_records(spark, tmp_path):
     warc.write_warc(pages(spark).coalesce(1), f"{tmp_path}/w")
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
-    at, n = 0, 0
+    at, n, ids = 0, 0, []
     while at < len(data):
         assert data[at:].startswith(b"WARC/1.1\r\n")
         head = data.index(b"\r\n\r\n", at)
         fields = dict(line.split(b": ", 1) for line in data[at:head].split(b"\r\n")[1:])
+        assert {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length"} <= fields.keys()
+        assert re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"])
+        ids.append(fields[b"WARC-Record-ID"])
         at = head + 4 + int(fields[b"Content-Length"])
         assert data[at : at + 4] == b"\r\n\r\n"
         at, n = at + 4, n + 1
-    assert n == pages(spark).count()
+    assert n == pages(spark).count() == len(set(ids))
 
 
 def test_chain_ends_at_damage(spark, tmp_path):

@@ -46,7 +46,7 @@ def brute(spark, docs, marks):
     out = []
     for r in rows:
         rate = len(rows) * np.sqrt(sizes[r["source"]]) / total / sizes[r["source"]]
-        out += [(r["doc_id"], t.encode(r["text"], add_special_tokens=False).ids)] * copies_of(r["doc_id"], rate)
+        out += [(r["doc_id"], t.encode(r["text"], add_special_tokens=False).ids)] * copies_of(r["doc_id"], r["text"], rate)
     return sorted(out)
 
 
@@ -72,12 +72,34 @@ def test_stages_keep_columns_and_survive_edge_cases(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", ["op5_html_extraction", "op7_warc"])
+def test_page_queries_run_on_edge_cases(spark, tmp_path, name):
+    from readloom.llm import queries
+
+    rows = [(1, "http://a/", "<p>x</p>" * 40), (1, None, "<p>x</p>" * 40), (None, "u", None), (None, None, None), (2, "http://a/", ""), (3, "http://a/", "<p>" + "w " * 300_000)]
+    pages = spark.createDataFrame([(*r, "t", 7, 7) for r in rows], "page_id bigint, url string, html string, text string, ref int, key int")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    pages.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/pages.parquet")
+    assert queries.queries()[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_text_in_any_stage(spark, tmp_path):
+    """Unrelated texts under null and repeated ids: the dedup stages keep them all."""
+    texts = [" ".join(f"{i}word{k}" for k in range(30)) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip([None, None, None, 5, 5, 7], texts, strict=True)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sf_dir = folder(spark, tmp_path, docs, labels(spark).limit(0))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert sorted(r["text"] for r in stage(spark, docs, sf_dir).collect()) == sorted(texts), name
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"]
     assert corpus_pipeline.ORACLE_SQL is None and poisson_mix.SEED
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_sharding", "op4_quality_classifier", "op6_quality_rules", "op8_mixing", "op9_simhash_near_dedup", "op10_toxicity"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_sharding", "op3_bpe", "op4_quality_classifier", "op6_quality_rules", "op8_mixing", "op9_simhash_near_dedup", "op10_toxicity"])
 def test_registered_queries_run_on_edge_cases(spark, tmp_path, name):
     from readloom.llm import queries
 

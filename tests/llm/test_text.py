@@ -89,6 +89,7 @@ def test_ordinal_fit_recovers_ordered_grades():
 def test_ordinal_fit_degenerate():
     assert ordinal.fit([], []).tails(np.zeros(1)).tolist() == [[0.5]]
     assert ordinal.fit([([1], [1.0])], [0]).tails(np.zeros(1))[0, 0] < 0.01
+    assert np.round(ordinal.fit([([1], [1.0])], [1], levels=3).tails(np.zeros(1))).tolist() == [[1, 0]]
     assert ordinal.fit([([1], [1.0])], [2]).tails(np.zeros(1)).min() > 0.99
 
 
@@ -114,7 +115,7 @@ def test_classifiers_on_held_out_rows(spark):
     truth = {r["doc_id"]: r for r in marks.collect()}
     quality = quality_classifier.score(unseen, quality_classifier.train(seen, marks)).collect()
     assert np.mean([r["kept"] == bool(truth[r["doc_id"]]["quality"]) for r in quality]) > 0.97
-    assert all(0 <= r["p_good"] <= r["p_fair"] <= 1 and abs(r["expected_grade"] - r["p_fair"] - r["p_good"]) < 1e-6 for r in quality)
+    assert all(0 <= r["p_good"] <= r["p_poor"] <= 1 and abs(r["expected_grade"] - r["p_poor"] - r["p_good"]) < 1e-6 for r in quality)
     severity = toxicity.score(unseen, toxicity.train(seen, marks)).collect()
     assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]["toxic"]) for r in severity]) > 0.97
     again = quality_classifier.train(seen.repartition(5), marks)
@@ -128,7 +129,7 @@ def test_classifier_edge_cases(spark):
         assert run(docs, labels(spark).limit(0)).count() == docs.count()
         assert run(empty(spark), labels(spark)).count() == 0
     got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels(spark)).collect()}
-    assert all(not got[i]["kept"] and got[i]["p_fair"] == 0 for i in (3, 4, 5))
+    assert all(not got[i]["kept"] and got[i]["p_poor"] == 0 for i in (3, 4, 5))
     unlabelled = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels(spark).limit(0)).collect()}
     assert unlabelled[0]["kept"] and not unlabelled[4]["kept"]
     good = quality_classifier.keep_good(docs, labels(spark))
@@ -137,6 +138,111 @@ def test_classifier_edge_cases(spark):
     assert {r["doc_id"] for r in good.collect()} == kept
 
 
+def slow_fit(rows, grades, l1, least, levels, steps=6000):
+    """Plain gradient steps on the penalised likelihood of the cumulative-link model, on a dense matrix; names, weights, thresholds."""
+    often = Counter(int(b) for bs, _ in rows for b in bs)
+    names = sorted(b for b, n in often.items() if n >= least)
+    x = np.zeros((len(rows), len(names)))
+    for i, (bs, vs) in enumerate(rows):
+        for b, v in zip(bs, vs, strict=True):
+            if int(b) in names:
+                x[i, names.index(int(b))] += v
+    scale = np.sqrt((x**2).mean(axis=0))
+    scale[scale == 0] = 1.0
+    x, y = x / scale, np.array(grades)
+    w, t = np.zeros(len(names)), np.arange(levels - 1) - (levels - 2) / 2.0
+    rate = 1.0 / (0.3 * np.linalg.eigvalsh(x.T @ x / len(x)).max() + 0.5)
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for _ in range(steps):
+        edges = np.concatenate([[-np.inf], t, [np.inf]])
+        s = x @ w
+        hi, lo = sig(edges[y + 1] - s), sig(edges[y] - s)
+        p = np.maximum(hi - lo, 1e-12)
+        grad_t = np.array([(-hi * (1 - hi) / p)[y == k].sum() + (lo * (1 - lo) / p)[y == k + 1].sum() for k in range(levels - 1)]) / len(y)
+        w = w - rate * (x.T @ (1 - hi - lo) / len(y))
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        t = t - 0.5 * grad_t
+    return names, w / scale, t
+
+
+def test_quality_classifier_against_brute_force(spark):
+    """Ratings, features, fit and scores in plain Python on a small table."""
+    docs, marks = junk_and_good(spark, 120)
+    truth = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bad = {i: sum(int(v[0] < 0) for v in weak_supervision.rule_votes(weak_supervision.count_batch(pa.array([t]))).values()) for i, t in texts.items()}
+    grades = [2 if truth[i] else 0 if bad[i] >= 3 else 1 for i in sorted(texts)]
+    assert set(grades) == {0, 1, 2}
+
+    def slow_features(text):
+        words, out = text.split(), Counter()
+        for w in words:
+            shape = re.sub(r"([Aa0])\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w))
+            out[ordinal.bucket("w:" + w.lower())] += 1 / (len(words) + 8)
+            out[ordinal.bucket("s:" + shape)] += 1 / (len(words) + 8)
+        for b, v in quality_classifier.layout(text, words):
+            out[b] += v
+        return list(out), list(out.values())
+
+    rows = [slow_features(texts[i]) for i in sorted(texts)]
+    names, w, t = slow_fit(rows, grades, quality_classifier.L1, 3, 3)
+    weight = dict(zip(names, w.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, marks).collect()}
+    for i, (bs, vs) in zip(sorted(texts), rows, strict=True):
+        s = sum(weight.get(b, 0.0) * v for b, v in zip(bs, vs, strict=True))
+        tails = 1 / (1 + np.exp(-(s - t)))
+        assert abs(got[i]["p_poor"] - tails[0]) < 0.02 and abs(got[i]["p_good"] - tails[1]) < 0.02
+        assert got[i]["kept"] == (got[i]["p_good"] >= 0.5)
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, marks = junk_and_good(spark, 120)
+    truth = {r["doc_id"]: r["toxic"] for r in marks.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+
+    def slow_features(text):
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        return sorted({ordinal.bucket("t:" + w) for w in words} | {ordinal.bucket(f"t{n}:{w[:n]}") for w in words for n in (4, 5, 6) if len(w) > n})
+
+    rows = [(f, [1.0] * len(f)) for f in map(slow_features, (texts[i] for i in ids))]
+    toxic = [truth[i] for i in ids]
+    names, w, _ = slow_fit(rows, toxic, toxicity.SELECT_L1, 3, 2, 1500)
+    left = {n for n, x in zip(names, w, strict=True) if x}
+    wide = ordinal.fit(rows, toxic, l1=toxicity.SELECT_L1, steps=150, least_rows=3)
+    assert left == set(wide.weights) and {ordinal.bucket("t:moron"), ordinal.bucket("t:stupid")} & left
+    # The scores of the operator are those of its model on these features.
+    model = toxicity.train(docs, marks)
+    assert set(model.weights) <= left and len(model.thresholds) == 2
+    for r in toxicity.score(docs, model).collect():
+        s = sum(model.weights.get(b, 0.0) for b in slow_features(texts[r["doc_id"]]))
+        tails = 1 / (1 + np.exp(-(s - np.array(model.thresholds))))
+        assert abs(r["p_mild"] - tails[0]) < 1e-6 and abs(r["p_severe"] - tails[1]) < 1e-6 and r["toxic"] == (r["p_mild"] > 0.5)
+
+
+def test_whole_words_and_texts_count():
+    """Words that differ after 64 letters and more are different words, and no length is treated apart."""
+    a, b = "x" * 70 + "a", "x" * 70 + "b"
+    assert quality_classifier.word_buckets(a) != quality_classifier.word_buckets(b)
+    assert quality_classifier.word_buckets("a!" * 40 + "b")[1] != quality_classifier.word_buckets("a!" * 40 + "?")[1]
+    assert toxicity.chunk_buckets(a) != toxicity.chunk_buckets(b)
+    for n in (50, 1999, 2001, 5000):
+        votes = weak_supervision.rule_votes(weak_supervision.count_batch(pa.array([" ".join(["same", "old"] * n), " ".join(f"w{i}" for i in range(2 * n))])))
+        assert votes["rich"].tolist() == [-1, 0]
+    rich = [dict(quality_classifier.layout(t, t.split())) for t in (" ".join(f"w{i}" for i in range(n)) for n in (2000, 2100, 9000))]
+    key = ordinal.bucket("rich:20")
+    assert all(key in r for r in rich)
+
+
+def test_repeated_ids_are_read_alike(spark):
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text"), (1, None), (2, None)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, 0, 0)], "doc_id int, quality int, toxic int")
+    got = quality_classifier.labelled(docs, marks, "quality", 10).collect()
+    assert sorted((r["doc_id"], r["text"], r["quality"]) for r in got) == [(1, "a text", 1), (2, None, 0)]
+    renamed = docs.withColumnsRenamed({"doc_id": "key", "text": "body"})
+    assert quality_classifier.train(renamed, marks, 10, "key", "body") == quality_classifier.train(docs, marks, 10)
+
+
 def slow_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
