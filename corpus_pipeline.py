@@ -4,6 +4,9 @@ run() applies the stages of STAGES in order. Each takes (spark, docs, sf_dir), w
 that its predecessor kept, and calls one operator; all but the last return the columns of
 documents. A stage's result is written as Parquet in the shared folder and read again, so a
 lost executor costs no more than one stage.
+
+All stages take null ids and texts, repeated rows and ids, empty and very long texts, empty tables and extra
+columns; each says what becomes of them.
 """
 
 from __future__ import annotations
@@ -16,27 +19,46 @@ from readloom.llm.common import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null, empty and blank texts are rejected; each row counts by its own text, so null and repeated ids change nothing; rows
+    of equal text go or stay together; without labels all documents with words stay; extra columns stay.
+    """
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that with the largest id.
+
+    A null text equals the empty one; null ids lose against any id, and of rows that tie in text and id one stays;
+    different texts under one id, or under null, all stay; extra columns stay.
+    """
     return cuckoo_dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies (fingerprints of four-word shingles within four bits): that with the least id.
+
+    Null ids lose against any id, and of rows that tie in id that of the least text digest stays; different components
+    under one id, or under null, keep one row each; texts without words are one component; extra columns stay.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their sources' target weights and shuffled."""
+    """Documents repeated to their sources' target weights and shuffled.
+
+    Null sources are a source of their own; rows of null or repeated ids are drawn by their texts, and rows that tie in both
+    get the same number of copies; extra columns stay.
+    """
     return poisson_mix.mix_sources(docs).select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a digest of what they decode to."""
+    """Token ids of each document, and a digest of what they decode to.
+
+    A null or empty text has no tokens; each row has its own result, whatever its id; extra columns go.
+    """
     coded = trie_bpe.encode_decode(docs, trie_bpe.tokenizer_path(), arrays=True)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
