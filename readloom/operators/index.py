@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom.functions.cigar import BIN_END, reference_end, reg2bin
+from readloom.functions.ordinals import with_neighbour
 
 WINDOW_SHIFT = 14
 METADATA_BIN = 37450
@@ -17,11 +18,10 @@ STRETCH = 64 << 20 << 16
 def with_end_offset(reads: DataFrame, last_end: int) -> DataFrame:
     """reads with end_voffset: where the next record of the file begins, for its last record last_end.
 
-    rec_no is dense, so the next record is found by an equi-join instead of one window over the file.
+    rec_no is dense, so the next record is found within ranges of record numbers.
     """
     keys = [c for c in ("file_ord",) if c in reads.columns]
-    after = reads.select(*keys, (F.col("rec_no") - 1).alias("rec_no"), F.col("voffset").alias("_after"))
-    return reads.join(after, [*keys, "rec_no"], "left").withColumn("end_voffset", F.coalesce("_after", F.lit(last_end))).drop("_after")
+    return with_neighbour(reads, "rec_no", 1, F.col("voffset"), "_after", keys).withColumn("end_voffset", F.coalesce("_after", F.lit(last_end))).drop("_after")
 
 
 def coalesce_ranges(ranges: DataFrame, keys: list[str], span: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom.functions import hashing as H
+from readloom.functions.storage import materialize
 
 #: Buckets of one running-sum range of the yield histogram.
 RANGE_BUCKETS = 1 << 12
@@ -56,7 +57,7 @@ def yield_cutoff(histogram: DataFrame, target: int) -> int:
 
 def yield_sample(reads: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """Whole molecules in bucket order until their bases reach target."""
-    cutoff = yield_cutoff(yield_histogram(reads, seed), target)
+    cutoff = yield_cutoff(materialize(yield_histogram(reads, seed)), target)  # one row a bucket, used twice
     return reads.where(zmw_bucket(F.col("rg_id"), F.col("zmw"), seed) < cutoff)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from readloom.functions.flags import is_reverse
 from readloom.functions.names import natural_key
-from readloom.functions.ordinals import sorted_by
+from readloom.functions.ordinals import sorted_by, with_neighbour
 
 ORIGIN = ["file_ord", "rec_no"]
 
@@ -142,9 +142,8 @@ def check_merge_order(orders: list[str], wanted: str) -> None:
 def disorder(reads: DataFrame) -> DataFrame:
     """n_records and n_out_of_order (records before their predecessor in file order): one row.
 
-    Each record meets its predecessor by an equi-join on rec_no, not in one window.
+    Each record meets its predecessor within a range of record numbers.
     """
     key = F.struct(F.when(F.col("ref_id") < 0, F.lit(2**31 - 1)).otherwise(F.col("ref_id")).alias("r"), F.col("pos").alias("p"))
-    rows = reads.select("rec_no", key.alias("key"))
-    before = rows.select((F.col("rec_no") + 1).alias("rec_no"), F.col("key").alias("before"))
-    return rows.join(before, "rec_no", "left").agg(F.count("*").alias("n_records"), F.count_if(F.col("key") < F.col("before")).alias("n_out_of_order"))
+    rows = with_neighbour(reads.select("rec_no", key.alias("key")), "rec_no", -1, F.col("key"), "before")
+    return rows.agg(F.count("*").alias("n_records"), F.count_if(F.col("key") < F.col("before")).alias("n_out_of_order"))

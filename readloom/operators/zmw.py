@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readloom.functions.hashing import MASK64, SplitMix
-from readloom.functions.ordinals import range_starts, with_ordinal
+from readloom.functions.ordinals import with_neighbour, with_ordinal, with_running_sum
+from readloom.functions.storage import materialize
 
 IDENTITY = ["rg_id", "zmw"]
 #: Records of one numbering range.
@@ -47,15 +47,13 @@ def count_zmws(index: DataFrame) -> DataFrame:
 def zmw_runs(reads: DataFrame, width: int = RANGE_RECORDS) -> DataFrame:
     """reads with run_id: consecutive records of one identity share it (numbered from 1 in record order).
 
-    The flag needs the neighbour only: it is found by an equi-join on rec_no - 1, and the running sum
-    is made in ranges, so no task sees the whole table.
+    The neighbour and the running sum are found in ranges of record numbers, so no task sees the whole table. reads is
+    read twice, its identities for the totals of the ranges and all of it for the result.
     """
-    previous = reads.select((F.col("rec_no") + 1).alias("rec_no"), F.col("rg_id").alias("p_rg"), F.col("zmw").alias("p_zmw"))
-    marked = reads.join(previous, "rec_no", "left").withColumn("_new", F.when((F.col("p_rg") == F.col("rg_id")) & (F.col("p_zmw") == F.col("zmw")), 0).otherwise(1))
-    marked = marked.drop("p_rg", "p_zmw").withColumn("_range", F.expr(f"rec_no div {width}"))
-    starts = range_starts(marked, F.col("_range"), F.col("_new"))
-    inside = F.sum("_new").over(Window.partitionBy("_range").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.join(starts, "_range").withColumn("run_id", (F.col("_start") + inside).cast("bigint")).drop("_range", "_start", "_new")
+    identity = F.struct(*IDENTITY)
+    marked = with_neighbour(reads, "rec_no", -1, identity, "_before", width=width)
+    marked = marked.withColumn("_new", F.when(F.col("_before") == identity, 0).otherwise(1)).drop("_before")
+    return with_running_sum(marked, F.expr(f"rec_no div {width}"), [F.col("rec_no")], F.col("_new"), "run_id").drop("_new")
 
 
 def zmw_groups(reads: DataFrame) -> DataFrame:
@@ -84,8 +82,8 @@ def contiguous_chunk(index: DataFrame, k: int, n: int) -> DataFrame:
     """Records of chunk k of n: the molecules [N(k-1)/n, Nk/n) in the order of first sight."""
     if not (n >= 1 and 1 <= k <= n):
         raise ValueError(f"chunk number must be in [1, {n}], got {k}")
-    numbered = numbered_zmws(index)
-    total = numbered.agg(F.count("*").alias("n")).first()["n"]
+    numbered = materialize(numbered_zmws(index))
+    total = numbered.count()
     chosen = numbered.where((F.col("zmw_no") >= boundary(total, k - 1, n)) & (F.col("zmw_no") < boundary(total, k, n)))
     return index.join(chosen.select(*IDENTITY, "zmw_no"), IDENTITY)
 
@@ -120,8 +118,8 @@ def scatter_tiles(total: int, k: int, n: int, tile: int, seed: int) -> np.ndarra
 def scatter_chunk(index: DataFrame, k: int, n: int, tile: int = 1, seed: int = 0) -> DataFrame:
     """Records of the molecules in the chunk's tiles, which are joined as a table of tile numbers."""
     spark = index.sparkSession
-    numbered = numbered_zmws(index)
-    total = numbered.agg(F.count("*").alias("n")).first()["n"]
+    numbered = materialize(numbered_zmws(index))
+    total = numbered.count()
     tiles = spark.createDataFrame(pa.table({"tile": scatter_tiles(total, k, n, tile, seed).astype(np.int64)}), "tile bigint")
     chosen = numbered.withColumn("tile", F.expr(f"zmw_no div {tile}")).join(tiles, "tile", "left_semi")
     return index.join(chosen.select(*IDENTITY, "zmw_no"), IDENTITY)

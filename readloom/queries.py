@@ -17,6 +17,7 @@ from readloom.functions import hashing as H
 from readloom.functions import names as N
 from readloom.functions import sequence as SQ
 from readloom.functions.ordinals import number_sorted, with_ordinal
+from readloom.functions.storage import materialize
 from readloom.operators import depth, index, region, sample, sort, zmw
 from readloom.plans import driver_tables as D
 from readloom.plans.driver_tables import LENGTHS_SQL, OPS_SQL, READS_SQL, REFS_SQL
@@ -314,23 +315,33 @@ _RUNS_SQL = """runs AS (SELECT rec_no, sum(new) OVER (ORDER BY rec_no)::BIGINT A
   SELECT rec_no, CASE WHEN zmw = lag(zmw) OVER (ORDER BY rec_no) AND 0 = lag(0) OVER (ORDER BY rec_no) THEN 0 ELSE 1 END AS new FROM reads))"""
 
 
+def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered reads of one read group, stored, since runs are found in two passes."""
+    return materialize(D.reads(spark, sf_dir).select("rec_no", F.lit(0).alias("rg_id"), "zmw", "qname"))
+
+
 @register(f"WITH {READS_SQL}, {_RUNS_SQL} SELECT rec_no, run_id FROM runs")
 def zmw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zmw.zmw_runs(D.reads(spark, sf_dir).withColumn("rg_id", F.lit(0))).select("rec_no", "run_id")
+    return zmw.zmw_runs(_molecules(spark, sf_dir)).select("rec_no", "run_id")
 
 
 @register(f"WITH {READS_SQL}, {_RUNS_SQL} SELECT run_id, min(rec_no) AS first_rec, count(*) AS n_records FROM runs GROUP BY run_id")
 def zmw_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = zmw.zmw_groups(D.reads(spark, sf_dir).withColumn("rg_id", F.lit(0)))
+    groups = zmw.zmw_groups(_molecules(spark, sf_dir))
     return groups.select("run_id", F.col("records")[0]["rec_no"].alias("first_rec"), F.size("records").cast("bigint").alias("n_records"))
 
 
 _NUMBERED = f"WITH {READS_SQL}, u AS (SELECT rg_id, zmw, row_number() OVER (ORDER BY min(rec_no)) - 1 AS zmw_no FROM reads GROUP BY rg_id, zmw)"
 
 
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered reads as a molecule index has them, stored, since chunks are cut in two passes."""
+    return materialize(D.reads(spark, sf_dir).select("rec_no", "rg_id", "zmw"))
+
+
 @register(f"{_NUMBERED}, t AS (SELECT count(*) AS n FROM u) SELECT rec_no, zmw_no::BIGINT AS zmw_no FROM reads JOIN u USING (rg_id, zmw), t WHERE zmw_no >= n * 2 // 7 AND zmw_no < n * 3 // 7")
 def chunk_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zmw.contiguous_chunk(D.reads(spark, sf_dir), 3, 7).select("rec_no", "zmw_no")
+    return zmw.contiguous_chunk(_identities(spark, sf_dir), 3, 7).select("rec_no", "zmw_no")
 
 
 #: Scatter runs over a hundred molecules made of the customers, few enough for the oracle to list the permutation.
@@ -365,7 +376,7 @@ chosen AS (SELECT unnest(p[n // 4 + 1:n * 2 // 4]) AS tile FROM shuffled)"""
 @register(f"{_NUMBERED}, {_SHUFFLED} SELECT rec_no, zmw_no::BIGINT AS zmw_no FROM reads JOIN u USING (rg_id, zmw) WHERE zmw_no // 3 IN (SELECT tile FROM chosen)")
 def chunk_scatter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_scatter over all molecules of the reads."""
-    return zmw.scatter_chunk(D.reads(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
+    return zmw.scatter_chunk(_identities(spark, sf_dir), 2, 4, tile=3, seed=7).select("rec_no", "zmw_no")
 
 
 def _barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +483,7 @@ _INDEXED = f"WITH {READS_SQL}, {OPS_SQL}, {LENGTHS_SQL}, {_SORTED_SQL}"
 
 def _sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads in coordinate order, each 100 offsets long."""
-    rows = D.reads(spark, sf_dir).select("rec_no", "ref_id", "pos", "flag", "cigar")
+    rows = materialize(D.reads(spark, sf_dir).select("rec_no", "ref_id", "pos", "flag", "cigar"))  # the ordinal takes two passes
     ref = F.when(F.col("ref_id") < 0, F.lit(2**31 - 1)).otherwise(F.col("ref_id")).cast("bigint")
     bucket = ref * 2**20 + F.when(F.col("ref_id") < 0, F.expr("rec_no div 16384")).otherwise(F.expr("pos div 128"))
     rows = with_ordinal(rows, bucket, [*sort.coordinate_keys(), F.col("rec_no")], "ord", first=1)
@@ -577,7 +588,7 @@ def mate_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sorted_file(spark, sf_dir).withColumns(
         {"slice": F.expr("rec_no div 500"), "ord": F.col("rec_no"), "nf": F.when(F.col("rec_no") % 6 == 0, F.col("rec_no") % 4).otherwise(-1)}
     )
-    return index.resolve_mates(rows)
+    return index.resolve_mates(materialize(rows))
 
 
 @register(f"WITH {READS_SQL} SELECT min(rec_no) AS first_bad FROM reads WHERE rec_no % 5000 = 4999")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
+from readloom.functions.storage import checkpoint_dir
 from readloom.header import Entry, Header
 from readloom.operators import clip, lossless
 from readloom.plans import driver_tables as D
@@ -61,8 +61,11 @@ def _header(spark: SparkSession, sf_dir: str) -> Header:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
-    path = f"{base}/readloom-files-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one; the file formats open paths, so it must be mounted on all executors."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file://"):
+        raise ValueError(f"the file formats need a mounted folder, not {base}")
+    path = f"{base.removeprefix('file://').removeprefix('file:')}/readloom-files-{uuid.uuid4().hex}"
     os.makedirs(path)
     return path
 

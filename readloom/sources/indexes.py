@@ -131,6 +131,7 @@ def build_bai(reads: DataFrame, references: int) -> Bai:
 
 def build_bam_index(spark: SparkSession, path: str) -> str:
     """Builds path.bai; the header must say that the file is sorted by coordinate."""
+    from readloom.functions.storage import materialize
     from readloom.operators.index import with_end_offset
     from readloom.operators.sort import disorder
     from readloom.sources.bam import numbered, read_bam, read_header
@@ -138,13 +139,14 @@ def build_bam_index(spark: SparkSession, path: str) -> str:
     header, _ = read_header(path)
     if header.sort_order != "coordinate":
         raise ValueError(f"{path} is not sorted by coordinate (SO:{header.sort_order or 'none'})")
-    rows = numbered(read_bam(spark, path, columns="file_ord,voffset,flag,ref_id,pos,cigar"))
-    if disorder(rows).first()["n_out_of_order"]:
-        raise ValueError(f"records of {path} are out of coordinate order")
+    # The file is decoded once; order, bins, windows and counts come from what is stored.
+    rows = numbered(materialize(read_bam(spark, path, columns="file_ord,voffset,flag,ref_id,pos,cigar").select("file_ord", "voffset", "flag", "ref_id", "pos", "cigar")))
     size = os.path.getsize(path)
     with open(path, "rb") as f:
         end = size - len(bgzf.EOF) if bgzf.has_eof_marker(f, size) else size
-    rows = with_end_offset(rows, bgzf.pack(end, 0))
+    rows = materialize(with_end_offset(rows, bgzf.pack(end, 0)))
+    if disorder(rows).first()["n_out_of_order"]:
+        raise ValueError(f"records of {path} are out of coordinate order")
     write_bai(build_bai(rows, len(header.references)), path + ".bai")
     return path + ".bai"
 
