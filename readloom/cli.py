@@ -6,21 +6,24 @@ import argparse
 import hashlib
 import os
 import shutil
+import stat
 import sys
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import header as H
 from readloom.functions import hashing
+from readloom.functions.storage import checkpoint_dir
 from readloom.functions.tags import strip_kinetics
 from readloom.header import PROGRAM, Header
 from readloom.operators import depth as depth_ops
 from readloom.operators import lossless, region, sample, sort, zmw
 from readloom.sources import bam, bgzf, cram, indexes, sam
 from readloom.sources.fasta import Fasta
-from readloom.streaming.status import StatusLines
+from readloom.streaming.status import StatusLines, measured
 
 
 def session() -> SparkSession:
@@ -160,14 +163,27 @@ def merge(args) -> None:
     if args.bai and (args.concat or mode != "coordinate"):
         raise ValueError("--bai needs a merge by coordinate")
     inputs = [load(spark, p) for p in args.inputs]
-    if mode == "concat" or args.concat:
-        rows = sort.concat(inputs).orderBy("file_ord", "rec_no")
-        out.hd["SO"] = "unsorted"
-    else:
-        rows = sort.merge(inputs, mode, *(sort.tag_columns(args.tag) if mode == "tag" else ()))
-        out = H.sorted_header(out, mode)
-    H.add_program(out, f"{PROGRAM}.merge", command_line(args))
-    write(rows, args.output, out, args.compression)
+    with StatusLines(args.status_json or os.devnull, "merge", inputs=args.inputs) as status:
+        status.phase("plan")
+        how = "sort"
+        if mode == "concat" or args.concat:
+            rows, how = sort.concat(inputs).orderBy("file_ord", "rec_no"), "concat"
+            out.hd["SO"] = "unsorted"
+        else:
+            rows = None
+            if mode == "coordinate" and not args.no_passthrough and {kind(p) for p in args.inputs} == {"bam"} and len({tuple(r.key for r in h.references) for h in headers}) == 1:
+                rows = sort.merge_chain([bam.read_bam(spark, p) for p in args.inputs])
+                how = "sort" if rows is None else "passthrough"
+            if rows is None:
+                rows = sort.merge(inputs, mode, *(sort.tag_columns(args.tag) if mode == "tag" else ()))
+            out = H.sorted_header(out, mode)
+        H.add_program(out, f"{PROGRAM}.merge", command_line(args))
+        status.phase("write", mode=how)
+        began = time.perf_counter()
+        rows, written = measured(rows)
+        write(rows, args.output, out, args.compression)
+        seconds = time.perf_counter() - began
+        status.final(mode=how, inputs=len(inputs), input_bytes=sum(map(os.path.getsize, args.inputs)), output_bytes=os.path.getsize(args.output), seconds=round(seconds, 3), **written.get)
     if args.bai:
         indexes.build_bam_index(spark, args.output)
 
@@ -326,6 +342,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--tag")
     t.add_argument("--concat", action="store_true")
     t.add_argument("--bai", action="store_true")
+    t.add_argument("--no-passthrough", action="store_true", help="sort even if the inputs follow each other")
+    t.add_argument("--status-json", help="report of the run as JSON lines")
     t.add_argument("--compression", type=int, default=6)
     t = tool("subsample", subsample, "input", "output")
     t.add_argument("--fraction", type=float)
@@ -351,6 +369,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def seekable(path: str) -> str:
+    """A file with the content of path: a stream (- or a named pipe) is copied, and named for the format that it begins with."""
+    if path != "-" and not (os.path.exists(path) and stat.S_ISFIFO(os.stat(path).st_mode)):
+        return path
+    base = checkpoint_dir(session()).removeprefix("file://").removeprefix("file:")
+    copy = f"{base}/readloom-stream-{uuid.uuid4().hex}"
+    with open(copy, "wb") as out:
+        if path == "-":
+            shutil.copyfileobj(sys.stdin.buffer, out, 1 << 20)
+        else:
+            with open(path, "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+    with open(copy, "rb") as f:
+        head = f.read(4)
+    named = copy + (".cram" if head == b"CRAM" else ".bam" if head[:2] == b"\x1f\x8b" else ".sam")
+    os.replace(copy, named)
+    return named
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     p = parser()
@@ -363,6 +400,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if e.code == 0 else 1
     args.raw = argv[1:]
     try:
+        if "input" in args:
+            args.input = seekable(args.input)
+        if "inputs" in args:
+            args.inputs = [seekable(p) for p in args.inputs]
         args.run(args)
     except (ValueError, OSError, KeyError, NotImplementedError) as e:
         print(f"{PROGRAM} {args.tool}: {e}", file=sys.stderr)

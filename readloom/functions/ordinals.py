@@ -75,16 +75,21 @@ def sorted_by(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumns(keys).orderBy(*keys).drop(*keys)
 
 
-def number_sorted(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
-    """df in a global order with name: each row's position, counted from first.
-
-    For orders without a bucket expression: the rows are range-partitioned and sorted by Spark, kept, and
-    each partition starts where those before it end. One count per partition comes back.
-    """
-    kept = materialize(sorted_by(df, order)).withColumn("_id", F.monotonically_increasing_id())
+def number_in_place(df: DataFrame, name: str, first: int = 1) -> DataFrame:
+    """df with name: each row's position in the order in which its partitions hold the rows, counted from first."""
+    kept = materialize(df).withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     starts = range_starts(kept, part, F.lit(1))
     inside = F.col("_id").bitwiseAND((1 << 33) - 1) + first
     if kept.rdd.getNumPartitions() <= BROADCAST_PARTITIONS:
         starts = F.broadcast(starts)
     return kept.withColumn(_BUCKET, part).join(starts, _BUCKET).withColumn(name, (F.col(_START) + inside).cast("bigint")).drop(_BUCKET, _START, "_id")
+
+
+def number_sorted(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """df in a global order with name: each row's position, counted from first.
+
+    For orders without a bucket expression: the rows are range-partitioned and sorted by Spark, kept, and
+    each partition starts where those before it end. One count per partition comes back.
+    """
+    return number_in_place(sorted_by(df, order), name, first)

@@ -120,6 +120,34 @@ def merge(inputs: list[DataFrame], order: str = "coordinate", number: Column | N
     return sorted_by(rows, [*(keys() if keys else tag_keys(number, text)), *origin(rows)])
 
 
+def chain(inputs: list[DataFrame]) -> list[int] | None:
+    """The order in which inputs, each sorted by coordinate, follow each other without overlap, or None if there is none.
+
+    One narrow pass per input for its least and largest key; as many rows as inputs come back. Where an input ends with
+    the key that the next begins with, ties go by input. Empty inputs come last.
+    """
+    bounds = []
+    for i, reads in enumerate(inputs):
+        key = F.struct(*(k.cast("int").alias(f"k{n}") for n, k in enumerate(coordinate_keys())))
+        r = reads.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        bounds.append((tuple(r["low"]), tuple(r["high"]), i) if r["low"] is not None else None)
+    found = sorted(b for b in bounds if b)
+    for (_, high, i), (low, _, j) in zip(found, found[1:], strict=False):
+        if high > low or (high == low and i > j):
+            return None
+    return [i for _, _, i in found] + [i for i, b in enumerate(bounds) if b is None]
+
+
+def merge_chain(inputs: list[DataFrame]) -> DataFrame | None:
+    """Inputs that are a chain as one sorted relation without an exchange, else None.
+
+    Each input's partitions must hold its records in file order, as those of a file read with read_bam do; the order
+    of the result is that of its partitions, so it is to be written or numbered as it is.
+    """
+    order = chain(inputs)
+    return None if order is None else reduce(lambda a, b: a.unionByName(b), [inputs[i].withColumn("file_ord", F.lit(i)) for i in order])
+
+
 def merge_mode(orders: list[str], concat_requested: bool = False) -> str:
     """'coordinate', 'queryname' or 'concat' from the inputs' header orders; mixed orders raise."""
     if not orders:

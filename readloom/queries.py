@@ -638,17 +638,6 @@ def sam_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("rec_no", line(F.col("tag_line")).alias("line"))
 
 
-@register(
-    """SELECT event_id, len(list_filter(['zm', 'RG', 'ip', 'pw'], lambda k: k NOT IN ('ip', 'pw')))::BIGINT AS kept, CASE WHEN event_id % 2 = 0 THEN event_id ELSE NULL END AS zm FROM events"""
-)
-def tag_keep_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from readloom.functions import tags as T
-
-    entries = F.create_map(F.lit("zm"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")), F.lit("RG"), F.lit(1).cast("bigint"), F.lit("ip"), F.lit(2).cast("bigint"), F.lit("pw"), F.lit(3).cast("bigint"))
-    kept = T.strip_kinetics(entries)
-    return D.table(spark, sf_dir, "events").select("event_id", F.size(kept).cast("bigint").alias("kept"), T.keep_tags(kept, ["zm"])["zm"].alias("zm"))
-
-
 def queries() -> dict[str, Query]:
     from readloom import queries_files  # noqa: F401  registers the queries over files
 

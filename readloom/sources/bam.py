@@ -40,6 +40,8 @@ from readloom.sources.records import decode_record, encode_record, find_record
 
 SPLIT_BYTES = 32 << 20
 BATCH_ROWS = 2000
+#: Bytes that a writing task holds for all its outputs.
+HELD_BYTES = 64 << 20
 _TAG_ARROW = pa.struct([("t", pa.string()), ("i", pa.int64()), ("f", pa.float32()), ("s", pa.string()), ("et", pa.string()), ("ai", pa.list_(pa.int64())), ("af", pa.list_(pa.float32()))])
 ARROW = pa.schema(
     [
@@ -289,6 +291,7 @@ class BamWriter(DataSourceArrowWriter):
         os.makedirs(self.work, exist_ok=True)
         held: dict[str, bytearray] = {}
         paths: dict[str, str] = {}
+        waiting = 0
 
         def flush(name: str, data: bytes) -> None:
             # Opened for each block, so that many outputs need no open files.
@@ -298,10 +301,18 @@ class BamWriter(DataSourceArrowWriter):
         for row in rows_of(iterator):
             name = self.output(row)
             data = held.setdefault(name, bytearray())
-            data += encode_record(row)
+            record = encode_record(row)
+            data += record
+            waiting += len(record)
             while len(data) >= bgzf.BLOCK_DATA:
                 flush(name, bytes(data[: bgzf.BLOCK_DATA]))
                 del data[: bgzf.BLOCK_DATA]
+                waiting -= bgzf.BLOCK_DATA
+            if waiting > HELD_BYTES:  # many outputs: shorter blocks, not more memory
+                for other, rest in held.items():
+                    if rest:
+                        flush(other, bytes(rest))
+                held, waiting = {}, 0
         for name, data in held.items():
             if data:
                 flush(name, bytes(data))

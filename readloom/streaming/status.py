@@ -8,6 +8,8 @@ import threading
 import time
 from typing import Any
 
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 
@@ -15,6 +17,12 @@ def _now() -> int:
     return int(time.time() * 1000)
 
 
+def measured(reads: DataFrame) -> tuple[DataFrame, Observation]:
+    """reads, and what they came to once they have been written: records and bases, without a pass of their own."""
+    seen = Observation("reads")
+    return reads.observe(seen, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases")), seen
+
+
 class StatusLines:
     """Appends status lines to a file; progress is written when it changed, once a cadence at most."""
 

@@ -111,3 +111,42 @@ def test_subsample_convert_undo(files, spark):
 
 def test_bench(files, capsys):
     assert main(["bench", f"{files}/s.bam"]) == 0 and len(capsys.readouterr().out.splitlines()) == 7
+
+
+def test_merge_passes_disjoint_inputs_through(files, capsys):
+    for name, chosen in (("low", ("chr1",)), ("high", ("chr2", "*"))):
+        kept = [x for x in LINES if x.split("\t")[2] in chosen]
+        (files / f"{name}.sam").write_text(HEADER + "\n".join(kept) + "\n")
+        assert main(["sort", f"{files}/{name}.sam", f"{files}/{name}.bam"]) == 0
+    capsys.readouterr()
+    outputs = {}
+    for flag, mode in ((["--status-json", f"{files}/m.json"], "passthrough"), (["--no-passthrough", "--status-json", f"{files}/m.json"], "sort")):
+        assert main(["merge", f"{files}/m.bam", f"{files}/high.bam", f"{files}/low.bam", *flag]) == 0
+        report = [json.loads(x) for x in open(f"{files}/m.json")][-1]["metrics"]
+        assert report["mode"] == mode and report["inputs"] == 2 and report["records"] == len(LINES) and report["output_bytes"] > 0
+        main(["dump", "--no-header", f"{files}/m.bam"])
+        outputs[mode] = lines(capsys)
+    assert outputs["passthrough"] == outputs["sort"]
+    assert main(["merge", f"{files}/m.bam", f"{files}/low.bam", f"{files}/low.bam", "--status-json", f"{files}/m.json"]) == 0
+    assert [json.loads(x) for x in open(f"{files}/m.json")][-1]["metrics"]["mode"] == "sort"
+
+
+def test_input_from_streams(files, capsys, monkeypatch):
+    import io
+    import sys
+    import threading
+
+    main(["dump", "--no-header", f"{files}/s.bam"])
+    want = lines(capsys)
+    for name in ("s.bam", "a.sam"):
+        data = (files / name).read_bytes()
+        monkeypatch.setattr(sys, "stdin", type("In", (), {"buffer": io.BytesIO(data)})())
+        assert main(["dump", "--no-header", "-"]) == 0
+        assert sorted(lines(capsys)) == sorted(want)
+    fifo = f"{files}/pipe"
+    os.mkfifo(fifo)
+    writer = threading.Thread(target=lambda: open(fifo, "wb").write((files / "s.bam").read_bytes()))
+    writer.start()
+    assert main(["dump", "--no-header", fifo]) == 0
+    writer.join()
+    assert lines(capsys) == want
