@@ -6,9 +6,9 @@ and reads on for the end of the last one, so no pass over the file is needed fir
 beside the file, filters on ref_id and pos become ranges of blocks. Options: keep_tags, drop_tags
 (comma-separated), columns (what to decode), split_bytes, start_voffset, limit.
 
-Writing: each task writes its records as BGZF blocks into a part file beside the output; the commit
-puts the header, the parts in partition order and the end marker into a temporary file that is then
-renamed. Options: header, the header's text; compression; split_tag: the output is then a folder with a
+Writing: each task writes its records as BGZF blocks into a part file beside the output; then
+tasks copy the header, the parts in partition order and the end marker to their places in a temporary
+file that is renamed (a plain save(), without write_bam, has the commit copy them). Options: header, the header's text; compression; split_tag: the output is then a folder with a
 file for each value of that tag (none.bam for records without it), all written in one pass.
 
 Paths are read and written with open(), so they must be on storage that all executors mount;
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import glob
 import os
+import pickle
 import re
 import shutil
 import struct
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 
 from readloom import schema as S
 from readloom.header import Header, parse_bam_header, parse_header
-from readloom.sources import bgzf
+from readloom.sources import bgzf, parts
 from readloom.sources.records import decode_record, encode_record, find_record
 
 SPLIT_BYTES = 32 << 20
@@ -271,7 +272,8 @@ class BamWriter(DataSourceArrowWriter):
         self.split = options.get("split_tag")
         if os.path.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
-        self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.work = options.get("work") or f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.later = "work" in options  # the caller joins the parts
 
     def output(self, row) -> str:
         """Name of the output that a record goes to."""
@@ -319,26 +321,29 @@ class BamWriter(DataSourceArrowWriter):
         return Part(part, paths)
 
     def commit(self, messages: list[Part | None]) -> None:
-        parts = sorted((m for m in messages if m), key=lambda m: m.order)
-        if self.split is not None:
-            os.makedirs(self.path, exist_ok=True)
-        for name in {n for m in parts for n in m.paths} if self.split is not None else {""}:
-            target = f"{self.path}/{name}" if name else self.path
-            temporary = f"{target}.tmp-{uuid.uuid4().hex}"
-            with open(temporary, "wb") as out:
-                out.write(bgzf.compress(self.header.to_bam(), self.level, end=False))
-                for m in parts:
-                    if name in m.paths:
-                        with open(m.paths[name], "rb") as f:
-                            shutil.copyfileobj(f, out, 1 << 20)
-                out.write(bgzf.EOF)
-            os.replace(temporary, target)
-        shutil.rmtree(self.work, ignore_errors=True)
+        done = sorted((m for m in messages if m), key=lambda m: m.order)
+        names = sorted({n for m in done for n in m.paths}) if self.split is not None else [""]
+        outputs = {name: [m.paths[name] for m in done if name in m.paths] for name in names}
+        if self.later:
+            os.makedirs(self.work, exist_ok=True)
+            with open(f"{self.work}/outputs", "wb") as f:
+                pickle.dump(outputs, f)
+        else:
+            join_outputs(None, self.path, outputs, self.header, self.level, self.split is not None)
+            shutil.rmtree(self.work, ignore_errors=True)
 
     def abort(self, messages: list[Part | None]) -> None:
         shutil.rmtree(self.work, ignore_errors=True)
 
 
+def join_outputs(spark: SparkSession | None, path: str, outputs: dict[str, list[str]], header: Header, level: int, folder: bool) -> None:
+    if folder:
+        os.makedirs(path, exist_ok=True)
+    head, end = parts.Piece(bgzf.compress(header.to_bam(), level, end=False)), parts.Piece(bgzf.EOF)
+    for name, paths in outputs.items():
+        parts.join(spark, f"{path}/{name}" if name else path, [head, *map(parts.whole, paths), end])
+
+
 class BamDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -394,7 +399,13 @@ def write_bam(reads: DataFrame, path: str, header: Header, compression: int = 6,
     writer = full.select(S.READS.fieldNames()).write.format("bam").option("header", header.to_text()).option("compression", compression)
     if split_tag:
         writer = writer.option("split_tag", split_tag)
-    writer.mode("overwrite").save(path)
+    path = path.removeprefix("file://")
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    writer.option("work", work).mode("overwrite").save(path)
+    with open(f"{work}/outputs", "rb") as f:
+        outputs = pickle.load(f)  # noqa: S301  written by the commit of this job
+    join_outputs(reads.sparkSession, path, outputs, header, compression, split_tag is not None)
+    shutil.rmtree(work, ignore_errors=True)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,7 @@ from readloom import schema as S
 from readloom.functions.cigar import QUERY_OPS, REFERENCE_OPS
 from readloom.header import Header, parse_header
 from readloom.sources import cram_codecs as K
+from readloom.sources import parts
 from readloom.sources.bam import BATCH_ROWS, batch, expand, rows_of, tag_filter
 from readloom.sources.cram_codecs import Bits, Cursor, Encoding, itf8, ltf8
 from readloom.sources.fasta import Fasta
@@ -410,7 +411,7 @@ _IDS = {key: i for i, key in enumerate(("RN", *_NUMBERS, *_BYTES, *_ARRAYS, *(k
 
 @dataclass
 class Encoded:
-    """A container without its header, which gets its number at the commit."""
+    """A container without its header, which gets its number when the file is put together."""
 
     body: bytes
     ref_id: int
@@ -421,6 +422,9 @@ class Encoded:
     blocks: int
     landmark: int
     slices: list[tuple[int, int, int]]  # (reference, start, span) for the CRAI
+    size: int = 0  # of a body that lies in a part file
+    path: str = ""
+    at: int = 0
 
 
 def encode_container(rows: list[dict], header: Header, fasta: Fasta | None = None, methods: tuple[int, ...] = (K.GZIP,)) -> Encoded:
@@ -564,18 +568,18 @@ def file_start(header: Header, name: str = "readloom") -> bytes:
     return b"CRAM\3\0" + name.encode()[:20].ljust(20, b"\0") + format_container(len(block), 0, 0, 0, 0, 0, 0, 1, [0]) + block
 
 
-def assemble(path: str, header: Header, encoded: Iterator[Encoded]) -> list[tuple[int, ...]]:
-    """Writes a file of containers in order; the rows of its CRAI."""
-    index, counter = [], 0
-    with open(path, "wb") as f:
-        f.write(file_start(header))
-        for e in encoded:
-            at = f.tell()
-            head = format_container(len(e.body), e.ref_id, e.start, e.span, e.records, counter, e.bases, e.blocks, [e.landmark])
-            f.write(head + e.body)
-            index += [(ref, start, span, at, e.landmark, len(e.body) - e.landmark) for ref, start, span in e.slices]
-            counter += e.records
-        f.write(EOF)
+def assemble(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded]) -> list[tuple[int, ...]]:
+    """Writes a file of containers, whose bodies are at hand or lie in part files, in order; the rows of its CRAI."""
+    index, counter, pieces = [], 0, [parts.Piece(file_start(header))]
+    at = len(pieces[0].head)
+    for e in encoded:
+        size = len(e.body) + e.size
+        head = format_container(size, e.ref_id, e.start, e.span, e.records, counter, e.bases, e.blocks, [e.landmark])
+        pieces.append(parts.Piece(head + e.body, e.path, e.at, e.size))
+        index += [(ref, start, span, at, e.landmark, size - e.landmark) for ref, start, span in e.slices]
+        counter += e.records
+        at += len(head) + size
+    parts.join(spark, path, [*pieces, parts.Piece(EOF)])
     return index
 
 
@@ -648,7 +652,7 @@ class CramReader(DataSourceReader):
 @dataclass
 class Part(WriterCommitMessage):
     order: int
-    path: str
+    containers: list[Encoded]  # without their bodies
 
 
 class CramWriter(DataSourceArrowWriter):
@@ -661,7 +665,8 @@ class CramWriter(DataSourceArrowWriter):
         self.records, self.bases = int(options.get("slice_records", SLICE_RECORDS)), int(options.get("slice_bases", SLICE_BASES))
         if os.path.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
-        self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.work = options.get("work") or f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.later = "work" in options  # the caller joins the parts
 
     def write(self, iterator) -> Part:
         from pyspark import TaskContext
@@ -670,37 +675,45 @@ class CramWriter(DataSourceArrowWriter):
         os.makedirs(self.work, exist_ok=True)
         path = f"{self.work}/{context.partitionId()}-{context.taskAttemptId()}"
         fasta, rows, bases = Fasta(self.reference) if self.reference else None, [], 0
+        done: list[Encoded] = []
         with open(path, "wb") as f:
+
+            def store(e: Encoded) -> None:
+                done.append(replace(e, body=b"", size=len(e.body), path=path, at=f.tell()))
+                f.write(e.body)
+
             for row in rows_of(iterator):
                 rows.append(row)
                 bases += len(row["seq"] or "")
                 if len(rows) >= self.records or bases >= self.bases:
-                    pickle.dump(encode_container(rows, self.header, fasta, self.methods), f)
+                    store(encode_container(rows, self.header, fasta, self.methods))
                     rows, bases = [], 0
             if rows:
-                pickle.dump(encode_container(rows, self.header, fasta, self.methods), f)
-        return Part(context.partitionId(), path)
+                store(encode_container(rows, self.header, fasta, self.methods))
+        return Part(context.partitionId(), done)
 
     def commit(self, messages: list[Part | None]) -> None:
-        from readloom.sources.indexes import write_crai
-
-        def encoded() -> Iterator[Encoded]:
-            for m in sorted((m for m in messages if m), key=lambda m: m.order):
-                with open(m.path, "rb") as f:
-                    while f.peek(1):
-                        yield pickle.load(f)  # noqa: S301  written by this job's tasks
-
-        temporary = f"{self.path}.tmp-{uuid.uuid4().hex}"
-        index = assemble(temporary, self.header, encoded())
-        os.replace(temporary, self.path)
-        if self.crai:
-            write_crai(index, self.path + ".crai")
+        encoded = [e for m in sorted((m for m in messages if m), key=lambda m: m.order) for e in m.containers]
+        if self.later:
+            os.makedirs(self.work, exist_ok=True)
+            with open(f"{self.work}/containers", "wb") as f:
+                pickle.dump(encoded, f)
+            return
+        finish(None, self.path, self.header, encoded, self.crai)
         shutil.rmtree(self.work, ignore_errors=True)
 
     def abort(self, messages: list[Part | None]) -> None:
         shutil.rmtree(self.work, ignore_errors=True)
 
 
+def finish(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded], crai: bool) -> None:
+    from readloom.sources.indexes import write_crai
+
+    index = assemble(spark, path, header, encoded)
+    if crai:
+        write_crai(index, path + ".crai")
+
+
 class CramDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -734,7 +747,13 @@ def write_cram(reads: DataFrame, path: str, header: Header, **options) -> None:
     writer = reads.select(S.READS.fieldNames()).write.format("cram").option("header", header.to_text())
     for k, v in options.items():
         writer = writer.option(k, str(v))
-    writer.mode("overwrite").save(path)
+    path = path.removeprefix("file://")
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    writer.option("work", work).mode("overwrite").save(path)
+    with open(f"{work}/containers", "rb") as f:
+        encoded = pickle.load(f)  # noqa: S301  written by the commit of this job
+    finish(reads.sparkSession, path, header, encoded, str(options.get("crai", "false")).lower() == "true")
+    shutil.rmtree(work, ignore_errors=True)
 
 
 def read_header(path: str) -> Header:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import gzip
 import os
+import shutil
 import struct
+import uuid
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from readloom import schema as S
 from readloom.functions.cigar import bins_of
 from readloom.operators.index import METADATA_BIN, WINDOW_SHIFT
-from readloom.sources import bgzf
+from readloom.sources import bgzf, parts
 
 ZMI_MAGIC, ZMI_HEADER, ZMI_VERSION = b"ZMI\1", 64, 0x010100
 PBI_MAGIC, PBI_HEADER = b"PBI\1", 32
@@ -232,12 +237,104 @@ def read_pbi(path: str) -> pd.DataFrame:
     return out.reindex(columns=S.ZMW_INDEX.fieldNames())
 
 
+#: Entries of an index that one task decodes.
+INDEX_ENTRIES = 4_000_000
+
+
+class Stretches:
+    """Where the data of a BGZF file's blocks begins; the driver reads 22 bytes of each block (64 KiB of data)."""
+
+    def __init__(self, path: str):
+        self.path, self.places, self.starts, size = path, [], [], 0
+        end = os.path.getsize(path)
+        with open(path, "rb") as f:
+            for at in bgzf.block_offsets(f, end):
+                self.places.append(at)
+                self.starts.append(size)
+                f.seek(at)
+                f.seek(at + bgzf.block_size(f.read(64)) - 4)
+                size += struct.unpack("<I", f.read(4))[0]
+        self.size = size
+
+    def place(self, at: int) -> int:
+        """Virtual offset of byte at of the data."""
+        i = max(bisect_right(self.starts, at) - 1, 0)
+        return bgzf.pack(self.places[i], at - self.starts[i]) if self.places else 0
+
+
+def read_stretch(path: str, voffset: int, n: int) -> bytes:
+    """n bytes of a BGZF file's data from a virtual offset on."""
+    at, skip = bgzf.unpack(voffset)
+    out, held = [], 0
+    with open(path, "rb") as f:
+        for _, data in bgzf.blocks(f, at) if n else ():
+            out.append(data[skip : skip + n - held])
+            held, skip = held + len(out[-1]), 0
+            if held == n:
+                break
+    return b"".join(out)
+
+
+def _index_frame(spark: SparkSession, path: str, n: int, columns: list[tuple[str, int, int, str]], stretches: Stretches) -> DataFrame:
+    """An index of n entries decoded by tasks; columns: name, first byte, bytes from entry to entry, numpy type."""
+    rows = [(first, min(INDEX_ENTRIES, n - first), [stretches.place(at + first * step) for _, at, step, _ in columns]) for first in range(0, n, INDEX_ENTRIES)]
+    wanted = S.ZMW_INDEX.fieldNames()
+
+    def run(batches):
+        for batch in batches:
+            for task in batch.to_pylist():
+                first, count, found = task["first"], task["n"], {}
+                for (name, _, step, kind), place in zip(columns, task["places"], strict=True):
+                    size = np.dtype(kind).itemsize
+                    data = np.frombuffer(read_stretch(path, place, (count - 1) * step + size).ljust(count * step, b"\0"), dtype=np.uint8)
+                    found[name] = np.ascontiguousarray(data[: count * step].reshape(count, step)[:, :size]).view(kind).ravel()
+                if "begin" in found:
+                    found["qlen"] = found["end"] - found["begin"]
+                if "fwd" in found and not all(((found[c] >= BARCODE_RANGE[0]) & (found[c] <= BARCODE_RANGE[1])).all() for c in ("fwd", "rev")):
+                    raise ValueError("ZMI barcodes must be in [-1, 65535]")
+                found["rec_no"] = np.arange(first, first + count)
+                for at in range(0, count, 100_000):
+                    arrays = [pa.array(found[c][at : at + 100_000], to_arrow_type(S.ZMW_INDEX[c].dataType)) if c in found else pa.nulls(min(100_000, count - at), to_arrow_type(S.ZMW_INDEX[c].dataType)) for c in wanted]
+                    yield pa.RecordBatch.from_arrays(arrays, names=wanted)
+
+    tasks = spark.createDataFrame(rows, "first bigint, n bigint, places array<bigint>")
+    return tasks.repartitionByRange(max(1, len(rows)), "first").mapInArrow(run, S.ZMW_INDEX)
+
+
+def zmi_frame(spark: SparkSession, path: str) -> DataFrame:
+    """read_zmi as a DataFrame that tasks decode."""
+    data = Stretches(path)
+    head = read_stretch(path, data.place(0), min(ZMI_HEADER, data.size))
+    if len(head) < ZMI_HEADER or head[:4] != ZMI_MAGIC:
+        raise ValueError(f"not a ZMI file: {path}")
+    version, stride, _, n = struct.unpack_from("<IHHQ", head, 4)
+    coded = version >= ZMI_VERSION
+    if stride < (24 if coded else 16):
+        raise ValueError(f"ZMI entries of {stride} bytes are too small")
+    if (data.size - ZMI_HEADER) % stride or n not in (0, (data.size - ZMI_HEADER) // stride):
+        raise ValueError(f"truncated ZMI file: {path}")
+    columns = [(name, ZMI_HEADER + ZMI_ENTRY.fields[name][1], stride, ZMI_ENTRY.fields[name][0].str) for name in ZMI_ENTRY.names if coded or name not in ("fwd", "rev")]
+    return _index_frame(spark, path, (data.size - ZMI_HEADER) // stride, columns, data)
+
+
+def pbi_frame(spark: SparkSession, path: str) -> DataFrame:
+    """read_pbi as a DataFrame that tasks decode."""
+    data = Stretches(path)
+    head = read_stretch(path, data.place(0), min(PBI_HEADER, data.size))
+    if len(head) < PBI_HEADER or head[:4] != PBI_MAGIC:
+        raise ValueError(f"not a PBI file: {path}")
+    (n,) = struct.unpack_from("<I", head, 10)
+    if data.size < PBI_HEADER + 29 * n:
+        raise ValueError(f"truncated PBI file: {path}")
+    columns = [(name, PBI_HEADER + n * k, np.dtype(kind).itemsize, kind) for name, k, kind in (("rg_id", 0, "<i4"), ("begin", 4, "<i4"), ("end", 8, "<i4"), ("zmw", 12, "<i4"), ("voffset", 21, "<i8"))]
+    return _index_frame(spark, path, n, columns, data)
+
+
 def zmw_index(spark: SparkSession, bam: str) -> DataFrame:
-    """The molecule index beside a BAM file: its .zmi, else its .pbi."""
-    for suffix, read in ((".zmi", read_zmi), (".pbi", read_pbi)):
+    """The molecule index beside a BAM file: its .zmi, else its .pbi; decoded by tasks."""
+    for suffix, read in ((".zmi", zmi_frame), (".pbi", pbi_frame)):
         if os.path.exists(bam + suffix):
-            frame = read(bam + suffix)
-            return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), S.ZMW_INDEX)
+            return read(spark, bam + suffix)
     raise FileNotFoundError(f"no ZMW index found for {bam}")
 
 
@@ -281,10 +378,35 @@ def zmi_columns(reads: DataFrame) -> DataFrame:
     )
 
 
+#: One entry of a ZMI.
+ZMI_ENTRY = np.dtype([("rg_id", "<i4"), ("zmw", "<i4"), ("voffset", "<i8"), ("fwd", "<i4"), ("rev", "<i4")])
+
+
+def write_zmi_frame(rows: DataFrame, path: str) -> int:
+    """Writes rows (rg_id, zmw, voffset, fwd, rev) in partition order; entries are packed, and their parts joined, by tasks."""
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+
+    def entry(batch) -> bytes:
+        out = np.empty(batch.num_rows, dtype=ZMI_ENTRY)
+        for name in ZMI_ENTRY.names:
+            out[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        for name in ("fwd", "rev"):
+            if ((out[name] < BARCODE_RANGE[0]) | (out[name] > BARCODE_RANGE[1])).any():
+                raise ValueError("ZMI barcodes must be in [-1, 65535]")
+        return out.tobytes()
+
+    done = parts.write_entries(rows.select(*ZMI_ENTRY.names), entry, work)
+    n = sum(k for _, k in done)
+    head = ZMI_MAGIC + struct.pack("<IHHQ", ZMI_VERSION, ZMI_ENTRY.itemsize, 0, n)
+    pieces = [parts.Piece(bgzf.compress(head.ljust(ZMI_HEADER, b"\0"), end=False)), *(parts.whole(p) for p, k in done if k), parts.Piece(bgzf.EOF)]
+    parts.join(rows.sparkSession, path, pieces)
+    shutil.rmtree(work, ignore_errors=True)
+    return n
+
+
 def build_zmi(spark: SparkSession, bam: str) -> str:
-    """Writes bam.zmi from the file's records, which come to the driver one partition at a time."""
+    """Writes bam.zmi from the file's records, whose partitions are in file order already."""
     from readloom.sources.bam import read_bam
 
-    rows = zmi_columns(read_bam(spark, bam, keep_tags="RG,zm,bc", columns="file_ord,voffset,qname,tags")).orderBy("voffset")
-    write_zmi(((r["rg_id"], r["zmw"], r["voffset"], r["fwd"], r["rev"]) for r in rows.toLocalIterator(prefetchPartitions=True)), bam + ".zmi")
+    write_zmi_frame(zmi_columns(read_bam(spark, bam, keep_tags="RG,zm,bc", columns="file_ord,voffset,qname,tags")), bam + ".zmi")
     return bam + ".zmi"

@@ -15,6 +15,7 @@ from readloom import schema as S
 from readloom.functions.cigar import parse_cigar, query_length
 from readloom.functions.sam_text import sam_line
 from readloom.header import Header, parse_header
+from readloom.sources import parts
 from readloom.sources.records import parse_tag, tags_text
 
 
@@ -131,11 +132,6 @@ def write_sam(reads: DataFrame, path: str, header: Header) -> None:
     """One SAM file: parts are written by the tasks and joined behind the header in partition order."""
     work = f"{path}.parts-{uuid.uuid4().hex}"
     sam_lines(reads).select("line").write.text(work)
-    temporary = f"{path}.tmp-{uuid.uuid4().hex}"
-    with open(temporary, "wb") as out:
-        out.write(header.to_text().encode())
-        for name in sorted(n for n in os.listdir(work) if n.startswith("part-")):
-            with open(f"{work}/{name}", "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    os.replace(temporary, path)
+    names = sorted(n for n in os.listdir(work) if n.startswith("part-"))
+    parts.join(reads.sparkSession, path, [parts.Piece(header.to_text().encode()), *(parts.whole(f"{work}/{n}") for n in names)])
     shutil.rmtree(work)

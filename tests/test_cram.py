@@ -125,7 +125,7 @@ def test_container_round_trip(tmp_path, with_reference, methods):
     fasta = Fasta(path) if with_reference else None
     groups = [rows(rng, seqs, 120), [r for r in rows(rng, seqs, 200) if r["ref_id"] == 1], rows(rng, seqs, 1)]
     out = str(tmp_path / "x.cram")
-    index = C.assemble(out, HEADER, iter([C.encode_container(g, HEADER, fasta, methods) for g in groups]))
+    index = C.assemble(None, out, HEADER, list([C.encode_container(g, HEADER, fasta, methods) for g in groups]))
     header, found = C.containers(out)
     assert header.to_text() == HEADER.to_text() and C.has_eof(out) and [c.records for c in found] == [len(g) for g in groups]
     got = [r for c in found for _, part in C.read_container(out, c, header, fasta) for r in part]
@@ -140,7 +140,7 @@ def test_wrong_reference_is_noticed(tmp_path):
     path, seqs = fasta_file(tmp_path, rng)
     one = [r for r in rows(rng, seqs, 60) if r["ref_id"] == 0]
     out = str(tmp_path / "x.cram")
-    C.assemble(out, HEADER, iter([C.encode_container(one, HEADER, Fasta(path))]))
+    C.assemble(None, out, HEADER, list([C.encode_container(one, HEADER, Fasta(path))]))
     other, _ = fasta_file(tmp_path, random.Random(99))
     header, found = C.containers(out)
     with pytest.raises(ValueError, match="reference differs"):

@@ -180,3 +180,40 @@ def test_fasta(spark, tmp_path):
     os.remove(str(path) + ".fai")
     got = spark.read.format("fasta").option("window", 5).load(str(path)).where("name = 'chr1'").orderBy("start").collect()
     assert [r["seq"] for r in got] == ["ACGTA", "CGTAC", "GG"]
+
+
+def test_tasks_join_parts_and_decode_indexes(spark, tmp_path, monkeypatch):
+    """With small copies and stretches every file takes the way of a large one."""
+    from pyspark.sql import functions as F
+
+    from readloom.sources import bgzf, cram, parts
+
+    header = sam.read_header(write_sam(tmp_path / "a.sam"))
+    reads = sam.read_sam(spark, str(tmp_path / "a.sam")).repartitionByRange(3, "rec_no").sortWithinPartitions("rec_no")
+    written = {}
+    for size in (64 << 20, 100):
+        monkeypatch.setattr(parts, "COPY_BYTES", size)
+        bam.write_bam(reads, f"{tmp_path}/{size}.bam", header)
+        cram.write_cram(reads, f"{tmp_path}/{size}.cram", header, slice_records=2, crai="true")
+        sam.write_sam(reads, f"{tmp_path}/{size}.sam", header)
+        bam.write_bam(reads, f"{tmp_path}/{size}-split", header, split_tag="zm")
+        names = [f"{size}.bam", f"{size}.cram", f"{size}.cram.crai", f"{size}.sam", *(f"{size}-split/{n}" for n in sorted(os.listdir(f"{tmp_path}/{size}-split")))]
+        written[size] = [(tmp_path / n).read_bytes() for n in names]
+    assert written[64 << 20] == written[100]
+    assert not [n for n in os.listdir(tmp_path) if ".parts-" in n or ".tmp-" in n]
+    assert cram.read_cram(spark, f"{tmp_path}/100.cram").count() == 7
+
+    rows = spark.range(30_000).select((F.col("id") % 7).cast("int").alias("rg_id"), F.col("id").cast("int").alias("zmw"), (F.col("id") * 64).alias("voffset"), (F.col("id") % 9 - 1).cast("int").alias("fwd"), F.lit(2).alias("rev"))
+    path = f"{tmp_path}/big.bam.zmi"
+    assert indexes.write_zmi_frame(rows, path) == 30_000
+    want = indexes.read_zmi(path)
+    assert want["zmw"].tolist() == list(range(30_000)) and bgzf.has_eof_marker(open(path, "rb"), os.path.getsize(path))
+    pbi = f"{tmp_path}/other.bam.pbi"
+    indexes.write_pbi([(i % 5, i, i + 3 + i % 4, i * 2, 0.5, 0, i * 8) for i in range(30_000)], pbi)
+    monkeypatch.setattr(indexes, "INDEX_ENTRIES", 7001)
+    for base, frame in (("big", want), ("other", indexes.read_pbi(pbi))):
+        got = indexes.zmw_index(spark, f"{tmp_path}/{base}.bam").orderBy("rec_no").toPandas()
+        for name in ("rec_no", "rg_id", "zmw", "voffset", *(["fwd", "rev"] if base == "big" else ["qlen"])):
+            assert got[name].tolist() == frame[name].tolist(), name
+    with pytest.raises(Exception, match="barcodes"):
+        indexes.write_zmi_frame(rows.withColumn("fwd", F.lit(70_000)), path)
