@@ -105,6 +105,8 @@ def convert(args) -> None:
     reads = load(spark, args.input).orderBy("file_ord", "rec_no")
     if kind(args.output) == "cram":
         options = {"slice_records": args.records_per_slice, "slice_bases": args.bases_per_slice or 2**62, "crai": str(args.write_crai).lower()}
+        if args.methods:
+            options["methods"] = args.methods
         if args.reference:
             options["reference"] = args.reference
             add_checksums(header, args.reference)
@@ -330,6 +332,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--records-per-slice", type=int, default=cram.SLICE_RECORDS)
     t.add_argument("--bases-per-slice", type=int, default=cram.SLICE_BASES)
     t.add_argument("--write-crai", action="store_true")
+    t.add_argument("--methods", help="numbers of the CRAM block methods to try, such as 1,5")
     t = tool("sort", sort_, "input", "output")
     t.add_argument("--order", choices=("coordinate", "queryname", "tag"), default="coordinate")
     t.add_argument("--tag")

@@ -139,6 +139,16 @@ def clip_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.clip(rows, "reference").select("rec_no", "pos", C.reference_length(F.col("cigar")).alias("ref_len"))
 
 
+@register(_RECORD_SQL.format(cigar=_M_CIGAR).replace("mapq::INT AS mapq", "CASE WHEN (flag & 4) = 0 THEN mapq ELSE 0 END::INT AS mapq"))
+def cram31_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cram_round_trip with blocks of rANS Nx16."""
+    from readloom.sources import cram
+
+    path = f"{_folder(spark)}/reads.cram"
+    cram.write_cram(full_reads(spark, sf_dir), path, _header(spark, sf_dir), methods="5")
+    return _shown(cram.read_cram(spark, path))
+
+
 def _value(like, code: str, **parts):
     """A tag's value of the type code, with only the given parts set."""
     value = like.withField("t", F.lit(code)).withField("i", F.lit(None).cast("bigint")).withField("et", F.lit("C" if code == "B" else None).cast("string"))

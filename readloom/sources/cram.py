@@ -33,6 +33,7 @@ from readloom import schema as S
 from readloom.functions.cigar import QUERY_OPS, REFERENCE_OPS
 from readloom.header import Header, parse_header
 from readloom.sources import cram_codecs as K
+from readloom.sources import cram_codecs31 as M31
 from readloom.sources import parts
 from readloom.sources.bam import BATCH_ROWS, batch, expand, rows_of, tag_filter
 from readloom.sources.cram_codecs import Bits, Cursor, Encoding, itf8, ltf8
@@ -561,16 +562,16 @@ def _features(cigar, seq: str, ref_id: int, pos: int, bases: Bases | None) -> li
     return out
 
 
-def file_start(header: Header, name: str = "readloom") -> bytes:
-    """File definition and header container."""
+def file_start(header: Header, name: str = "readloom", minor: int = 0) -> bytes:
+    """File definition and header container; minor: 1 for a file with block methods of version 3.1."""
     text = header.to_text().encode()
     block = format_block(FILE_HEADER, 0, struct.pack("<i", len(text)) + text, (K.GZIP,))
-    return b"CRAM\3\0" + name.encode()[:20].ljust(20, b"\0") + format_container(len(block), 0, 0, 0, 0, 0, 0, 1, [0]) + block
+    return b"CRAM\3" + bytes([minor]) + name.encode()[:20].ljust(20, b"\0") + format_container(len(block), 0, 0, 0, 0, 0, 0, 1, [0]) + block
 
 
-def assemble(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded]) -> list[tuple[int, ...]]:
+def assemble(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded], methods: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
     """Writes a file of containers, whose bodies are at hand or lie in part files, in order; the rows of its CRAI."""
-    index, counter, pieces = [], 0, [parts.Piece(file_start(header))]
+    index, counter, pieces = [], 0, [parts.Piece(file_start(header, minor=int(max(methods, default=0) >= M31.NX16)))]
     at = len(pieces[0].head)
     for e in encoded:
         size = len(e.body) + e.size
@@ -586,6 +587,9 @@ def assemble(spark: SparkSession | None, path: str, header: Header, encoded: lis
 # --- the data source -----------------------------------------------------------------------
 
 
+M31.register()
+
+
 @dataclass
 class ContainerPart(InputPartition):
     path: str
@@ -655,13 +659,18 @@ class Part(WriterCommitMessage):
     containers: list[Encoded]  # without their bodies
 
 
+def method_numbers(text: str | None) -> tuple[int, ...]:
+    """Numbers of block methods from a comma-separated list, by default gzip."""
+    return tuple(int(m) for m in (text or str(K.GZIP)).split(","))
+
+
 class CramWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.header = parse_header(options.get("header", "@HD\tVN:1.6\n"))
         self.reference = options.get("reference") or None
         self.crai = options.get("crai", "false").lower() == "true"
-        self.methods = tuple(int(m) for m in options.get("methods", str(K.GZIP)).split(","))
+        self.methods = method_numbers(options.get("methods"))
         self.records, self.bases = int(options.get("slice_records", SLICE_RECORDS)), int(options.get("slice_bases", SLICE_BASES))
         if os.path.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
@@ -699,17 +708,17 @@ class CramWriter(DataSourceArrowWriter):
             with open(f"{self.work}/containers", "wb") as f:
                 pickle.dump(encoded, f)
             return
-        finish(None, self.path, self.header, encoded, self.crai)
+        finish(None, self.path, self.header, encoded, self.crai, self.methods)
         shutil.rmtree(self.work, ignore_errors=True)
 
     def abort(self, messages: list[Part | None]) -> None:
         shutil.rmtree(self.work, ignore_errors=True)
 
 
-def finish(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded], crai: bool) -> None:
+def finish(spark: SparkSession | None, path: str, header: Header, encoded: list[Encoded], crai: bool, methods: tuple[int, ...]) -> None:
     from readloom.sources.indexes import write_crai
 
-    index = assemble(spark, path, header, encoded)
+    index = assemble(spark, path, header, encoded, methods)
     if crai:
         write_crai(index, path + ".crai")
 
@@ -752,7 +761,7 @@ def write_cram(reads: DataFrame, path: str, header: Header, **options) -> None:
     writer.option("work", work).mode("overwrite").save(path)
     with open(f"{work}/containers", "rb") as f:
         encoded = pickle.load(f)  # noqa: S301  written by the commit of this job
-    finish(reads.sparkSession, path, header, encoded, str(options.get("crai", "false")).lower() == "true")
+    finish(reads.sparkSession, path, header, encoded, str(options.get("crai", "false")).lower() == "true", method_numbers(options.get("methods")))
     shutil.rmtree(work, ignore_errors=True)
 
 

@@ -1,7 +1,7 @@
 """CRAM 3.0 primitives: variable-length integers, block compression and the series encodings.
 
-Block methods RAW, GZIP, BZIP2, LZMA and rANS 4x8 are read, others raise unless registered; RAW,
-GZIP, BZIP2, LZMA and rANS 4x8 of order 0 are written.
+Block methods RAW, GZIP, BZIP2, LZMA and rANS 4x8 are read and written (rANS 4x8 in order 0), those of
+cram_codecs31 as well; others raise unless registered.
 """
 
 from __future__ import annotations

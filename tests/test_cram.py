@@ -118,7 +118,7 @@ def rows(rng, seqs, n):
 
 
 @pytest.mark.parametrize("with_reference", [False, True])
-@pytest.mark.parametrize("methods", [(K.GZIP,), (K.RANS, K.BZIP2, K.LZMA)])
+@pytest.mark.parametrize("methods", [(K.GZIP,), (K.RANS, K.BZIP2, K.LZMA), (5,), (6,)])
 def test_container_round_trip(tmp_path, with_reference, methods):
     rng = random.Random(3)
     path, seqs = fasta_file(tmp_path, rng)
