@@ -28,7 +28,7 @@ def range_starts(df: DataFrame, bucket: Column, amount: Column) -> DataFrame:
 
     Ranges are counted in stretches of SUPER bucket values; only one row a stretch meets in one task.
     """
-    totals = df.groupBy(bucket.cast("bigint").alias(_BUCKET)).agg(F.sum(amount).alias("_total")).withColumn("_super", F.expr(f"floor({_BUCKET} / {SUPER}BD)"))
+    totals = df.groupBy(bucket.cast("bigint").alias(_BUCKET)).agg(F.sum(amount).alias("_total")).withColumn("_super", F.expr(f"{_BUCKET} div {SUPER}"))
     supers = totals.groupBy("_super").agg(F.sum("_total").alias("_all"))
     above = F.sum("_all").over(Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1))
     supers = supers.select("_super", F.coalesce(above, F.lit(0)).alias("_above"))
@@ -42,8 +42,8 @@ def with_neighbour(df: DataFrame, number: str, step: int, value: Column, name: s
 
     Numbers are unique. Ranges of width numbers make the tasks; the row at the edge of a range is copied to its neighbour.
     """
-    own = F.expr(f"floor({number} / {width}BD)")
-    other = F.expr(f"floor(({number} - {step}) / {width}BD)")  # the range of the row that looks for this one
+    own = F.expr(f"{number} div {width}")
+    other = F.expr(f"({number} - {step}) div {width}")  # the range of the row that looks for this one
     rows = df.withColumn("_value", value).withColumn("_own", own)
     rows = rows.withColumn(_BUCKET, F.explode(F.when(other == F.col("_own"), F.array("_own")).otherwise(F.array(F.col("_own"), other))))
     order = Window.partitionBy(*(keys or []), _BUCKET).orderBy(F.col(number) * step)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from readloom.functions.cigar import BIN_END, reference_end, reg2bin
 from readloom.functions.ordinals import with_neighbour
+from readloom.functions.storage import materialize
 
 WINDOW_SHIFT = 14
 METADATA_BIN = 37450
@@ -99,7 +100,8 @@ def resolve_mates(reads: DataFrame) -> DataFrame:
     rightmost base, positive for the record further left (for the first at equal positions), 0 on
     different references.
     """
-    own = reads.withColumn("_end", reference_end(F.col("pos"), F.col("cigar")))
+    # Few columns, stored, since both sides of the join read them.
+    own = materialize(reads.select("slice", "ord", "rec_no", "ref_id", "pos", "nf", reference_end(F.col("pos"), F.col("cigar")).alias("_end")))
     first = own.where("nf >= 0").withColumn("_mate", F.col("ord") + F.col("nf") + 1)
     mate = own.select("slice", F.col("ord").alias("_mate"), F.col("rec_no").alias("m_rec"), F.col("ref_id").alias("m_ref"), F.col("pos").alias("m_pos"), F.col("_end").alias("m_end"))
     pairs = first.join(mate, ["slice", "_mate"])

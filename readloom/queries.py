@@ -17,7 +17,6 @@ from readloom.functions import hashing as H
 from readloom.functions import names as N
 from readloom.functions import sequence as SQ
 from readloom.functions.ordinals import number_sorted, with_ordinal
-from readloom.functions.storage import materialize
 from readloom.operators import depth, index, region, sample, sort, zmw
 from readloom.plans import driver_tables as D
 from readloom.plans.driver_tables import LENGTHS_SQL, OPS_SQL, READS_SQL, REFS_SQL
@@ -316,8 +315,8 @@ _RUNS_SQL = """runs AS (SELECT rec_no, sum(new) OVER (ORDER BY rec_no)::BIGINT A
 
 
 def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered reads of one read group, stored, since runs are found in two passes."""
-    return materialize(D.reads(spark, sf_dir).select("rec_no", F.lit(0).alias("rg_id"), "zmw", "qname"))
+    """Numbered reads of one read group."""
+    return D.reads(spark, sf_dir).select("rec_no", F.lit(0).alias("rg_id"), "zmw", "qname")
 
 
 @register(f"WITH {READS_SQL}, {_RUNS_SQL} SELECT rec_no, run_id FROM runs")
@@ -335,8 +334,8 @@ _NUMBERED = f"WITH {READS_SQL}, u AS (SELECT rg_id, zmw, row_number() OVER (ORDE
 
 
 def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered reads as a molecule index has them, stored, since chunks are cut in two passes."""
-    return materialize(D.reads(spark, sf_dir).select("rec_no", "rg_id", "zmw"))
+    """Numbered reads as a molecule index has them."""
+    return D.reads(spark, sf_dir).select("rec_no", "rg_id", "zmw")
 
 
 @register(f"{_NUMBERED}, t AS (SELECT count(*) AS n FROM u) SELECT rec_no, zmw_no::BIGINT AS zmw_no FROM reads JOIN u USING (rg_id, zmw), t WHERE zmw_no >= n * 2 // 7 AND zmw_no < n * 3 // 7")
@@ -483,7 +482,7 @@ _INDEXED = f"WITH {READS_SQL}, {OPS_SQL}, {LENGTHS_SQL}, {_SORTED_SQL}"
 
 def _sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads in coordinate order, each 100 offsets long."""
-    rows = materialize(D.reads(spark, sf_dir).select("rec_no", "ref_id", "pos", "flag", "cigar"))  # the ordinal takes two passes
+    rows = D.reads(spark, sf_dir).select("rec_no", "ref_id", "pos", "flag", "cigar")
     ref = F.when(F.col("ref_id") < 0, F.lit(2**31 - 1)).otherwise(F.col("ref_id")).cast("bigint")
     bucket = ref * 2**20 + F.when(F.col("ref_id") < 0, F.expr("rec_no div 16384")).otherwise(F.expr("pos div 128"))
     rows = with_ordinal(rows, bucket, [*sort.coordinate_keys(), F.col("rec_no")], "ord", first=1)
@@ -588,7 +587,7 @@ def mate_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sorted_file(spark, sf_dir).withColumns(
         {"slice": F.expr("rec_no div 500"), "ord": F.col("rec_no"), "nf": F.when(F.col("rec_no") % 6 == 0, F.col("rec_no") % 4).otherwise(-1)}
     )
-    return index.resolve_mates(materialize(rows))
+    return index.resolve_mates(rows)
 
 
 @register(f"WITH {READS_SQL} SELECT min(rec_no) AS first_bad FROM reads WHERE rec_no % 5000 = 4999")
