@@ -3,7 +3,10 @@
 Fingerprints: words of the text in lower case (A-Z only), shingles of four words, XXH64
 with seed 42; a bit is set if over half of the shingles' hashes have it.
 
-Links: distinct fingerprints that differ in at most four bits. The 64 bits are cut into
+near_dedup follows these. drop_near_copies, the stage of the pipeline, finds similar texts instead (see similar_edges):
+its fingerprints have 256 bits, and links are found in sampled tables.
+
+Links of near_dedup: distinct fingerprints that differ in at most four bits. The 64 bits are cut into
 4 + m blocks; two linked fingerprints agree in at least m of them, so each choice of m
 blocks is a table keyed by those bits, and m grows with the number of fingerprints so that
 buckets stay small. Rows of a table are exchanged by key and compared bit-sliced: plane b
@@ -16,7 +19,7 @@ Components: large-star and small-star rounds over the forest edges, each materia
 the shared checkpoint folder; nothing is collected.
 
 Defined cases: texts without words (null and empty too) have fingerprint zero and link
-like any other; fewer than four words are one shingle; null ids never become a
+like any other; fewer words than a shingle has are one shingle; null ids never become a
 component_id unless all its rows' ids are null; repeated rows are separate rows of the
 same component; of rows that tie for a component's least id drop_near_copies keeps that of the least text
 digest; texts of any length count whole; empty tables give empty results; other columns are ignored.
@@ -25,6 +28,7 @@ digest; texts of any length count whole; empty tables give empty results; other
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,15 @@ BLOCK = 4096
 #: Mean rows of a bucket from which the tables get a further block in their keys.
 MEAN_BUCKET = 1024
 
+#: Similar texts: words of a shingle, words of a shingle of the keys, 64-bit lanes of a fingerprint, and radius. Sets
+#: of shingles with a Jaccard similarity of 0.8 have a cosine of 0.89, and differ in acos(0.89) / pi of the bits: 39
+#: of 256 on average with a deviation of 6. 46 or fewer are nine in ten of them; unrelated texts differ in 128 (8).
+SIMILAR_SHINGLE, KEY_SHINGLE, LANES, SIMILAR_RADIUS = 5, 2, 4, 46
+#: Share of the key bits in which texts of that similarity differ, and share of them that all tables may miss.
+KEY_FLIPS, KEY_MISSES = 0.11, 0.02
+#: Mean rows of a bucket of those tables.
+SIMILAR_BUCKET = 2048
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -65,17 +78,62 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed bigint), with digest also sha (the text's SHA-256)."""
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The XXH64 hashes of the distinct shingles."""
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    found = {joined[a : b - 1] for a, b in zip(starts, ends[width - 1 :], strict=False)}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(f, SEED) for f in found), dtype=np.uint64, count=len(found)))
+
+
+def _lanes(hashes: np.ndarray) -> np.ndarray:
+    """LANES words of 64 bits: each hash gives LANES numbers, a bit is set if over half of the numbers have it."""
+    counts = np.zeros(64 * LANES, dtype=np.int64)
+    steps = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit in a byte
+        x = hashes[at : at + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # the finalizer of splitmix64
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def similar_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of a text's set of five-word shingles and that of its pairs of words, LANES words each."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(LANES, dtype=np.uint64), np.zeros(LANES, dtype=np.uint64)
+    return _lanes(_shingles(words, SIMILAR_SHINGLE)), _lanes(_shingles(words, KEY_SHINGLE))
+
+
+def similar_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (32 bytes), bits (array of LANES bigints, those of the keys) and sha (the text's SHA-256)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [similar_fingerprint(t.as_py()) for t in batch.column(1)]
+            fps = pa.array([f.tobytes() for f, _ in made], type=pa.binary())
+            bits = pa.array([k.view(np.int64) for _, k in made], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, bits, batch.column(2)], names=["doc_id", "fp", "bits", "sha"])
+
+    columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _sha(text_col).alias("sha")]
+    return docs.select(*columns).mapInArrow(run, "doc_id bigint, fp binary, bits array<bigint>, sha binary")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            sha = [batch.column(2)] if digest else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *sha], names=["doc_id", "fp", *["sha"] * digest])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[_sha(text_col).alias("sha")] * digest]
-    return docs.select(*columns).mapInArrow(run, "doc_id bigint, fp bigint" + ", sha binary" * digest)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _sha(text_col: str) -> Column:
@@ -92,12 +150,16 @@ def table_masks(rows: int, radius: int = RADIUS, mean_bucket: int = MEAN_BUCKET)
     return [sum(c) for c in itertools.combinations(blocks, m)]
 
 
-def _planes(fps: np.ndarray) -> np.ndarray:
-    """Plane b, word w: bit b of fingerprints 64 w to 64 w + 63; missing ones are zero."""
-    words = -(-len(fps) // 64)
-    padded = np.zeros(words * 64, dtype=np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """Row i: the bits of fingerprint i, lane by lane; rows of zeros fill up to a multiple of 64."""
+    n = len(fps)
+    padded = np.zeros((-(-n // 64) * 64, fps.size // n), dtype=np.uint64)
+    padded[:n] = fps.reshape(n, -1)
+    return np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+
+
+def _planes(bits: np.ndarray) -> np.ndarray:
+    """Plane b, word w: bit b of fingerprints 64 w to 64 w + 63."""
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -139,24 +201,29 @@ class _Counters:
 
 
 def links(fps: np.ndarray, order: list[int], radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, all j > i within radius of i) for the distinct fingerprints fps; order: planes in order of use."""
-    n, planes = len(fps), _planes(fps)
+    """(i, all j > i within radius of i) for the distinct fingerprints fps, numbers or rows of lanes; order: planes in order of use.
+
+    The first planes, in which unrelated fingerprints mostly come to exceed the radius, are added for all blocks.
+    """
+    n, bits = len(fps), _bits(fps)
+    planes, total = _planes(bits), bits.shape[1]
+    dense = min(6 * round((2 * radius + 5 * math.sqrt(radius)) / 6), total // 6 * 6)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     lanes = np.arange(64, dtype=np.uint64)
     for start in range(0, n, 256):
-        chunk = fps[start : start + 256]
-        masks = np.where((chunk[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ones, np.uint64(0))
+        chunk = bits[start : min(start + 256, n)]
+        masks = np.where(chunk.T, ones, np.uint64(0))
         first = start // 64  # words before it hold earlier rows only
         counters = _Counters((len(chunk), planes.shape[1] - first), radius)
-        for a, b, c in zip(order[0:18:3], order[1:18:3], order[2:18:3], strict=True):
+        for a, b, c in zip(order[0:dense:3], order[1:dense:3], order[2:dense:3], strict=True):
             counters.add3(*(planes[p][None, first:] ^ masks[p][:, None] for p in (a, b, c)))
         query, word = np.nonzero(counters.within())
         counters.take((query, word))
         word = word + first
-        for at in range(18, 64, 3):
+        for at in range(dense, total, 3):
             if not len(query):
                 break
-            if at + 3 <= 64:
+            if at + 3 <= total:
                 counters.add3(*(planes[p][word] ^ masks[p][query] for p in order[at : at + 3]))
             else:
                 for p in order[at:]:
@@ -203,8 +270,8 @@ def forest(fps: np.ndarray, order: list[int], radius: int = RADIUS) -> np.ndarra
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
-    """Forest edges of sorted groups (tab, key, part_a, part_b); whole small groups are compared together.
+def _compare(batches: Iterator[pa.RecordBatch], orders: list[list[int]], radius: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges of sorted groups (tab, grp, fp and, if it isn't its own name, node); whole small groups are compared together.
 
     A pair of different groups that is compared by the way and found within radius is a link like any other.
     """
@@ -213,7 +280,7 @@ def _compare(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -
 
     def flush(final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, count
-        tab, group, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        tab, group, node, fp = (np.concatenate(c) for c in zip(*held, strict=True))
         starts = np.concatenate([[0], np.nonzero(np.diff(group) | np.diff(tab))[0] + 1, [len(fp)]])
         whole = starts if final else starts[:-1]
         at = 0
@@ -221,25 +288,28 @@ def _compare(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -
             to = at + 1
             while to < len(whole) - 1 and whole[to + 1] - whole[at] <= BLOCK and tab[whole[to]] == tab[whole[at]]:
                 to += 1
-            some = fp[whole[at] : whole[to]]
-            if len(some) > 1:
-                mask = masks[int(tab[whole[at]])]
-                order = sorted(range(64), key=lambda b, mask=mask: mask >> b & 1)  # bits outside the key first
-                distinct = np.unique(some)
-                root = forest(distinct, order, radius)
+            if whole[to] - whole[at] > 1:
+                names, which = np.unique(node[whole[at] : whole[to]], return_index=True)
+                root = forest(fp[whole[at] : whole[to]][which], orders[int(tab[whole[at]])], radius)
                 leaf = np.nonzero(root != np.arange(len(root)))[0]
                 if len(leaf):
-                    yield pa.RecordBatch.from_arrays([pa.array(distinct[leaf].view(np.int64)), pa.array(distinct[root[leaf]].view(np.int64))], schema=_EDGE)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[leaf]), pa.array(names[root[leaf]])], schema=_EDGE)
             at = to
         left = int(whole[-1])
-        held = [(tab[left:], group[left:], fp[left:])] if left < len(fp) else []
+        held = [(tab[left:], group[left:], node[left:], fp[left:])] if left < len(fp) else []
         count = len(fp) - left
 
     limit = 2 * BLOCK
     for batch in batches:
         tab = batch.column("tab").to_numpy(zero_copy_only=False)
         group = batch.column("grp").to_numpy(zero_copy_only=False)
-        held.append((tab, group, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+        fp = batch.column("fp")
+        if pa.types.is_integer(fp.type):
+            node = fp.to_numpy(zero_copy_only=False)
+            held.append((tab, group, node, node.view(np.uint64)))
+        else:
+            lanes = np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
+            held.append((tab, group, batch.column("node").to_numpy(zero_copy_only=False), lanes))
         count += len(tab)
         if count > limit:
             yield from flush(False)
@@ -253,6 +323,45 @@ def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = table_masks(fps.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("tab", "key"))
+    orders = [sorted(range(64), key=lambda b, m=m: m >> b & 1) for m in masks]  # bits outside the key first
+    return _edges(rows, orders, radius)
+
+
+def table_bits(rows: int) -> list[list[int]]:
+    """The sampled key bits of each table of similar_edges: more bits and more tables as rows grow.
+
+    k bits make buckets of SIMILAR_BUCKET rows. Of a pair each key bit differs with KEY_FLIPS; if d of them do, it
+    meets in a table with comb(all - d, k) / comb(all, k). There are as many tables as miss KEY_MISSES of such pairs
+    at most, over the distribution of d. With no bits all rows are one bucket.
+    """
+    k, n = (rows // SIMILAR_BUCKET).bit_length(), 64 * LANES
+    share = [math.comb(n, d) * KEY_FLIPS**d * (1 - KEY_FLIPS) ** (n - d) for d in range(n + 1)]
+    apart = [1 - math.comb(n - d, k) / math.comb(n, k) for d in range(n + 1)]
+    tables = next(t for t in itertools.count(1) if sum(s * a**t for s, a in zip(share, apart, strict=True)) <= KEY_MISSES)
+    rng = np.random.default_rng(SEED)
+    return [sorted(rng.choice(n, size=k, replace=False).tolist()) for _ in range(tables)]
+
+
+def similar_edges(prints: DataFrame, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """Forest edges (u, v) of prints.node whose prints.fp are within radius and that meet in a table of prints.bits.
+
+    The keys are bits of the texts' pairs of words, which an edit changes less than the longer shingles; what meets is
+    decided by the fingerprint of the five-word shingles, bit-sliced.
+    """
+    tables = table_bits(prints.count())
+
+    def key(chosen: list[int]) -> Column:
+        masks = [sum(1 << b % 64 for b in chosen if b // 64 == lane) for lane in range(LANES)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        return F.xxhash64(*(F.col("bits")[i].bitwiseAND(F.lit(m).cast("bigint")) for i, m in enumerate(signed)))
+
+    rows = prints.select("node", "fp", F.posexplode(F.array(*map(key, tables))).alias("tab", "key"))
+    return _edges(rows, [list(range(64 * LANES))] * len(tables), radius)
+
+
+def _edges(rows: DataFrame, orders: list[list[int]], radius: int) -> DataFrame:
+    """Forest edges of the rows (tab, key, fp and what else they carry) that share a table and a key."""
+    carried = [c for c in rows.columns if c not in ("tab", "key")]
     sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     hot = materialize(sizes.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), merge=True)
     rows = rows.join(small_or_shuffled(hot), ["tab", "key"], "left")
@@ -261,11 +370,11 @@ def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("other", other)
     # Rows of one group share this number; groups that share it by chance are merely compared together.
     group = F.xxhash64("tab", "key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select("tab", group.alias("grp"), "fp")
+    rows = rows.select("tab", group.alias("grp"), *carried)
     return (
         rows.repartition("tab", "grp")
         .sortWithinPartitions("tab", "grp")
-        .mapInArrow(lambda batches: _compare(batches, masks, radius), "u bigint, v bigint")
+        .mapInArrow(lambda batches: _compare(batches, orders, radius), "u bigint, v bigint")
         .distinct()
     )
 
@@ -292,30 +401,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _named(prints: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id, root (the component's own fingerprint) and alone (one row, without links) of each fingerprint; materialized."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")), merge=True)
-    stars = components(near_edges(distinct.select("fp"), radius))
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, component_id, root (a node of the component) and alone (one row, without links) of each fingerprint; materialized.
+
+    distinct: node, fp, low_id (its least id) and n (its rows) of each fingerprint, materialized; edges link nodes.
+    """
+    stars = components(edges)
     # Only fingerprints with a link go through their component; its least id is folded before any exchange.
-    linked = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
-    linked = materialize(linked.join(distinct, "fp"), merge=True)
+    linked = stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(linked.join(distinct.select("node", "low_id"), "node"), merge=True)
     lowest = materialize(linked.groupBy("root").agg(F.min("low_id").alias("component_id")), merge=True)
-    members = linked.select("fp", "root").join(small_or_shuffled(lowest), "root").select("fp", "root", "component_id")
-    named = distinct.join(members, "fp", "left")
+    members = linked.select("node", "root").join(small_or_shuffled(lowest), "root").select("node", "root", "component_id")
+    named = distinct.join(members, "node", "left")
     # A component of null ids has a null id of its own; without a link low_id is its id.
     component_id = F.when(F.col("root").isNull(), F.col("low_id")).otherwise(F.col("component_id"))
     alone = F.col("root").isNull() & (F.col("n") == 1)
-    return materialize(named.select("fp", component_id.alias("component_id"), F.coalesce("root", "fp").alias("root"), alone.alias("alone")), merge=True)
+    return materialize(named.select("fp", component_id.alias("component_id"), F.coalesce("root", "node").alias("root"), alone.alias("alone")), merge=True)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links), one row per row of docs."""
     prints = materialize(fingerprints(docs, id_col, text_col))
-    return prints.join(_named(prints, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n"))
+    distinct = materialize(distinct.withColumn("node", F.col("fp")), merge=True)
+    return prints.join(_named(distinct, near_edges(distinct.select("fp"), radius)), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that with the least id, null ids last (of rows with the same id, that
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """docs with one row of each component of similar texts (see similar_edges): that with the least id, null ids last (of rows with the same id, that
     of the least text digest; of rows equal in id and text, any one).
 
     The rows that go, ids and digests, are anti-joined: by broadcast up to BROADCAST_ROWS of them, so that text
@@ -327,8 +440,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return {"_id": F.coalesce(found, F.lit(0).cast("bigint")), "_null": found.isNull()}
 
     key = ["_sha", "_id", "_null"]
-    prints = materialize(fingerprints(docs, id_col, text_col, digest=True))
-    rows = prints.join(_named(prints, radius).where("not alone"), "fp")
+    prints = materialize(similar_fingerprints(docs, id_col, text_col))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n"), F.min("bits").alias("bits"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), merge=True)
+    named = _named(distinct.drop("bits"), similar_edges(distinct.select("node", "fp", "bits"), radius))
+    rows = prints.drop("bits").join(named.where("not alone"), "fp")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     rows = materialize(rows.select(F.col("sha").alias("_sha"), *(c.alias(n) for n, c in id_of("doc_id").items()), "root", stays.alias("_first")))
     # Rows under the component's id: of those one digest stays.

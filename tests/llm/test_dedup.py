@@ -135,19 +135,125 @@ def test_bit_sliced_links_against_brute_force(radius):
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(apart <= radius, 1)), strict=True)}
 
 
-def brute_components(fps):
-    root = list(range(len(fps)))
+def slow_words(text):
+    import re
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+def shingle_set(text, width=5):
+    words = slow_words(text)
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or ({" ".join(words)} if words else set())
+
+
+def slow_lanes(text, width):
+    """The fingerprint as four numbers, by plain integers."""
+    import xxhash
+
+    mask, counts, found = 2**64 - 1, [0] * 256, shingle_set(text, width)
+    for shingle in found:
+        for lane in range(4):
+            x = (xxhash.xxh64_intdigest(shingle.encode(), 42) + (lane + 1) * 0x9E3779B97F4A7C15) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            for b in range(64):
+                counts[64 * lane + b] += x >> b & 1
+    return [sum(1 << b for b in range(64) if counts[64 * lane + b] * 2 > len(found)) for lane in range(4)]
+
+
+def test_similar_fingerprints_against_brute_force():
+    long = " ".join(f"w{i % 777}" for i in range(3000))
+    for text in [t for t in TEXTS if len(t or "") < 5000] + [long]:
+        fp, key = S.similar_fingerprint(text)
+        assert fp.tolist() == slow_lanes(text, 5) and key.tolist() == slow_lanes(text, 2)
+
+
+def similar_components(texts):
+    """The least position of each text's component, all pairs compared."""
+    fps = np.array([S.similar_fingerprint(t)[0] for t in texts])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)
+    return join_links(len(texts), zip(*np.nonzero(np.triu(apart <= S.SIMILAR_RADIUS, 1)), strict=True))
+
+
+def edited(rng, n, words=150):
+    """n unrelated texts, and for each one a copy with a word in fifty or fewer replaced."""
+    base = [[f"{rng.getrandbits(20):x}" for _ in range(words)] for _ in range(n)]
+    copies = []
+    for text in base:
+        copy = list(text)
+        for at in rng.sample(range(words), rng.randint(1, words // 50)):
+            copy[at] = f"{rng.getrandbits(20):x}"
+        copies.append(copy)
+    return [" ".join(t) for t in base], [" ".join(t) for t in copies]
+
+
+@pytest.mark.parametrize(("block", "bucket"), [(4096, 2048), (4096, 16), (16, 16)])
+def test_similar_texts_are_found(spark, monkeypatch, block, bucket):
+    """Copies with a Jaccard similarity of 0.8 or more lose one row in nine of ten cases, unrelated texts never."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "SIMILAR_BUCKET", bucket)
+    base, copies = edited(random.Random(3), 300)
+    docs = spark.createDataFrame(list(enumerate(base + copies)), "doc_id bigint, text string").repartition(5)
+    kept = {r["doc_id"] for r in S.drop_near_copies(docs).collect()}
+    assert set(range(300)) <= kept
+    near = [i for i in range(300) if len(a := shingle_set(base[i])) and len(a & (b := shingle_set(copies[i]))) >= 0.8 * len(a | b)]
+    assert len(near) > 200
+    assert sum(300 + i not in kept for i in near) >= 0.9 * len(near)
+    if bucket > 600:  # one bucket: all pairs are compared
+        assert kept == set(similar_components(base + copies))
+
+
+def test_dense_groups_of_similar_texts(spark, monkeypatch):
+    """A bucket far over BLOCK whose rows all are near copies of each other keeps one of them."""
+    monkeypatch.setattr(S, "BLOCK", 64)
+    rng = random.Random(4)
+    text = [f"{rng.getrandbits(30):x}" for _ in range(400)]
+    rows = [(i, " ".join([*text[: i % 400], f"new{i}", *text[i % 400 + 1 :]])) for i in range(700)]
+    assert [r["doc_id"] for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
+
+
+def test_bit_sliced_links_of_long_fingerprints_against_brute_force():
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 2**64, size=(300, 4), dtype=np.uint64)
+    near = fps[:200].copy()
+    for _ in range(50):
+        near[np.arange(200), rng.integers(0, 4, 200)] ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
+    fps = np.concatenate([fps, near])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(apart <= 46, 1)), strict=True)}
+    assert 50 < len(want) < 200
+    assert {(i, int(j)) for i, js in S.links(fps, list(range(256)), 46) for j in js} == want
+
+
+def test_tables_meet_similar_keys():
+    """Keys that differ in KEY_FLIPS of the bits meet in a table, whatever the number of rows."""
+    rng = np.random.default_rng(2)
+    for rows in (0, 10, 10**5, 10**7, 10**10):
+        tables = S.table_bits(rows)
+        flips = rng.random((2000, 256)) < S.KEY_FLIPS
+        missed = np.all([flips[:, t].any(axis=1) for t in tables], axis=0).mean() if tables[0] else 0
+        assert missed < 2 * S.KEY_MISSES
+
+
+def join_links(n, pairs):
+    root = list(range(n))
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-    for i, j in zip(*np.nonzero(np.triu(apart <= 4, 1)), strict=True):
+    for i, j in pairs:
         a, b = sorted((top(int(i)), top(int(j))))
         root[b] = a
-    return [top(i) for i in range(len(fps))]
+    return [top(i) for i in range(n)]
+
+
+def brute_components(fps):
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    return join_links(len(fps), zip(*np.nonzero(np.triu(apart <= 4, 1)), strict=True))
 
 
 @pytest.mark.parametrize(("block", "mean"), [(4096, 1024), (16, 4), (16, 1)])
@@ -191,10 +297,13 @@ def test_near_dedup_edge_cases(spark):
         want.setdefault(roots[i], []).append(r["doc_id"])
     expected = sorted((str(r["doc_id"]), f"{int(fps[i]):016x}", str(min((x for x in want[roots[i]] if x is not None), default=None))) for i, r in enumerate(rows))
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == expected
+    want = {}
+    for root, r in zip(similar_components([r["text"] for r in rows]), rows, strict=True):
+        want.setdefault(root, []).append(r["doc_id"])
     kept = S.drop_near_copies(docs)
     assert kept.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
-    assert ids == sorted({str(min((x for x in ids if x is not None), default=None)) for ids in want.values()})
+    assert len(ids) == len(want) and ids == sorted({str(min((x for x in ids if x is not None), default=None)) for ids in want.values()})
 
 
 @pytest.mark.parametrize("bound", [200_000, 0])
@@ -211,8 +320,7 @@ def test_null_and_repeated_ids_lose_no_text(spark, monkeypatch, bound):
     rows += [(3, text[9]), (3, text[9].upper()), (4, text[9])]
     rows += [(-(2**63), text[10]), (None, text[10]), (None, text[11]), (0, text[11])]
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row_ref int").repartition(4)
-    fps = np.array([S.fingerprint(t) for t in text], dtype=np.uint64)
-    assert brute_components(fps) == list(range(12))
+    assert similar_components(text) == list(range(12))
     kept = S.drop_near_copies(docs)
     assert kept.columns == docs.columns
     got = sorted((r["text"].lower(), str(r["doc_id"])) for r in kept.collect())

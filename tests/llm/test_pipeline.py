@@ -22,14 +22,14 @@ def brute(spark, docs, marks):
     for r in rows:
         best[r["text"]] = max(best.get(r["text"], -1), r["doc_id"])
     rows = [r for r in rows if best[r["text"]] == r["doc_id"]]
-    prints = [simhash.fingerprint(r["text"]) for r in rows]
+    prints = [int.from_bytes(simhash.similar_fingerprint(r["text"])[0].tobytes(), "little") for r in rows]
     root = list(range(len(rows)))
     changed = True
     while changed:
         changed = False
         for i in range(len(rows)):
             for j in range(len(rows)):
-                if (prints[i] ^ prints[j]).bit_count() <= 4 and root[i] != root[j]:
+                if (prints[i] ^ prints[j]).bit_count() <= simhash.SIMILAR_RADIUS and root[i] != root[j]:
                     root[i] = root[j] = min(root[i], root[j])
                     changed = True
     stays = {}
