@@ -37,7 +37,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (fingerprints of four-word shingles within four bits): that with the least id.
+    """One document of each component of near copies: that with the least id.
+
+    Near copies are texts whose sets of five-word shingles have a similarity of about 0.8 or more: their SimHash
+    fingerprints of 256 bits differ in 46 or fewer.
 
     Null ids lose against any id, and of rows that tie in id that of the least text digest stays; different components
     under one id, or under null, keep one row each; texts without words are one component; extra columns stay.
