@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom import schema as S
-from readloom.functions.cigar import BIN_LEVELS, bins_of, reference_end, reg2bins
+from readloom.functions.cigar import BIN_LEVELS, bins_of, reference_end
+
+#: Least and greatest shift of the finest cells of bin_join.
+BIN_SHIFTS = (7, 14)
+#: Intervals up to which bin_join broadcasts them; each is listed about ten times.
+BROADCAST_INTERVALS = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,19 +69,49 @@ def query_region(reads: DataFrame, refs: DataFrame, region: Region, nonempty: bo
     return reads.where((overlaps_nonempty if nonempty else overlaps)(found[0]["ref_id"], region.beg, region.end))
 
 
+def _level(beg: Column, end: Column, shifts: list[int]) -> Column:
+    """The smallest of the shifts whose cells are as long as [beg, end)."""
+    out = F.lit(shifts[-1])
+    for shift in reversed(shifts[:-1]):
+        out = F.when(end - beg <= F.lit(1 << shift).cast("bigint"), F.lit(shift)).otherwise(out)
+    return out
+
+
+def _cells(beg: str, end: str, own: str, higher: list[int]) -> Column:
+    """array of the bins of [beg, end): on its own level and on the given ones above it, two each, null where there is one."""
+    out = []
+    for shift in (own, *higher):
+        first, last = f"shiftright({beg}, {shift})", f"shiftright({end} - 1, {shift})"
+        there = "true" if shift == own else f"{own} < {shift}"
+        out += [f"if({there}, {first} * 64 + {shift}, null)", f"if({there} and {last} > {first}, {last} * 64 + {shift}, null)"]
+    return F.expr(f"array({', '.join(out)})")
+
+
 def bin_join(reads: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Reads joined with every interval (interval_id, ref_id, beg, end) that they overlap.
+    """Reads joined with every interval (interval_id, ref_id, beg, end) that they overlap; empty intervals have none.
 
-    Each side lists bins: a read the one smallest bin that holds it, an interval all bins that may
-    hold its reads. The join is an equi-join on (ref_id, bin), so it shuffles by key and AQE may
-    split a deep bin; the overlap is checked again behind it.
+    Both sides list bins: cells of a few levels, of which the finest is about twice as wide as the mean interval. A
+    row's own level is the first whose cells are as long as itself, so it touches two of them at most. A pair meets on the
+    higher of its two levels, in the cell where the later of both begins: intervals list their own and all higher levels,
+    reads their own and those higher ones that intervals have. The join is an equi-join on (ref_id, bin). Intervals
+    are counted: few are broadcast, beyond BROADCAST_INTERVALS both sides are shuffled.
     """
-    from readloom.functions.cigar import reg2bin
-
-    end = F.greatest(reference_end(F.col("pos"), F.col("cigar")), F.col("pos").cast("bigint") + 1)
-    left = reads.where("ref_id >= 0").withColumn("ref_end", end).withColumn("bin", reg2bin(F.col("pos"), F.col("ref_end")))
-    right = intervals.select("interval_id", "ref_id", F.col("beg").alias("i_beg"), F.col("end").alias("i_end"), F.explode(reg2bins(F.col("beg"), F.col("end"))).alias("bin"))
-    return left.join(right, ["ref_id", "bin"]).where((F.col("pos") < F.col("i_end")) & (F.col("ref_end") > F.col("i_beg"))).drop("bin")
+    spans = intervals.where("end > beg").select("interval_id", "ref_id", F.col("beg").cast("bigint").alias("i_beg"), F.col("end").cast("bigint").alias("i_end"))
+    seen = spans.agg(F.count("*").alias("n"), F.avg(F.col("i_end") - F.col("i_beg")).alias("mean")).first()
+    finest = min(max(int(seen["mean"] or 0).bit_length() + 1, BIN_SHIFTS[0]), BIN_SHIFTS[1])
+    shifts = [*range(finest, 32, 3), 62]
+    own = _level(F.col("i_beg"), F.col("i_end"), shifts)
+    met = sorted(r[0] for r in spans.select(own).distinct().collect())  # a dozen levels at most
+    right = spans.withColumn("_i_own", own).withColumn("bin", F.explode(_cells("i_beg", "i_end", "_i_own", shifts[1:])))
+    right = F.broadcast(right) if seen["n"] <= BROADCAST_INTERVALS else right.hint("merge")
+
+    beg = F.col("pos").cast("bigint")
+    end = F.coalesce(F.greatest(reference_end(F.col("pos"), F.col("cigar")), beg + 1), F.lit(0).cast("bigint"))  # never null, so that no filter computes it again
+    left = reads.where("ref_id >= 0").withColumn("ref_end", end).withColumn("_own", _level(beg, F.col("ref_end"), shifts))
+    left = left.withColumn("bin", F.explode(_cells("cast(pos as bigint)", "ref_end", "_own", [s for s in met if s > finest])))
+    overlap = (F.col("pos") < F.col("i_end")) & (F.col("ref_end") > F.col("i_beg"))
+    once = F.expr("(bin & 63) = greatest(_own, _i_own) and shiftright(bin, 6) = shiftright(greatest(cast(pos as bigint), i_beg), cast(bin & 63 as int))")
+    return left.join(right, ["ref_id", "bin"]).where(overlap & once).drop("bin", "_own", "_i_own")
 
 
 def index_chunks(bins: DataFrame, linear: DataFrame, ref_id: int, beg: int, end: int) -> DataFrame:
