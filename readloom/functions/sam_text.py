@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from readloom.functions.cigar import format_cigar
 
 
+#: Each byte and its character, 33 further on; 223 has none.
+_BYTES = [i for i in range(256) if i != 223]
+_CODES, _PHRED = "".join(map(chr, _BYTES)), "".join(chr((i + 33) % 256) for i in _BYTES)
+
+
 def phred_text(qual: Column) -> Column:
     """Qualities as characters; null prints '*'."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(qual)), lambda i: F.char(F.conv(F.hex(F.substring(qual, i, F.lit(1))), 16, 10).cast("int") + 33))
-    return F.when(F.octet_length(qual) > 0, F.array_join(codes, "")).otherwise(F.lit("*"))
+    text = F.translate(F.decode(qual, "ISO-8859-1"), _CODES, _PHRED)
+    return F.when(F.octet_length(qual) > 0, text).otherwise(F.lit("*"))
 
 
 def star(text: Column) -> Column:

@@ -6,16 +6,18 @@ import os
 import shutil
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from readloom import schema as S
 from readloom.functions.cigar import parse_cigar, query_length
 from readloom.functions.sam_text import sam_line
 from readloom.header import Header, parse_header
 from readloom.sources import parts
+from readloom.sources.columns import array_of, values_of
 from readloom.sources.records import parse_tag, tags_text
 
 
@@ -36,11 +38,21 @@ def _tag_maps(lines: pa.Array) -> pa.Array:
 
     def parse(line: str):
         try:
-            return list(dict(parse_tag(t) for t in line.split("\t")).items()) if line else []
+            return dict(parse_tag(t) for t in line.split("\t")) if line else {}
         except ValueError:
             return None
 
-    return pa.array([parse(x) for x in lines.to_pylist()], ARROW.field("tags").type)
+    return array_of([parse(x) for x in lines.to_pylist()], ARROW.field("tags").type)
+
+
+def _qualities(texts: pa.Array) -> pa.Array:
+    """Codes of quality characters, 33 below them; the bytes of all texts are moved at once."""
+    codes = texts.cast(pa.binary())
+    valid, ends, data = codes.buffers()
+    if data is None or not len(codes):
+        return codes
+    moved = np.frombuffer(data, dtype=np.uint8) - np.uint8(33)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [valid, ends, pa.py_buffer(moved.tobytes())], offset=codes.offset)
 
 
 def parse_lines(lines: DataFrame, header: Header, mode: str = "FAILFAST") -> DataFrame:
@@ -58,7 +70,6 @@ def parse_lines(lines: DataFrame, header: Header, mode: str = "FAILFAST") -> Dat
     rnext = F.when(fields[6] == "=", fields[2]).otherwise(fields[6])
     cigar_ok = fields[5].rlike(r"^(\*|([0-9]{1,9}[MIDNSHP=X])+)$")
     cigar = parse_cigar(F.when(cigar_ok, fields[5]).otherwise(F.lit("*")))
-    codes = F.transform(F.split(fields[10], ""), lambda c: F.lpad(F.hex((F.ascii(c) - 33).cast("bigint")), 2, "0"))
     bare = fields[9] == "*"
     faults: list[tuple[str, Column]] = [("a SAM line has eleven fields", F.size("_f") >= 11), ("invalid read name", fields[0].rlike("^(\\*|[!-?A-~]{1,254})$"))]
 
@@ -88,7 +99,7 @@ def parse_lines(lines: DataFrame, header: Header, mode: str = "FAILFAST") -> Dat
         "next_pos": (number(7, "mate position", 0, S.INT_MAX) - 1).cast("int"),
         "tlen": number(8, "template length", -S.INT_MAX, S.INT_MAX).cast("int"),
         "seq": F.when(bare, "").otherwise(fields[9]),
-        "qual": F.when(fields[10] != "*", F.try_to_binary(F.array_join(codes, ""), F.lit("hex"))),
+        "qual": F.when(fields[10] != "*", F.arrow_udf(_qualities, BinaryType())(fields[10])),
     }
     faults += [
         ("invalid CIGAR", cigar_ok & F.forall(cigar, lambda o: o["len"] < 2**28)),
@@ -119,7 +130,7 @@ def read_sam(spark: SparkSession, path: str, header: Header | None = None, mode:
 
 
 def _tag_lines(tags: pa.Array) -> pa.Array:
-    return pa.array([tags_text(dict(t or ())) for t in tags.to_pylist()], pa.string())
+    return pa.array([tags_text(t) for t in values_of(tags)], pa.string())
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
