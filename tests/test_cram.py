@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from readloom.header import parse_header
 from readloom.sources import cram as C
 from readloom.sources import cram_codecs as K
+from readloom.sources import cram_columns as X
 from readloom.sources import sam
+from readloom.sources.bam import batch
+from readloom.sources.columns import rows_of_batch
 from readloom.sources.fasta import Fasta
 from readloom.sources.records import tag
 from tests.samples import write_sam
@@ -135,6 +139,76 @@ def test_container_round_trip(tmp_path, with_reference, methods):
     assert [i[0] for i in index if i[3] == found[1].offset] == [1] and {i[0] for i in index} == {0, 1, -1}
 
 
+PLACES = {"file_ord": None, "rec_no": None, "voffset": None, "next_rname": "*"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_series_at_a_time_and_record_by_record_agree(tmp_path, monkeypatch, seed):
+    rng = random.Random(seed)
+    _, seqs = fasta_file(tmp_path, rng)
+    made = rows(rng, seqs, 150) if seed < 4 else [r for r in rows(rng, seqs, 150) if (r["ref_id"] == 1) == (seed == 4)]
+    for r in made:
+        if rng.random() < 0.2:
+            r["tags"] |= {"ip": tag("B", et="C", ai=[rng.randrange(256) for _ in r["seq"]]), "sn": tag("B", et="f", af=[0.5, -2.0]), "rq": tag("f", f=0.25), "cc": tag("A", s="q")}
+        if rng.random() < 0.2:
+            r["tags"] |= {"YB": tag("B", et=rng.choice("cSI"), ai=[1, 100] * rng.randrange(3)), "bi": tag("i", i=rng.choice([2**31, -(2**31), 70_000, 127, 255]))}
+        if rng.random() < 0.1 and r["qual"]:
+            r["qual"] = bytes([255]) * len(r["seq"])
+    plain = C.encode_container(made, HEADER, None)
+    columns = batch([r | PLACES for r in made], None)
+    monkeypatch.setattr(C, "encode_container", None)
+    assert C.encode_columns(columns, HEADER) == plain
+    path = str(tmp_path / "x.cram")
+    C.assemble(None, path, HEADER, [plain])
+    header, (one,) = C.containers(path)
+    for wanted in (None, lambda key: key in ("ip", "RG", "YB")):
+        want = [r for _, part in C.read_container(path, one, header, None, wanted) for r in part]
+        with monkeypatch.context() as m:
+            m.setattr(C, "decode_slice", None)
+            ((_, got),) = C.read_batches(path, one, header, None, wanted)
+        got.validate(full=True)
+        assert rows_of_batch(got) == [PLACES | r for r in want]
+
+
+def test_records_out_of_the_ordinary_are_taken_one_by_one(tmp_path):
+    _, seqs = fasta_file(tmp_path, random.Random(1))
+    usual = rows(random.Random(1), seqs, 30)
+    some = next(r for r in usual if r["cigar"] and r["seq"])
+    for change in ({"qname": "é"}, {"seq": "", "qual": None}, {"cigar": []}, {"tags": {"zz": tag("Z", s="ü")}}):
+        made = [*usual, some | change]
+        coded = C.encode_columns(batch([r | PLACES for r in made], None), HEADER)
+        assert coded == C.encode_container(made, HEADER, None)
+        path = str(tmp_path / "x.cram")
+        C.assemble(None, path, HEADER, [coded])
+        header, (one,) = C.containers(path)
+        want = [r for _, part in C.read_container(path, one, header, None) for r in part]
+        got = [r for _, part in C.read_batches(path, one, header, None) for r in rows_of_batch(part)]
+        assert [{k: r[k] for k in FIELDS} for r in got] == [{k: r[k] for k in FIELDS} for r in want]
+    with pytest.raises(Exception, match="out of range|format requires"):
+        C.encode_columns(batch([usual[0] | PLACES | {"tags": {"xx": tag("B", et="C", ai=[256])}}], None), HEADER)
+    with pytest.raises(ValueError, match="out of range"):
+        C.encode_columns(batch([usual[0] | PLACES | {"tags": {"xx": tag("i", i=2**40)}}], None), HEADER)
+
+
+@given(st.lists(st.integers(-(2**31), 2**31 - 1) | st.integers(-1, 200)))
+def test_integers_at_once(values):
+    import numpy as np
+
+    coded = X.itf8_all(np.array(values, np.int64))
+    assert coded == b"".join(map(K.itf8, values)) and X.read_itf8(coded + b"\xff", len(values)).tolist() == values
+
+
+@given(st.lists(st.lists(st.integers(0, 9), max_size=7), max_size=6), st.integers(1, 5), st.integers(1, 20))
+def test_slices_end_with_the_row_that_fills_them(batches, records, bases):
+    got = [[len(s) for s in b.column("seq").to_pylist()] for b in C.sliced((pa.RecordBatch.from_pydict({"seq": pa.array(["A" * n for n in x], pa.string())}) for x in batches), records, bases)]
+    want, held = [], []
+    for n in [n for x in batches for n in x]:
+        held.append(n)
+        if len(held) >= records or sum(held) >= bases:
+            want, held = [*want, held], []
+    assert got == want + ([held] if held else [])
+
+
 def test_wrong_reference_is_noticed(tmp_path):
     rng = random.Random(4)
     path, seqs = fasta_file(tmp_path, rng)
