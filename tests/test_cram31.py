@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from readloom.sources import cram_codecs31 as C
+from readloom.sources.cram_codecs import COMPRESS
 
 FLAGS = [0, C.ORDER1, C.X32, C.X32 | C.ORDER1, C.PACK, C.RLE, C.PACK | C.RLE | C.ORDER1, C.STRIPE, C.STRIPE | C.RLE, C.CAT, C.PACK | C.CAT]
 
@@ -33,6 +34,43 @@ def test_arithmetic_round_trip(flags):
         assert C.arithmetic_decode(C.arithmetic_encode(data, flags)) == data
 
 
+def large_samples():
+    rng = random.Random(9)
+    yield bytes(rng.choices(b"0123456789/_mcs", weights=range(1, 16), k=70_001))
+    yield bytes(rng.choices(range(256), weights=[1 + i % 40 for i in range(256)], k=50_000))
+    yield bytes(rng.choices(range(40), k=9_000)) + bytes(20_000)
+    yield bytes(rng.choices(b"ACGT", k=33_333))
+    yield bytes([30] * 5000 + [255] * 99) * 7
+    yield bytes(range(17)) * 500
+    yield b"x" * 40_000
+    yield rng.randbytes(30_000)
+    yield b"ab" * 40
+
+
+@pytest.mark.parametrize("stream_bytes", [100, 2048, 40_000])
+def test_many_streams(monkeypatch, stream_bytes):
+    """Streams decoded at once, and one by one as another reader does it."""
+    for data in large_samples():
+        coded = C.nx16_many(data, stream_bytes)
+        assert len(coded) <= len(data) + 5 and C.nx16_decode(coded) == data
+        with monkeypatch.context() as m:
+            m.setattr(C, "_dealt_at_once", lambda c, n: None)
+            assert C.nx16_decode(coded) == data
+    data = bytes(random.Random(2).choices(b"ACGTN", weights=[9, 1, 3, 2, 1], k=9_000))
+    assert C._dealt_at_once(C.Cursor(C.nx16_encode(data, C.STRIPE | C.X32, 7)[3:]), len(data)) == data  # tables of their own
+    assert C._dealt_at_once(C.Cursor(C.nx16_encode(data, C.STRIPE | C.ORDER1, 7)[3:]), len(data)) is None
+
+
+def test_large_blocks_take_no_step_of_python_for_each_byte():
+    import time
+
+    C.register()
+    data = bytes(random.Random(5).choices(b"0123456789/_mcs.:;,+", k=400_000))
+    began = time.process_time()
+    assert C.nx16_decode(COMPRESS[C.NX16](data)) == data
+    assert time.process_time() - began < 0.4
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.binary(max_size=400), st.sampled_from(FLAGS))
 def test_round_trips_of_any_data(data, flags):
