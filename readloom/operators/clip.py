@@ -327,15 +327,40 @@ def map_records(reads: DataFrame, change: Callable[[dict], dict]) -> DataFrame:
     return reads.mapInArrow(run, schema)
 
 
-def clip(reads: DataFrame, kind: str, start: str = "clip_start", end: str = "clip_end", excise: bool = False, strategies: dict[str, Strategy] | None = None) -> DataFrame:
-    """Each read clipped to its own window, given in two of its columns; reads with a null there stay."""
+def clip(reads: DataFrame, kind: str, start: str = "clip_start", end: str = "clip_end", excise: bool = False, strategies: dict[str, Strategy] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Each read clipped to its own window, given in two of its columns; reads with a null there stay.
+
+    only: tags that are wanted; tags is then a struct of these (null: the read has none), which is much faster than a map.
+    With strategies of one's own records are handed to Python, otherwise all is done in columns.
+    """
+    from readloom.operators import clip_columns
+
+    if kind not in ("query", "reference"):
+        raise ValueError(f"unknown window: {kind}")
+    if (keys := keys_by_strategy(strategies)) is not None:
+        return clip_columns.clip(reads, kind, F.col(start), F.col(end), excise, keys, only)
+    table = dict(STRATEGIES if strategies is None else strategies)  # workers import a table of their own
 
     def change(row: dict) -> dict:
         if row[start] is None or row[end] is None:
             return row
-        return clip_record(row, kind, row[start], row[end], excise, strategies)
-
-    return map_records(reads, change)
+        return clip_record(row, kind, row[start], row[end], excise, table)
+
+    clipped = map_records(reads, change)
+    if only is None:
+        return clipped
+    return clipped.withColumn("tags", F.struct(*(F.col("tags")[key].alias(key) for key in only)))
+
+
+def keys_by_strategy(strategies: dict[str, Strategy] | None = None) -> dict[str, list[str]] | None:
+    """The tags that each strategy of this module is for, by its name; None if there are others, or tags that every clip sets."""
+    known = (clip_track, clip_mirrored_track, clip_pulses, clip_modifications, clip_runs)
+    keys: dict[str, list[str]] = {}
+    for key, strategy in (STRATEGIES if strategies is None else strategies).items():
+        if strategy not in known or key in ("MN", "qs", "qe"):
+            return None
+        keys.setdefault(strategy.__name__, []).append(key)
+    return keys
 
 
 def place(reads: DataFrame, ref_id: int, pos: int, reverse: bool, cigar: str, mapq: int) -> DataFrame:

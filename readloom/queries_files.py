@@ -174,7 +174,7 @@ def tagged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = (n / 2).cast("bigint")
     more = {
         "ri": track(n, 11, 241),
-        "pc": _value(like, "Z", s=F.regexp_replace("seq", "(.)", "$1a")),
+        "pc": _value(like, "Z", s=F.substring(F.lit("".join(c + "a" for c in _PATTERN * 10)), F.lit(1), 2 * n)),
         "pd": track(2 * n, 3, 249),
         "sa": _value(like, "B", ai=F.array(half, F.lit(7).cast("bigint"), n - half, F.lit(9).cast("bigint"))),
         "MN": _value(like, "i", i=n.cast("bigint")),
@@ -210,7 +210,7 @@ def clip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     def total(key: str):
         return F.aggregate(tag[key]["ai"], F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    return clip.clip(_windowed(tagged_reads(spark, sf_dir)), "query").select(
+    return clip.clip(_windowed(tagged_reads(spark, sf_dir)), "query", only=["ip", "ri", "pd", "sa", "MN", "qs", "qe"]).select(
         "rec_no",
         "seq",
         F.hex("qual").alias("qual"),
