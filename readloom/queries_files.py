@@ -133,7 +133,7 @@ SELECT rec_no, substr(seq, CASE WHEN (flag & 16) <> 0 THEN length(seq) - b ELSE
 )
 def clip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = full_reads(spark, sf_dir).withColumns({"clip_start": (F.col("mapq") % 5).cast("int"), "clip_end": (F.length("seq") - F.col("tags")["zm"]["i"] % 3).cast("int")})
-    return clip.clip(rows, "query").select("rec_no", "seq", F.size(F.col("tags")["ip"]["ai"]).cast("bigint").alias("ip_count"))
+    return clip.clip(rows, "query", only=["ip"]).select("rec_no", "seq", F.size(F.col("tags")["ip"]["ai"]).cast("bigint").alias("ip_count"))
 
 
 @register(
